@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import chat
+from ruleloom.llm import bpe, chat, decontam
 
 QUERIES = {
+    "op3_decontaminate": decontam.op3_decontaminate,
+    "op5_bpe": bpe.op5_bpe,
     "op8_chat_format": chat.op8_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontam.ORACLE,
+}
