@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bpe, chat, decontam
+from ruleloom.llm import bpe, chat, decontam, langid, linededup
 
 QUERIES = {
+    "op2_langid": langid.op2_langid,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op5_bpe": bpe.op5_bpe,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op8_chat_format": chat.op8_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontam.ORACLE,
+    "op6_line_dedup": linededup.ORACLE,
 }
