@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bpe, chat, decontam, langid, linededup
+from ruleloom.llm import bpe, chat, decontam, html, langid, linededup
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
     "op3_decontaminate": decontam.op3_decontaminate,
+    "op4_html_text": html.op4_html_text,
     "op5_bpe": bpe.op5_bpe,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op8_chat_format": chat.op8_chat_format,
