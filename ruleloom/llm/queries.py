@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bpe, chat, decontam, html, langid, linededup
+from ruleloom.llm import bpe, chat, decontam, html, langid, linededup, wavelet
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_token_file": wavelet.op9_token_file,
 }
 
 ORACLE_SQL: dict[str, str] = {
