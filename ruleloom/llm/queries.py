@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bpe, chat, decontam, html, langid, linededup, wavelet
+from ruleloom.llm import bpe, chat, decontam, html, langid, linededup, nearcopies, wavelet
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_html_text": html.op4_html_text,
     "op5_bpe": bpe.op5_bpe,
     "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_near_copies": nearcopies.op7_near_copies,
     "op8_chat_format": chat.op8_chat_format,
     "op9_token_file": wavelet.op9_token_file,
 }
