@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bpe, chat, decontam, html, langid, linededup, nearcopies, wavelet
+from ruleloom.llm import bpe, chat, decontam, html, langid, linededup, nearcopies, pii, wavelet
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_near_copies": nearcopies.op7_near_copies,
     "op8_chat_format": chat.op8_chat_format,
     "op9_token_file": wavelet.op9_token_file,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
