@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bpe, chat, decontam, html, langid, linededup, nearcopies, pii, wavelet
+from ruleloom.llm import bpe, chat, decontam, html, langid, linededup, nearcopies, pii, vectors, wavelet
 
 QUERIES = {
+    "op1_vector_links": vectors.op1_vector_links,
     "op2_langid": langid.op2_langid,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_html_text": html.op4_html_text,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_vector_links": vectors.ORACLE,
     "op3_decontaminate": decontam.ORACLE,
     "op6_line_dedup": linededup.ORACLE,
 }
