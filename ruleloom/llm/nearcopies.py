@@ -7,10 +7,10 @@ candidate, the numbers of registers that are larger, smaller and equal, with the
 likelihood of a similarity; a pair whose likelihood at the threshold is far below that of a smaller similarity is
 dropped, and every other pair is verified on the full sets.
 
-Documents with equal sets are one node from the start. Of a bucket's pairs, a first round verifies two for each
-document (its best-connected and its most similar neighbour); a second one verifies every remaining pair that no chain
-of verified links joins. So a large group of copies costs links by document, not by pair, and no link between
-components is lost. Buckets beyond TILE documents are cut in tiles, and tiles meet in pairs.
+Documents with equal sets are one node from the start. A bucket yields links by which its plausible pairs hang
+together, one for a document at most, not one for a pair. What they connect is a cluster, whose texts meet in tiles of
+bounded size (two by two if there are several); there every pair is verified, and again only links by which the verified
+pairs hang together leave the tile. So a large group of copies costs rows by document, and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
-TILE = 1024
+#: documents in a tile of a bucket, documents and shingles in a tile of a cluster
+TILE, CLUSTER_TILE, TILE_SHINGLES = 1024, 512, 200_000
 #: a pair is dropped if some smaller similarity is more likely than the threshold by this log-likelihood ratio
 DOUBT = 9.0
 #: ids that may be broadcast (8 bytes each) to pick the texts to verify; beyond it, a shuffled join picks them
@@ -105,8 +106,8 @@ def log_likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.ndar
     return more * np.log(a) + less * np.log(b) + same * np.log(np.clip(1 - a - b, 1e-9, 1))
 
 
-def plausible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each pair's registers leave the threshold possible, and the equal registers."""
+def plausible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each pair's registers leave the threshold possible."""
     same = (ra == rb).sum(axis=1)
     keep = same >= REGISTERS * (threshold - 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5)
     at = np.flatnonzero(keep)
@@ -117,93 +118,118 @@ def plausible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, th
         here = log_likelihood(threshold, u, more, less, same[at])
         best = np.max([log_likelihood(j, u, more, less, same[at]) for j in threshold * np.array([0.4, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95])], axis=0)
         keep[at] = best - here <= DOUBT
-    return keep, same
-
-
-def bucket_pairs(threshold: float, every: bool) -> Callable:
-    """Candidate pairs of sorted buckets: all that join two components, or two for each document."""
-
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, tiles, side, ids, n, comp = (t.column(c).to_numpy() for c in ("key", "tiles", "side", "id", "n", "comp"))
-        regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tiles[1:] != tiles[:-1])])
-        start = np.repeat(new, np.diff(np.append(new, len(key))))
-        before = np.arange(len(key)) - start
-        found = []
-        cuts = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(before) // 100_000]))
-        for a, b in zip(cuts, np.append(cuts[1:], len(key))):
-            i = np.repeat(np.arange(a, b), before[a:b])
-            j = ragged(start[a:b], before[a:b])
-            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2)) & (ids[i] != ids[j])
-            i, j = i[ok], j[ok]
-            keep, same = plausible(regs[i], regs[j], n[i], n[j], threshold)
-            found.append(np.stack([i[keep], j[keep], same[keep]]))
-        i, j, same = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        if not every and len(i):
-            degree = np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
-            a, b, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([same, same])
-            picked = []
-            for order in (np.lexsort((ids[b], -s, -degree[b], a)), np.lexsort((ids[b], -degree[b], -s, a))):
-                x = a[order]
-                first = order[np.r_[True, x[1:] != x[:-1]]]
-                picked.append(np.stack([a[first], b[first]]))
-            i, j = np.concatenate(picked, axis=1)
-        both = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
-        return both[0], both[1]
+    return keep
+
+
+def by_runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a run of equal `columns` ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (batch.column(c).to_numpy() for c in columns)
+        other = np.flatnonzero((x != x[-1]) | (y != y[-1]))
+        last = int(other[-1]) + 1 if len(other) else 0
+        ended = held and any(held[-1].column(c)[-1].as_py() != v[0] for c, v in zip(columns, (x, y)))
+        if last or ended:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where the runs of equal (x, y) start."""
+    return np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
+
+
+def forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """The smallest index that each index reaches by the pairs (i, j)."""
+    root = np.arange(size)
+    while True:
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root[i] == root[j]).all():
+            return root
+
+
+def tree_links(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b) by which the pairs' ids hang together: one for each id at most, not one for each pair."""
+    root = forest(i, j, len(ids))
+    at = np.flatnonzero(ids[root] != ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids[root[at]], pa.int64()), pa.array(ids[at], pa.int64())], ["a", "b"])
+
+
+def bucket_links(threshold: float) -> Callable:
+    """Sorted buckets to links by which the plausible pairs of each hang together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, tiles = batch.column("key").to_numpy(), batch.column("tiles").to_numpy()
-            other = np.flatnonzero((key != key[-1]) | (tiles != tiles[-1]))
-            last = int(other[-1]) + 1 if len(other) else 0
-            if held and (last or held[-1].column("key")[-1].as_py() != key[0] or held[-1].column("tiles")[-1].as_py() != tiles[0]):
-                held.append(batch.slice(0, last))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(pa.Table.from_batches(held))], ["a", "b"])
-                held = [batch.slice(last)]
-            elif last:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(pa.Table.from_batches([batch.slice(0, last)]))], ["a", "b"])
-                held = [batch.slice(last)]
-            else:
-                held.append(batch)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(pa.Table.from_batches(held))], ["a", "b"])
+        for t in by_runs(batches, ("key", "tiles")):
+            key, tiles, side, ids, n = (t.column(c).to_numpy() for c in ("key", "tiles", "side", "id", "n"))
+            regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            new = runs(key, tiles)
+            start = np.repeat(new, np.diff(np.append(new, len(key))))
+            before = np.arange(len(key)) - start
+            cuts = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(before) // 100_000]))
+            found = [np.zeros((2, 0), np.int64)]
+            for a, b in zip(cuts, np.append(cuts[1:], len(key))):
+                i = np.repeat(np.arange(a, b), before[a:b])
+                j = ragged(start[a:b], before[a:b])
+                ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2)) & (ids[i] != ids[j])
+                i, j = i[ok], j[ok]
+                keep = plausible(regs[i], regs[j], n[i], n[j], threshold)
+                found.append(np.stack([i[keep], j[keep]]))
+            yield tree_links(*np.concatenate(found, axis=1), ids)
 
     return run
 
 
-def candidates(members: DataFrame, nodes: DataFrame, comp: DataFrame | None, threshold: float, every: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of the buckets."""
-    rows = members.join(nodes, "id")
-    rows = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = rows.repartition("key", "tiles").sortWithinPartitions("key", "tiles").select("key", "tiles", "side", "id", "n", "comp", "registers")
-    return rows.mapInArrow(bucket_pairs(threshold, every), "a long, b long").distinct()
+def tiled(rows: DataFrame, n_tiles: Column) -> DataFrame:
+    """Each row once for every tile that its own tile meets, itself (side 2) and each other one (sides 0 and 1)."""
+    rows = rows.withColumn("n_tiles", n_tiles.cast("int")).withColumn("tile", F.pmod(F.hash("id"), F.col("n_tiles")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
+    low, high = F.least("tile", "other"), F.greatest("tile", "other")
+    side = F.when(F.col("tile") == F.col("other"), 2).otherwise((F.col("tile") > F.col("other")).cast("int"))
+    return rows.withColumn("tiles", low.cast("long") * 2**31 + high).withColumn("side", side).drop("n_tiles", "tile", "other")
+
 
+def exact_links(percent: int) -> Callable:
+    """Sorted tiles of clusters to links by which their similar pairs hang together: every pair, on the full sets."""
 
-def verifier(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text_a", 1 << 20):
-                x, y = shingle_sets(texts(batch.column("text_a"))), shingle_sets(texts(batch.column("text_b")))
-                both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
-                linked = [100 * k >= percent * (len(s) + len(t) - k) and k > 0 for k, s, t in zip(both, x, y)]
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        for t in by_runs(batches, ("key", "tiles")):
+            sets = [s for b in t.to_batches() for piece in pieces(b, "text") for s in shingle_sets(texts(piece.column("text")))]
+            key, tiles, side, ids = (t.column(c).to_numpy() for c in ("key", "tiles", "side", "id"))
+            new = runs(key, tiles)
+            for a, b in zip(new, np.append(new[1:], len(key))):
+                at = np.array(sorted((k for k in range(a, b) if len(sets[k])), key=lambda k: len(sets[k])), np.int64)
+                if len(at) < 2:
+                    continue
+                size = np.array([len(sets[k]) for k in at])
+                known, flat = np.unique(np.concatenate([sets[k] for k in at]), return_inverse=True)
+                ends = np.cumsum(size)
+                mark = np.zeros(len(known), np.int32)
+                far = np.searchsorted(size, size * 100 // percent, side="right")  # a larger set is too large
+                found = [np.zeros((2, 0), np.int64)]
+                for k in range(len(at) - 1):
+                    if far[k] <= k + 1:
+                        continue
+                    own = flat[ends[k] - size[k] : ends[k]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[flat[ends[k] : ends[far[k] - 1]]], ends[k : far[k] - 1] - ends[k])
+                    mark[own] = 0
+                    linked = 100 * both >= percent * (size[k] + size[k + 1 : far[k]] - both)
+                    other = np.flatnonzero(linked) + k + 1
+                    other = other[(side[at[other]] != side[at[k]]) | (side[at[k]] == 2)]
+                    found.append(np.stack([np.full(len(other), k), other]))
+                yield tree_links(*np.concatenate(found, axis=1), ids[at])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    picked = written(docs.join(F.broadcast(ids) if small else ids, "id", "left_semi"), "texts")
-    text = lambda x: picked.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    return written(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verifier(percent), "a long, b long").distinct(), "links")
-
-
 def near_copies(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -> DataFrame:
     """(id column, n_shingles, component_id, kept) for each row of docs.
 
@@ -219,17 +245,20 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -
     band = lambda k: F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS))
     bands = nodes.select("id", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    n_tiles, tile = F.ceil(F.col("size") / TILE).cast("int"), F.pmod(F.hash("id"), F.col("n_tiles"))
-    members = bands.join(shared, "key").withColumn("n_tiles", n_tiles).withColumn("tile", tile)
-    # a tile meets itself (side 2) and each other tile (sides 0 and 1)
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
-    low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    members = written(members.select("key", "id", (low.cast("long") * 2**31 + high).alias("tiles"), F.when(F.col("tile") == F.col("other"), 2).otherwise((F.col("tile") > F.col("other")).cast("int")).alias("side")), "members")
-    known = nodes.select("id", "n", "registers")
-    first = verified(candidates(members, known, None, percent / 100, every=False), source, percent)
-    part = components(first, first)
-    rest = verified(candidates(members, known, part, percent / 100, every=True), source, percent)
-    links = first.unionByName(rest)
+    members = tiled(bands.join(shared, "key"), F.ceil(F.col("size") / TILE)).join(nodes.select("id", "n", "registers"), "id")
+    members = members.select("key", "tiles", "side", "id", "n", "registers").repartition("key", "tiles").sortWithinPartitions("key", "tiles")
+    near = written(members.mapInArrow(bucket_links(percent / 100), "a long, b long").distinct(), "near")
+
+    # what hangs together by plausible pairs is a cluster: all its pairs are verified, in tiles, on the full sets
+    cluster = written(components(near, near).withColumnRenamed("component", "key").join(nodes.groupBy("id").agg(F.sum("n").alias("n")), "id"), "cluster")
+    extent = cluster.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    n_tiles = F.greatest(F.lit(1), F.ceil(F.col("docs") / CLUSTER_TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    small = cluster.count() <= BROADCAST_IDS
+    ids = cluster.select("id", "key")
+    held = written(source.join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id", "text"]), "texts")
+    rows = tiled(held.join(extent, "key"), n_tiles).select("key", "tiles", "side", "id", "text")
+    rows = rows.repartition("key", "tiles").sortWithinPartitions("key", "tiles")
+    links = written(rows.mapInArrow(exact_links(percent), "a long, b long").distinct(), "links")
     whole = components(links, links)
     of = nodes.select("one", "two", "n", F.col("id").alias("node")).join(whole.withColumnRenamed("id", "node"), "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component"))
     out = sketches.select("id", "n", "one", "two").join(of, ["one", "two", "n"], "left")
