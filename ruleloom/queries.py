@@ -124,9 +124,9 @@ def variant_presence(spark, d):
     return match(when_all(+m.k & -m.missing & (m.k >= "5")).rule, json_events(spark, d)).select(F.col("m.event_id").alias("event_id"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '[a-m]+ (widget|ring|gear|bolt).{0,5}')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '[a-z]+ (widget|ring|gear|bolt).{0,5}')")
 def regex_full(spark, d):
-    return own(when_all(m.p_name.matches("[m-a]+ (widget|ring|gear|bolt).{0,5}")).rule, alone(read(spark, d, "part"), "p_partkey"), "p_partkey", "p_name")
+    return own(when_all(m.p_name.matches("[z-a]+ (widget|ring|gear|bolt).{0,5}")).rule, alone(read(spark, d, "part"), "p_partkey"), "p_partkey", "p_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE regexp_full_match(lower(c_name), 'customer#0+[0-9]*7')")
@@ -220,11 +220,11 @@ def none_multi(spark, d):
     return match(rule, events(spark, d)).select(F.col("first.event_id").alias("first_id"), F.col("third.event_id").alias("third_id"))
 
 
-@query("SELECT user_id AS sid FROM events GROUP BY user_id HAVING bool_or(event_type = 'error' AND event_id % 3 = 0) AND NOT bool_or(event_type = 'error' AND event_id % 3 <> 0)")
+@query("SELECT user_id AS sid FROM events GROUP BY user_id HAVING bool_or(event_type = 'error' AND value > 100 AND event_id % 3 <> 0) AND NOT bool_or(event_type = 'error' AND value > 100 AND event_id % 3 = 0)")
 def none_emptied(spark, d):
     before = events(spark, d)
-    after = retracted(before, before.df.where("event_id % 3 = 0"))
-    return emptied(when_all(none_(m.event_type == "error")).rule.when.elements[0], before, after)
+    after = retracted(before, before.df.where("event_id % 3 <> 0"))
+    return emptied(when_all(none_((m.event_type == "error") & (m.value > 100))).rule.when.elements[0], before, after)
 
 
 # groups

@@ -149,12 +149,12 @@ class Timers(StatefulProcessor):
                 at = timerValues.getCurrentProcessingTimeInMs() + self.millis
                 self.handle.registerTimer(at)
                 self.due.update((at,))
-        yield pd.DataFrame({"sid": [], "base_time": []})
+        yield pd.DataFrame({"sid": pd.Series([], dtype=object), "base_time": pd.Series([], dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
         self.due.clear()
-        yield pd.DataFrame({"sid": [key[0]], "base_time": [at]})
+        yield pd.DataFrame({"sid": pd.Series([key[0]], dtype=object), "base_time": [at]})
 
     def close(self) -> None:
         pass

@@ -1,0 +1,221 @@
+"""Definitions, joins against a nested-loop evaluation, agenda, chaining, charts, events."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ruleloom.operators.agenda import agenda, batched, first_to_fire, firing_order
+from ruleloom.operators.chain import Retract, asserts, closure, fire
+from ruleloom.operators.events import consumed_once, lifo_pairs
+from ruleloom.operators.flow import Chart, Trigger, current_states, run_chart, run_flow
+from ruleloom.operators.match import emptied, match, unmatched
+from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, ruleset, s, timeout, when_all, when_any
+from ruleloom.plans.ir import RuleError
+from ruleloom.sources import json_rules
+from ruleloom.sources.messages import Messages, from_json, latest_state, observed, retracted, union, without_contexts
+
+SCHEMA = "sid string, mid string, seq long, t string, v long"
+
+
+def messages(spark, rows) -> Messages:
+    return Messages(spark.createDataFrame(rows, SCHEMA))
+
+
+def rows_of(n, seed, sids=3):
+    r = random.Random(seed)
+    return [(str(r.randrange(sids)), f"m{k}", k, r.choice("abc"), r.choice([None, *range(5)])) for k in range(n)]
+
+
+def test_definitions():
+    with ruleset("x") as r:
+        d = when_all(c.first << (m.t == "a"), c.second << (m.v != c.first.v), pri(2), count(3))
+        when_any(all_(m.t == "a", m.t == "b"), any_(m.t == "c"), name="groups")
+
+        @d
+        def act(ctx):
+            return ctx
+
+    assert r.rule("r_0").pri == 2 and r.rule("r_0").run is act and [p.alias for p in r.rule("r_0").when.elements] == ["first", "second"]
+    assert r.rule("groups").when.elements[0].elements[1].alias == "m_0.m_1"
+    assert (c.first << m.t == "a").alias == "first" and (c.first << m.x.y + 1 > 2).condition.op == "gt"
+    for bad in (lambda: when_all(m.t == "a", count(2), cap(2)), lambda: when_all(m.t == c.later.t), lambda: when_all(), lambda: when_all(m.t == "a", pri("x")), lambda: when_all(c.a << +m.t, c.b << m.v.allItems(item == c.a.v))):
+        with pytest.raises(RuleError):
+            bad()
+
+
+def test_json_round_trip():
+    x = {"all": [{"a": {"$and": [{"t": "a"}, {"$gt": {"v": 3}}]}}, {"b": {"$neq": {"v": {"$add": {"$l": {"a": "v"}, "$r": 1}}}}}, {"n$not": {"$mt": {"t": "c.*"}}}, {"g$any": [{"x": {"$ex": {"v": 1}}}, {"y": {"$iall": {"v": {"$lt": {"$i": 4}}}}}]}], "pri": 4, "cap": 2, "dist": 0}
+    r = json_rules.rule("r", x)
+    assert json_rules.to_json(r) == x and r.pri == 4 and not r.distinct
+    assert json_rules.to_json(json_rules.rule("r", json_rules.to_json(r))) == x
+    for bad in ({"all": [{"a": {"$foo": {"v": 1}}}]}, {"any": []}, {}, {"all": [{"a": {"t": 1}}], "count": "2"}, {"all": [{"a": {"t": 1}}], "foo": 1}):
+        with pytest.raises(RuleError):
+            json_rules.rule("r", bad)
+
+
+def compare(op, a, b):
+    return a is not None and b is not None and {"gt": a > b, "eq": a == b, "neq": a != b}[op]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_joins_against_loops(spark, seed):
+    rows = rows_of(40, seed)
+    x = messages(spark, rows)
+    by = {k: [r for r in rows if r[0] == k] for k in {r[0] for r in rows}}
+
+    def want(*alone, rel=lambda *_: True, dist=True):
+        return sorted((k, *(r[1] for r in t)) for k, g in by.items() for t in itertools.product(*([r for r in g if f(r)] for f in alone)) if rel(*t) and (not dist or len({r[1] for r in t}) == len(t)))
+
+    def got(rule, *names):
+        return sorted(map(tuple, match(rule, x).select("sid", *(F.col(f"{n}.mid").alias(n.replace("__", "")) for n in names)).collect()))
+
+    is_ = lambda t: lambda r: r[3] == t
+    any_v = lambda r: r[4] is not None
+    assert got(when_all(c.x << +m.v, c.y << (m.v > c.x.v)).rule, "x", "y") == want(any_v, any_v, rel=lambda a, b: compare("gt", b[4], a[4]))
+    assert got(when_all(c.x << +m.v, c.y << +m.v, distinct(False)).rule, "x", "y") == want(any_v, any_v, dist=False)
+    assert got(when_all(c.x << m.t == "a", c.y << m.t == "b", c.z << (m.v == c.x.v + c.y.v)).rule, "x", "y", "z") == want(is_("a"), is_("b"), any_v, rel=lambda a, b, z: a[4] is not None and b[4] is not None and z[4] == a[4] + b[4])
+    blocked = lambda a: any(r[3] == "b" and compare("gt", r[4], a[4]) and r[1] != a[1] for r in by[a[0]])
+    assert got(when_all(c.x << m.t == "a", none_((m.t == "b") & (m.v > c.x.v))).rule, "x") == want(is_("a"), rel=lambda a: not blocked(a))
+    lead = when_all(none_((m.t == "c") & (m.v == 4)), c.x << m.t == "a").rule
+    assert got(lead, "x") == want(is_("a"), rel=lambda a: not any(r[3] == "c" and r[4] == 4 for r in by[a[0]]))
+    some = match(when_any(c.x << (m.t == "a") & (m.v == 1), c.y << (m.t == "b") & (m.v == 2)).rule, x).select("sid", "x.mid", "y.mid").collect()
+    xs, ys = want(lambda r: r[3] == "a" and r[4] == 1), want(lambda r: r[3] == "b" and r[4] == 2)
+    both = [(k, a, b) for k, a in xs for q, b in ys if k == q]
+    assert sorted(map(tuple, some), key=str) == sorted([(k, a, None) for k, a in xs] + [(k, None, b) for k, b in ys] + both, key=str)
+
+
+def test_correlated_any_never_stands_alone(spark):
+    x = messages(spark, [("0", "1", 1, "a", 1), ("0", "2", 2, "b", 1), ("1", "3", 3, "b", 1)])
+    rule = when_any(c.x << m.t == "a", c.y << (m.t == "b") & (m.v == c.x.v)).rule
+    assert sorted(map(tuple, match(rule, x).select("sid", "x.mid", "y.mid").collect()), key=str) == [("0", "1", "2"), ("0", "1", None)]
+
+
+def test_agenda_and_batches(spark):
+    x = messages(spark, [("0", str(k), k, "a", v) for k, v in enumerate([50, 150, 250, 50, 60])])
+    rules = [when_all(m.v < 300, pri(3), name="p3").rule, when_all(m.v < 200, pri(2), name="p2").rule, when_all(m.v < 100, pri(1), name="p1").rule]
+    a = agenda(rules, x)
+    assert [tuple(r) for r in first_to_fire(a).select("rule", "at").collect()] == [("p1", 4)]
+    assert [(r.rule, r.at) for r in firing_order(a).orderBy("nth").collect()][:4] == [("p1", 4), ("p1", 3), ("p1", 0), ("p2", 4)]
+    one = agenda(rules[:1], x)
+    sizes = lambda d: sorted((r["size"], r.matches[0]["at"]) for r in d.collect())
+    assert sizes(batched(one, count=2)) == [(2, 1), (2, 3)] and sizes(batched(one, cap=2)) == [(1, 4), (2, 1), (2, 3)]
+    assert unmatched(rules[2:], x).count() == 2
+
+
+def test_chaining(spark):
+    facts = spark.createDataFrame([("0", f"{k}", k, *f) for k, f in enumerate([("Kermit", "eats", "flies"), ("Kermit", "lives", "water"), ("Greedy", "eats", "flies"), ("Greedy", "lives", "land"), ("Tweety", "eats", "worms")])], "sid string, mid string, seq long, subject string, predicate string, object string")
+    program = [
+        (when_all(c.first << (m.predicate == "eats") & (m.object == "flies"), c.next << (m.predicate == "lives") & (m.object == "water") & (m.subject == c.first.subject), name="frog").rule, [asserts(subject=c.first.subject, predicate="is", object="frog")]),
+        (when_all(c.first << (m.predicate == "eats") & (m.object == "flies"), c.next << (m.predicate == "lives") & (m.object == "land") & (m.subject == c.first.subject), name="chameleon").rule, [asserts(subject=c.first.subject, predicate="is", object="chameleon")]),
+        (when_all((m.predicate == "eats") & (m.object == "worms"), name="bird").rule, [asserts(subject=m_.subject, predicate="is", object="bird") for m_ in [c.m]]),
+        *((when_all((m.predicate == "is") & (m.object == a), name=a + b).rule, [asserts(subject=c.m.subject, predicate="is", object=b)]) for a, b in [("frog", "green"), ("chameleon", "grey"), ("bird", "black")]),
+    ]
+    out = closure(Messages(facts), program).df
+    assert sorted((r.subject, r.object) for r in out.where("predicate = 'is'").collect()) == [("Greedy", "chameleon"), ("Greedy", "grey"), ("Kermit", "frog"), ("Kermit", "green"), ("Tweety", "bird"), ("Tweety", "black")]
+    assert out.count() == 11
+    with pytest.raises(ValueError):
+        closure(Messages(facts), [(program[0][0], [Retract("first")])])
+
+
+def test_firing_one_by_one(spark):
+    x = messages(spark, [("0", "1", 1, "start", 1), ("0", "2", 2, "other", 1), ("1", "3", 3, "start", 1)])
+    program = [
+        (when_all(m.t == "start", name="go").rule, [asserts(t="next", v=c.m.v + 1), Retract("m")]),
+        (when_all(c.n << m.t == "next", none_(m.t == "other"), name="end").rule, [asserts(t="done", v=c.n.v)]),
+    ]
+    now, fired = fire(x, program)
+    assert sorted((r.sid, r.rule, r.nth) for r in fired.collect()) == [("0", "go", 1), ("1", "end", 2), ("1", "go", 1)]
+    assert sorted((r.sid, r.t, r.v) for r in now.df.collect()) == [("0", "next", 2), ("0", "other", 1), ("1", "done", 2), ("1", "next", 2)]
+
+
+def test_facts_and_state(spark):
+    x = messages(spark, [("0", "1", 1, "a", 1), ("0", "1", 2, "a", 1), ("0", "2", 3, "b", 2), ("1", "1", 4, "a", 3)])
+    first, again = observed(x)
+    assert first.df.count() == 3 and [r.seq for r in again.collect()] == [2]
+    gone = retracted(first, spark.createDataFrame([("0", "2"), ("0", "nope")], "sid string, mid string"))
+    assert sorted(r.seq for r in gone.df.collect()) == [1, 4]
+    assert sorted((r.sid, r.seq) for r in latest_state(x).df.collect()) == [("0", 3), ("1", 4)]
+    assert [r.sid for r in emptied(none_(m.t == "b").__class__("b", (m.t == "b")), first, gone).collect()] == ["0"]
+    assert without_contexts(x, spark.createDataFrame([("0",)], "sid string")).df.count() == 1
+    assert union(x, x).df.count() == 8
+    rule = when_all(c.st << s.t == "b", c.now << (m.v < s.v)).rule
+    assert sorted(r.mid for r in match(rule, x, latest_state(x)).select("now.mid").collect()) == ["1", "1"]
+
+
+def test_json_messages(spark):
+    df = spark.createDataFrame([(1, '{"sid": 3, "a": {"b": 5}}'), (2, '{"a": {"b": 6}, "id": "x"}'), (3, "nope"), (4, '{"a": {"b": 5}, "sid": 3}'), (5, "[1]")], "n long, j string")
+    x = from_json(df, "j", "n")
+    rows = {r.seq: (r.sid, r.mid) for r in x.df.select("sid", "mid", "seq").collect()}
+    assert set(rows) == {1, 2, 4} and rows[2] == ("0", "x") and rows[1] == rows[4] and rows[1][0] == "3"
+    assert [r.mid for r in match(when_all(m.a.b > 5).rule, x).select("m.mid").collect()] == ["x"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairs_against_stacks(spark, seed):
+    rows = rows_of(80, seed, 4)
+    want = []
+    for sid in {r[0] for r in rows}:
+        stack = []
+        for r in (r for r in rows if r[0] == sid and r[3] in "ab"):
+            if stack and stack[-1][3] != r[3]:
+                o = stack.pop()
+                a, b = (r, o) if r[3] == "a" else (o, r)
+                want.append((sid, a[1], b[1], r[2]))
+            else:
+                stack.append(r)
+    x = messages(spark, rows)
+    assert sorted(map(tuple, lifo_pairs(x, m.t == "a", m.t == "b").collect())) == sorted(want)
+    rule = when_all(c.a << m.t == "a", c.b << m.t == "b").rule
+    once = consumed_once(agenda([rule], x)).collect()
+    assert sorted((r.sid, *r.mids, r["at"]) for r in once) == sorted(want)
+
+
+def test_consume_once_of_several_rules(spark):
+    x = messages(spark, [("0", "1", 1, "a", 50), ("0", "2", 2, "a", 200), ("0", "3", 3, "a", 251)])
+    rule = when_all(c.first << m.v < 100, c.second << m.v > 100, c.third << (m.v > c.first.v + c.second.v), name="r").rule
+    assert [list(r.mids) for r in consumed_once(agenda([rule], x)).collect()] == [["1", "2", "3"]]
+
+
+def test_charts(spark):
+    chart = (
+        Chart("expense")
+        .state("input", Trigger("denied", (m.t == "a") & (m.v > 3), name="deny"), Trigger("pending", (m.t == "a") & (m.v <= 3), name="request"))
+        .state("pending", Trigger("approved", m.t == "b", name="approve"), Trigger("denied", m.t == "c", name="reject"))
+        .state("approved")
+        .state("denied")
+    )
+    assert chart.initial() == "input"
+    x = messages(spark, [("0", "1", 1, "a", 1), ("0", "2", 2, "b", 0), ("1", "3", 3, "c", 0), ("1", "4", 4, "a", 2), ("2", "5", 5, "a", 9), ("2", "6", 6, "b", 9)])
+    moves = lambda p: sorted((r.sid, r.nth, r.to_state, r.mid) for r in run_chart(x, chart, pending=p).collect())
+    assert moves(True) == [("0", 1, "pending", "1"), ("0", 2, "approved", "2"), ("1", 1, "pending", "4"), ("1", 2, "denied", "3"), ("2", 1, "denied", "5")]
+    assert moves(False) == [("0", 1, "pending", "1"), ("0", 2, "approved", "2"), ("1", 1, "pending", "4"), ("2", 1, "denied", "5")]
+    assert sorted(map(tuple, current_states(run_chart(x, chart)).collect())) == [("0", "approved"), ("1", "denied"), ("2", "denied")]
+    assert {(r.sid, r.stage) for r in run_flow(x, chart).where("nth = 0").collect()} == {(k, "input") for k in "012"}
+
+
+def test_nested_states_and_checks(spark):
+    chart = Chart("worker").state("work", Trigger("canceled", m.t == "c", pri=1, name="cancel")).state("work.enter", Trigger("work.process", m.t == "a", name="enter")).state("work.process", Trigger("work.process", m.t == "b", name="go_on")).state("canceled")
+    assert chart.initial() == "work.enter"
+    x = messages(spark, [("0", str(k), k, t, 0) for k, t in enumerate("abbc")])
+    assert [(r.trigger, r.to_state) for r in run_chart(x, chart).orderBy("nth").collect()] == [("enter", "work.process"), ("go_on", "work.process"), ("go_on", "work.process"), ("cancel", "canceled")]
+    with pytest.raises(RuleError):
+        Chart("two").state("a").state("b").initial()
+    with pytest.raises(RuleError):
+        Chart("no").state("a", Trigger("zzz", m.t == "a")).initial()
+    j = json_rules.ruleset("w$state", {"start": {"t1": {"to": "end", "all": [{"m": {"t": "a"}}]}}, "end": {}})
+    assert [r.to_state for r in run_chart(x, j).collect()] == ["end"]
+
+
+def test_timeout_is_a_join(spark):
+    rows = spark.createDataFrame([("0", "1", 1, "T", 5, None), ("0", "p", 2, None, None, 9), ("1", "2", 3, "T", 50, None), ("1", "q", 4, None, None, 9)], "sid string, mid string, seq long, timer_name string, base_time long, time long")
+    assert [r.sid for r in match(when_all(timeout("T")).rule, Messages(rows)).collect()] == ["0"]
+
+
+def test_empty_tables(spark):
+    x = messages(spark, [])
+    rule = when_all(c.a << m.t == "a", c.b << (m.v > c.a.v), none_(m.t == "z")).rule
+    assert match(rule, x).count() == 0 and first_to_fire(agenda([rule], x)).count() == 0 and lifo_pairs(x, m.t == "a", m.t == "b").count() == 0
+    chart = Chart("x").state("a", Trigger("b", m.t == "a")).state("b")
+    assert run_chart(x, chart).count() == 0 and closure(x, [(when_all(m.t == "a").rule, [asserts(t="b")])]).df.count() == 0
