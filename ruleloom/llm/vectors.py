@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ PREFIX = 12  # bits of the code that members of a ball share
 EPS = 1e-9
 
 
+@lru_cache(4)
 def rotation(dim: int) -> np.ndarray:
     """Rows of a random orthogonal matrix for vectors of this length, padded to whole words."""
     size = max(WORDS * 64, -(-dim // 64) * 64)
@@ -52,6 +54,11 @@ def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@lru_cache(4)
+def directions(dim: int, n: int) -> np.ndarray:
+    return np.random.default_rng([dim, 1]).standard_normal((dim, n))
+
+
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sign bits (64-bit words) and correction factors of unit vectors."""
     y = x @ rotation(x.shape[1])
@@ -77,7 +84,7 @@ def coder(bits: int, bands: int) -> Callable:
                     continue
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 word, _ = codes(x)
-                signs = (x @ np.random.default_rng([int(dim), 1]).standard_normal((dim, bits * bands)) > 0).reshape(len(x), bands, bits)
+                signs = (x @ directions(int(dim), bits * bands) > 0).reshape(len(x), bands, bits)
                 keys = (signs << np.arange(bits)).sum(axis=2) + (np.arange(bands) << 32) + (int(dim) << 48)
                 rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
@@ -115,10 +122,16 @@ def ball_maker(threshold: float) -> Callable:
                     centre = x[mine].mean(axis=0) if len(mine) > 1 else x[mine[0]]
                     centre = centre / np.linalg.norm(centre) if len(mine) > 1 else centre
                     radius = float(np.arccos(np.clip((x[mine] @ centre).min(), -1, 1))) + EPS if len(mine) > 1 else 0.0
-                    word, factor = codes(centre[None])
                     known = [ids[a + k] for k in mine if ids[a + k] is not None]
-                    info[a + left[0]] = (len(mine), radius, float(factor[0]), word[0].tolist(), centre.tobytes(), uid[a + mine].tolist(), x[mine].tobytes(), min(known, default=None))
+                    info[a + left[0]] = (len(mine), radius, centre, uid[a + mine].tolist(), x[mine].tobytes(), min(known, default=None))
                     left = left[~inside]
+            # the centres' codes, all of a length at once
+            for dim in np.unique(dims[list(info)]) if info else ():
+                at = [k for k in info if dims[k] == dim]
+                word, factor = codes(np.stack([info[k][2] for k in at]))
+                for k, w, f in zip(at, word.tolist(), factor.tolist()):
+                    n_, r, c, u, v, least = info[k]
+                    info[k] = (n_, r, f, w, c.tobytes(), u, v, least)
             more = [info.get(k, (None,) * 8) for k in range(n)]
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
