@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,29 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.sources.store import shared_dir, written
+
+__all__ = ["LOWER", "WHITE", "components", "mix", "once", "pieces", "shared_dir", "ship", "table", "texts", "written"]
+
 WHITE = b" \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z only
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a new one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ruleloom-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Let the executors import this package where PYTHONPATH does not already lead them to it."""
     import shutil
@@ -71,6 +56,17 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_slot: dict[object, object] = {}
+
+
+def once(key: object, build):
+    """What build() makes, kept by the Python worker until another key is asked for: one large table at a time."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = build()
+    return _slot[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> np.uint64(30))
