@@ -10,13 +10,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import pieces, table, texts
+from ruleloom.llm.common import once, pieces, table, texts, written
 
 #: bytes that stand in words stay (A-Z lower-cased); all others become a space
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -24,33 +25,27 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: item text in one automaton; beyond it the items are dealt to several, and each scans all texts
 AUTOMATON_BYTES = 16 << 20
-SCHEMA = "row long, n_words long, items array<string>, hits array<struct<first:int,last:int>>"
-
-_built: dict[object, object] = {}
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-def automaton(key: object, items: list[tuple[str, bytes]], window: int):
-    """Built once in each Python worker."""
-    if key not in _built:
-        import ahocorasick
+def automaton(items: list[tuple[str, bytes]], window: int):
+    import ahocorasick
 
-        _built.clear()
-        found: dict[str, set[str]] = {}
-        for item, text in items:
-            w = words(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault((b" " + b" ".join(w[i : i + window]) + b" ").decode("latin-1"), set()).add(item)
-        a = ahocorasick.Automaton()
-        for pattern, names in found.items():
-            a.add_word(pattern, (len(pattern), tuple(names)))
-        if found:
-            a.make_automaton()
-        _built[key] = a if found else None
-    return _built[key]
+    found: dict[str, set[str]] = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            found.setdefault((b" " + b" ".join(w[i : i + window]) + b" ").decode("latin-1"), set()).add(item)
+    a = ahocorasick.Automaton()
+    for pattern, names in found.items():
+        a.add_word(pattern, (len(pattern), tuple(names)))
+    if found:
+        a.make_automaton()
+    return a if found else None
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -64,7 +59,7 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def scanner(share, window: int) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, items = share.value
-        auto = automaton(key, items, window)
+        auto = once(("automaton", key), lambda: automaton(items, window))
         for whole in batches:
             for batch in pieces(whole, "text"):
                 n_words, named, hits = [], [], []
@@ -93,14 +88,17 @@ def scanner(share, window: int) -> Callable:
     return scan
 
 
-def blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most about `most` bytes of text, a block at a time on the driver."""
+def blocks(items: DataFrame, most: int) -> list[Callable[[], list[tuple[str, bytes]]]]:
+    """What reads the items in blocks of about `most` bytes of text, a block at a time on the driver."""
     clean = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = clean.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-2 * size // most))
-    for k in range(n):
+    n = max(1, -(-2 * size // most)) if size > most else 1
+
+    def block(k: int) -> list[tuple[str, bytes]]:
         part = clean if n == 1 else clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"].encode()) for r in part.collect()]
+        return [(r["item_id"], r["text"].encode()) for r in part.collect()]
+
+    return [partial(block, k) for k in range(n)]
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -112,26 +110,21 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: in
     """
     spark = docs.sparkSession
     source = docs.select(*keep, "text")
-    parts = []
-    for k, block in enumerate(blocks(items, automaton_bytes)):
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+
+    def scanned(rows: DataFrame, block: list, more: str = "") -> DataFrame:
         named = hashlib.sha256(repr((window, block)).encode()).hexdigest()
         share = spark.sparkContext.broadcast((named, block))
-        schema = f"{', '.join(f'`{c}` {source.schema[c].dataType.simpleString()}' for c in keep)}, n_words long, items array<string>, hits array<struct<first:int,last:int>>"
-        parts.append(source.mapInArrow(scanner(share, window), schema))
-    if len(parts) == 1:
-        return parts[0]
+        return rows.mapInArrow(scanner(share, window), f"{more}{kinds}, n_words long, items array<string>, hits array<struct<first:int,last:int>>")
+
+    dealt = blocks(items, automaton_bytes)
+    if len(dealt) == 1:
+        return scanned(source, dealt[0]())
     # several automata: rows get a number that does not depend on the block, then their hits are united
     numbered = source.withColumn("row", F.xxhash64(*keep, "text"))
     twins = numbered.groupBy("row", *keep).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    from ruleloom.llm.common import written
-
-    twins = written(twins, "decontam")
-    schema = f"row long, copies long, {', '.join(f'`{c}` {source.schema[c].dataType.simpleString()}' for c in keep)}, n_words long, items array<string>, hits array<struct<first:int,last:int>>"
-    out = None
-    for block in blocks(items, automaton_bytes):
-        named = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-        part = twins.mapInArrow(scanner(spark.sparkContext.broadcast((named, block)), window), schema)
-        out = part if out is None else out.unionByName(part)
+    twins = written(twins.select("row", "copies", *keep, "text"), "decontam")
+    out = reduce(DataFrame.unionByName, (scanned(twins, block(), "row long, copies long, ") for block in dealt))
     merged = out.groupBy("row", *keep).agg(F.first("copies").alias("copies"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("all"))
     joined = F.aggregate(
         "all",
@@ -145,7 +138,7 @@ def original_spans(text: str | None, hits: list[tuple[int, int]]) -> list[tuple[
     """Word intervals as (start, end) offsets of the original text, in code points."""
     if not hits:
         return []
-    at = [m.span() for m in WORD.finditer(text or "")]
+    at = [m.span() for m in WORD.finditer((text or "").translate(ASCII_LOWER))]
     return [(at[a][0], at[b][1]) for a, b in hits]
 
 

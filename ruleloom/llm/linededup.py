@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import LOWER, WHITE, mix, pieces, table, texts, written
+from ruleloom.llm.common import LOWER, WHITE, mix, once, pieces, table, texts, written
 
 MIN_LENGTH = 40
 MIN_DOCS = 5
@@ -27,8 +27,6 @@ INDEX_BYTES = 64 << 20
 BYTES_A_KEY = 30
 GAMMA = 2.0
 
-_held: dict[str, dict] = {}
-
 
 def key_hash(line: bytes, min_length: int) -> bytes | None:
     """128-bit hash of the line's key; None if the key is shorter than `min_length` code points."""
@@ -156,10 +154,7 @@ def prober(share, n: int, min_length: int, out: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, rows = share.value
-        if name not in _held:
-            _held.clear()
-            _held[name] = {r["shard"]: Shard(r) for r in rows}
-        shards = _held[name]
+        shards = once(("lines", name), lambda: {r["shard"]: Shard(r) for r in rows})
         for whole in batches:
             for batch in pieces(whole, "text"):
                 lines = [t.split(b"\n") for t in texts(batch.column("text"))]
