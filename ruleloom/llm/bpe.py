@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import pieces, table, texts
+from ruleloom.llm.common import once, pieces, table, texts
 
-FRAGMENTS_KEPT = 400_000
-
-_loaded: dict[str, "ForcedBpe"] = {}
+#: different fragments whose ids a Python worker remembers, and how many are encoded as one string
+FRAGMENTS_KEPT, TOGETHER = 500_000, 512
 
 
 def byte_of_char() -> dict[str, int]:
@@ -60,13 +59,16 @@ class ForcedBpe:
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Ids of known fragments: number of a fragment, and where its ids stand in the pool."""
+        self.known: dict[bytes, int] = {}
+        self.pool, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
     def load(path: str) -> "ForcedBpe":
-        if path not in _loaded:
-            _loaded[path] = ForcedBpe(path)
-        return _loaded[path]
+        return once(("bpe", path), lambda: ForcedBpe(path))
 
     def fragments(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Starts of all fragments of the joined texts; `starts` are those of the texts that are not empty."""
@@ -94,23 +96,43 @@ class ForcedBpe:
         offsets = np.append(at, len(data)).astype(np.int64)
         parts = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
         which = parts.indices.to_numpy(zero_copy_only=False)
-        words = parts.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > FRAGMENTS_KEPT:
-                known.clear()
-                new = words
-            for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32)
-        ids = [known[w] for w in words]
-        n = np.array([len(x) for x in ids], np.int64)
-        pool, first = np.concatenate(ids), np.cumsum(n) - n
-        count = n[which]
-        out = pool[ragged(first[which], count)]
+        _, places, held = parts.dictionary.buffers()
+        cut, held = np.frombuffer(places, np.int64)[: len(parts.dictionary) + 1].tolist(), held.to_pybytes()
+        words = [held[a:b] for a, b in zip(cut, cut[1:])]
+        at_pool = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at_pool < 0)
+        if len(new):
+            if len(self.known) + len(new) > FRAGMENTS_KEPT:
+                self.forget()
+                new = np.arange(len(words))
+            fresh = [words[k] for k in new.tolist()]
+            at_pool[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(fresh, at_pool[new].tolist()))
+            ids, n = self.encode_fragments(fresh)
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])
+            self.count, self.pool = np.concatenate([self.count, n]), np.concatenate([self.pool, ids])
+        count = self.count[at_pool][which]
+        out = self.pool[ragged(self.first[at_pool][which], count)]
         upto = np.concatenate([[0], np.cumsum(count)])  # every text that is not empty starts a fragment
         return out, upto[np.searchsorted(at, ends)] - upto[np.searchsorted(at, ends - sizes)]
 
+    def encode_fragments(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments in one array, and how many each has.
+
+        Fragments whose joint is itself a certain cut go to the library as one string: its tokens end where they do.
+        """
+        joined = b"".join(parts)
+        size = np.array([len(x) for x in parts], np.int64)
+        ends = np.cumsum(size)
+        certain = np.zeros(len(joined) + 1, bool)
+        certain[self.fragments(np.frombuffer(joined, np.uint8), np.zeros(1, np.int64))] = True
+        breaks = ~certain[ends - size] | (np.arange(len(parts)) % TOGETHER == 0)
+        starts = (ends - size)[breaks].tolist()
+        strings = [joined[a:b].decode() for a, b in zip(starts, [*starts[1:], len(joined)])]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
+        upto = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
+        return ids, np.diff(upto, prepend=0)
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each text's ids, joined, with sequences that are not UTF-8 replaced as the library does."""
         length = self.length[ids]
