@@ -92,3 +92,18 @@ def without_contexts(messages: Messages, deleted: DataFrame) -> Messages:
 def pending_events(events: Messages, consumed: DataFrame) -> Messages:
     """Events that no firing has consumed (`consumed` has sid and mid)."""
     return retracted(events, consumed)
+
+
+def changes(before: Messages, after: Messages) -> DataFrame:
+    """What was stored and deleted between two states of working memory: (action, sid, mid), by one full outer join."""
+    keys = lambda x, side: x.df.select(F.col(x.sid).alias("sid"), F.col(x.mid).alias("mid")).distinct().withColumn(side, F.lit(True))
+    both = keys(before, "old").join(keys(after, "new"), ["sid", "mid"], "full_outer")
+    action = F.when(F.col("old").isNull(), "store").when(F.col("new").isNull(), "delete")
+    return both.select(action.alias("action"), "sid", "mid").where("action IS NOT NULL")
+
+
+def replayed(log: Messages, action: str = "action") -> Messages:
+    """Working memory from a log of stores and deletes: each message whose last entry stores it."""
+    df = log.df
+    last = df.groupBy(log.sid, log.mid).agg(F.max_by(F.struct(*df.columns), log.seq).alias("_row")).select("_row.*")
+    return replace(log, df=last.where(F.col(action) == "store").drop(action))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ruleloom.operators.actions import chained, effects_of
 from ruleloom.operators.agenda import agenda, batched, first_to_fire, firing_order
 from ruleloom.operators.chain import Retract, asserts, closure, fire
 from ruleloom.operators.events import consumed_once, lifo_pairs
@@ -14,7 +15,7 @@ from ruleloom.operators.match import emptied, match, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, ruleset, s, timeout, when_all, when_any
 from ruleloom.plans.ir import RuleError
 from ruleloom.sources import json_rules
-from ruleloom.sources.messages import Messages, from_json, latest_state, observed, retracted, union, without_contexts
+from ruleloom.sources.messages import Messages, changes, from_json, latest_state, observed, replayed, retracted, union, without_contexts
 
 SCHEMA = "sid string, mid string, seq long, t string, v long"
 
@@ -144,6 +145,37 @@ def test_facts_and_state(spark):
     assert sorted(r.mid for r in match(rule, x, latest_state(x)).select("now.mid").collect()) == ["1", "1"]
 
 
+def test_changes_and_replay(spark):
+    a = messages(spark, [("0", "1", 1, "a", 1), ("0", "2", 2, "b", 2)])
+    b = messages(spark, [("0", "2", 2, "b", 2), ("1", "2", 3, "a", 3)])
+    assert sorted(map(tuple, changes(a, b).collect())) == [("delete", "0", "1"), ("store", "1", "2")]
+    log = spark.createDataFrame([("store", "0", "1", 1), ("store", "0", "2", 2), ("delete", "0", "1", 3)], "action string, sid string, mid string, seq long")
+    assert [r.mid for r in replayed(Messages(log)).df.collect()] == ["2"]
+
+
+def test_actions_ask_for_effects(spark):
+    x = messages(spark, [("0", "1", 1, "a", 5), ("0", "2", 2, "b", 7), ("1", "3", 3, "b", 1)])
+    rules = [when_all(m.t == "a", name="one").rule, when_all(c.x << m.t == "b", name="two").rule, when_all(m.t == "b", name="silent").rule]
+
+    def one(ctx):
+        ctx.assert_fact({"v": ctx.m.v + 1})
+        ctx.post("other", {"v": 0})
+        ctx.s.count = ctx.s.get("count", 0) + 1
+        ctx.start_timer("T", 5)
+
+    def two(ctx):
+        ctx.retract_fact({"id": ctx.x.mid})
+        if ctx.x.v == 1:
+            raise ValueError("one")
+
+    state = spark.createDataFrame([("0", 4)], "sid string, count long")
+    out = effects_of(agenda(rules, x, keep=["v"]), {"one": one, "two": chained(two)}, state).collect()
+    said = sorted(((r.sid, r.rule, r.nth, r.kind, r.ruleset, r.payload, r.error) for r in out), key=str)
+    assert [r[3] for r in said if r[1] == "one"] == ["fact", "event", "start_timer", "state"]
+    assert ("0", "one", 0, "fact", None, '{"v": 6}', None) in said and ("0", "one", 1, "event", "other", '{"v": 0}', None) in said and ("0", "one", 3, "state", None, '{"count": 5}', None) in said
+    assert ("1", "two", 1, "error", None, None, "ValueError: one") in said and ("0", "two", 0, "retract", None, '{"id": "2"}', None) in said
+
+
 def test_json_messages(spark):
     df = spark.createDataFrame([(1, '{"sid": 3, "a": {"b": 5}}'), (2, '{"a": {"b": 6}, "id": "x"}'), (3, "nope"), (4, '{"a": {"b": 5}, "sid": 3}'), (5, "[1]")], "n long, j string")
     x = from_json(df, "j", "n")
