@@ -109,3 +109,22 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(
         "conv_id", F.size(turns_of).cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars"
     )
+
+
+ORACLE = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+o AS (SELECT *, row_number() OVER w - 1 AS pos, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{L}\\p{M}\\p{N}]')) + 4 AS tokens FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+t AS MATERIALIZED (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS before, pos = 0 AND role = 'system' AS system,
+  length('<turn ></turn>') + 1 + length(replace(replace(replace(role, '\\', '\\\\'), '<', '\\l'), '>', '\\g')) + length(replace(replace(replace(text, '\\', '\\\\'), '<', '\\l'), '>', '\\g')) AS chars FROM o),
+room AS (SELECT conv_id, greatest(1, 512 - 128 - max(CASE WHEN system THEN tokens ELSE 0 END)) AS room, bool_or(system) AS has_system FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, 0 AS pos, 0 AS win, 0 AS start, CAST(0 AS HUGEINT) AS start_before FROM room
+  UNION ALL SELECT t.conv_id, t.pos, CASE WHEN before + tokens - start_before > room THEN win + 1 ELSE win END, CASE WHEN before + tokens - start_before > room THEN t.pos ELSE start END, CASE WHEN before + tokens - start_before > room THEN before ELSE start_before END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.pos = f.pos + 1 JOIN room ON room.conv_id = f.conv_id),
+again AS (SELECT s.conv_id, sum(t.chars) AS chars FROM (SELECT DISTINCT f.conv_id, win, start, start_before FROM f WHERE win > 0) s JOIN t ON t.conv_id = s.conv_id
+  AND (t.system OR t.pos BETWEEN start - 2 AND start - 1 AND start_before - t.before <= 128) AND t.pos < start GROUP BY s.conv_id)
+SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(t.chars) + coalesce(any_value(again.chars), 0) AS BIGINT) AS formatted_chars
+FROM t LEFT JOIN again ON again.conv_id = t.conv_id GROUP BY t.conv_id
+"""

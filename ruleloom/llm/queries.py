@@ -21,4 +21,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_vector_links": vectors.ORACLE,
     "op3_decontaminate": decontam.ORACLE,
     "op6_line_dedup": linededup.ORACLE,
+    "op7_near_copies": nearcopies.ORACLE,
+    "op8_chat_format": chat.ORACLE,
 }
