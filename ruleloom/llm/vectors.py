@@ -1,9 +1,10 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
 A unit vector is padded and rotated at random; its code is the signs, and its correction factor f the inner product of
-the rotated vector with its code's direction. <code a, code b> / (f_a f_b) estimates the cosine without bias, with an
-error whose spread follows from the factors, so a confidence bound tells which pairs can reach the threshold; only
-these are computed exactly. Signs of further random directions, in bands, tell which pairs are estimated at all.
+the rotated vector with its code's direction. <code a, b> / f_a estimates the cosine without bias, with an error whose
+spread follows from the factor, so a confidence bound tells which pairs can reach the threshold; only these are computed
+exactly. The other side b is rounded at random to 4 bits a coordinate, as bit-planes, so an estimate is a few bit counts
+in the join's condition. Signs of further random directions, in bands, tell which pairs are estimated at all.
 
 Vectors that lie within half the threshold's angle of a leader form a ball: by the triangle inequality all its pairs
 link, and are counted, not listed. Balls take the place of vectors from there on. For two balls the exact angle of the
@@ -30,6 +31,7 @@ MISSED = 0.002
 #: spreads of the estimate's error that the bound allows
 SPREADS = 4.0
 WORDS = 4  # of 64 bits in a code, at least
+PLANES = 4  # bits of a coordinate on the rounded side
 PREFIX = 12  # bits of the code that members of a ball share
 EPS = 1e-9
 
@@ -59,10 +61,39 @@ def directions(dim: int, n: int) -> np.ndarray:
     return np.random.default_rng([dim, 1]).standard_normal((dim, n))
 
 
+def words_of(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sign bits (64-bit words) and correction factors of unit vectors."""
     y = x @ rotation(x.shape[1])
-    return np.packbits(y > 0, axis=1).view(">u8").astype(np.uint64).view(np.int64), np.abs(y).sum(axis=1) / math.sqrt(y.shape[1])
+    return words_of(y > 0), np.abs(y).sum(axis=1) / math.sqrt(y.shape[1])
+
+
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, rotated, on a grid of 2^PLANES steps each: words of the bit-planes (plane by plane), lowest, step, sum."""
+    y = x @ rotation(x.shape[1])
+    low = y.min(axis=1, keepdims=True)
+    step = np.maximum((y.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-12)
+    u = np.clip(np.floor((y - low) / step + np.random.default_rng(len(x)).random(y.shape)), 0, 2**PLANES - 1).astype(np.int64)
+    planes = np.concatenate([words_of((u >> j & 1).astype(bool)) for j in range(PLANES)], axis=1)
+    return planes, low[:, 0], step[:, 0], (low + step * u).sum(axis=1)
+
+
+def estimate(words: int):
+    """Columns of a and b: the unbiased estimate of their cosine, and the bound of its error."""
+    size = F.size("words_a") * 64
+    word = lambda k: F.get("words_a", F.lit(k))
+    wide = F.size("words_a")
+    plane = lambda j: sum((F.coalesce(F.bit_count(word(k).bitwiseAND(F.get("planes_b", wide * j + k))), F.lit(0)) for k in range(1, words)), F.bit_count(word(0).bitwiseAND(F.get("planes_b", wide * j))))
+    inner = sum((plane(j) * 2**j for j in range(1, PLANES)), plane(0))
+    ones = sum((F.coalesce(F.bit_count(word(k)), F.lit(0)) for k in range(1, words)), F.bit_count(word(0)))
+    f = F.col("factor_a")
+    value = (2 * (F.col("low_b") * ones + F.col("step_b") * inner) - F.col("total_b")) / F.sqrt(size) / f
+    # rounding at random has a spread of step / sqrt(6) on average
+    slack = SPREADS * F.sqrt((1 - f * f) / (f * f) / (size - 1) + (F.col("step_b") / f) ** 2 / 6)
+    return value, slack
 
 
 def coder(bits: int, bands: int) -> Callable:
@@ -95,7 +126,7 @@ def coder(bits: int, bands: int) -> Callable:
     return run
 
 
-BALL = "uid long, id long, keys array<long>, ball long, dim int, size long, radius double, factor double, words array<long>, centre binary, uids array<long>, vectors binary, least long"
+BALL = "uid long, id long, keys array<long>, ball long, dim int, size long, radius double, factor double, words array<long>, planes array<long>, low double, step double, total double, centre binary, uids array<long>, vectors binary, least long"
 
 
 def ball_maker(threshold: float) -> Callable:
@@ -128,15 +159,16 @@ def ball_maker(threshold: float) -> Callable:
             # the centres' codes, all of a length at once
             for dim in np.unique(dims[list(info)]) if info else ():
                 at = [k for k in info if dims[k] == dim]
-                word, factor = codes(np.stack([info[k][2] for k in at]))
-                for k, w, f in zip(at, word.tolist(), factor.tolist()):
+                centres = np.stack([info[k][2] for k in at])
+                word, factor = codes(centres)
+                for k, f, w, *q in zip(at, factor.tolist(), word.tolist(), *(v.tolist() for v in rounded(centres))):
                     n_, r, c, u, v, least = info[k]
-                    info[k] = (n_, r, f, w, c.tobytes(), u, v, least)
-            more = [info.get(k, (None,) * 8) for k in range(n)]
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+                    info[k] = (n_, r, f, w, *q, c.tobytes(), u, v, least)
+            more = [info.get(k, (None,) * 12) for k in range(n)]
+            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("uid"), batch.column("id"), batch.column("keys"), pa.array(uid[leader]), batch.column("dim"), *(pa.array([m[k] for m in more], t) for k, t in enumerate(kinds))],
-                ["uid", "id", "keys", "ball", "dim", "size", "radius", "factor", "words", "centre", "uids", "vectors", "least"],
+                ["uid", "id", "keys", "ball", "dim", "size", "radius", "factor", "words", "planes", "low", "step", "total", "centre", "uids", "vectors", "least"],
             )
 
     return run
@@ -196,19 +228,16 @@ def vector_links(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     parts = max(1, -(-count // 20_000))
     ordered = coded.repartitionByRange(parts, "dim", "code", "uid").sortWithinPartitions("dim", "code", "uid")
     members = written(ordered.mapInArrow(ball_maker(threshold), BALL), "balls")
-    balls = members.where("size IS NOT NULL").select("ball", "size", "radius", "factor", "words", "dim", "centre", "uids", "vectors", "least")
+    balls = members.where("size IS NOT NULL").drop("uid", "id", "keys")
 
     held = members.select("ball", F.explode("keys").alias("key")).distinct()
-    told = held.join(balls.select("ball", "radius", "factor", "words"), "ball")
-    side = lambda x: told.select(F.col("ball").alias(x), "key", *(F.col(c).alias(f"{c}_{x}") for c in ("radius", "factor", "words")))
-    words = max(WORDS, -(-(members.agg(F.max("dim").alias("d")).first()["d"] or 0) // 64))
-    size = F.size("words_a") * 64
-    differ = sum((F.coalesce(F.bit_count(F.get("words_a", F.lit(k)).bitwiseXOR(F.get("words_b", F.lit(k)))), F.lit(0)) for k in range(1, words)), F.bit_count(F.get("words_a", F.lit(0)).bitwiseXOR(F.get("words_b", F.lit(0)))))
-    estimate = (1 - 2 * differ / size) / (F.col("factor_a") * F.col("factor_b"))
-    t = lambda x: (1 - F.col(f"factor_{x}") ** 2) / F.col(f"factor_{x}") ** 2
-    slack = SPREADS * F.sqrt((t("a") + t("b") + t("a") * t("b")) / (size - 1))
+    held = written(held, "bands")
+    code, query = ["radius", "factor", "words"], ["radius", "planes", "low", "step", "total"]
+    side = lambda x, cols: held.join(balls.select("ball", *cols), "ball").select(F.col("ball").alias(x), "key", *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    widest = members.agg(F.max("dim").alias("d")).first()["d"] or 0
+    value, slack = estimate(max(WORDS, -(-widest // 64)))
     reach = F.least(F.lit(math.pi), F.lit(math.acos(threshold)) + F.col("radius_a") + F.col("radius_b"))
-    near = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (estimate + slack >= F.cos(reach))).select("a", "b").distinct()
+    near = side("a", code).join(side("b", query), "key").where((F.col("a") < F.col("b")) & (value + slack >= F.cos(reach))).select("a", "b").distinct()
     near = written(near, "near")
 
     centre = lambda x: balls.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "radius", "centre")))
