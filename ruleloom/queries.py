@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators import timers as tm
+from ruleloom.operators.actions import effects_of
 from ruleloom.operators.agenda import agenda, batched, batches_of, first_to_fire, firing_order
 from ruleloom.operators.chain import asserts, closure, fire
 from ruleloom.operators.events import consumed_once, lifo_pairs
@@ -15,7 +16,7 @@ from ruleloom.operators.flow import Chart, Trigger, run_chart, run_flow
 from ruleloom.operators.match import emptied, match, taken_by, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, s, when_all, when_any
 from ruleloom.sources import json_rules
-from ruleloom.sources.messages import Messages, from_json, initial_states, latest_state, observed, pending_events, retracted
+from ruleloom.sources.messages import Messages, changes, from_json, initial_states, latest_state, observed, pending_events, replayed, retracted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -370,6 +371,38 @@ def json_scan(spark, d):
     return found.select(F.col("m.mid").cast("long").alias("event_id"), F.col("sid").cast("long").alias("sid"))
 
 
+@query("SELECT user_id AS sid, count(*) AS n, CAST(round(sum(value) * 100) AS BIGINT) AS cents FROM events WHERE event_type = 'purchase' AND value > 20 GROUP BY user_id")
+def accumulated_state(spark, d):
+    bought = match(when_all((m.event_type == "purchase") & (m.value > 20)).rule, events(spark, d), keep=["value"])
+    return bought.groupBy("sid").agg(F.count("*").alias("n"), F.round(F.sum("m.value") * 100).cast("long").alias("cents"))
+
+
+@query("SELECT CASE WHEN a.event_id IS NULL THEN 'store' ELSE 'delete' END AS action, coalesce(a.user_id, b.user_id) AS sid, coalesce(a.event_id, b.event_id) AS mid FROM (SELECT user_id, event_id FROM events WHERE value < 120) a FULL JOIN (SELECT user_id, event_id FROM events WHERE value > 80) b ON a.user_id = b.user_id AND a.event_id = b.event_id WHERE a.event_id IS NULL OR b.event_id IS NULL")
+def stored_and_deleted(spark, d):
+    ev = events(spark, d)
+    return changes(ev.where("value < 120"), ev.where("value > 80"))
+
+
+@query("SELECT user_id AS sid, event_id AS mid FROM (SELECT user_id, event_id, arg_max(action, pos) AS newest FROM (SELECT user_id, event_id, 'store' AS action, event_id AS pos FROM events UNION ALL SELECT user_id, event_id, 'delete', event_id + 1 FROM events WHERE event_id % 3 = 0) GROUP BY user_id, event_id) WHERE newest = 'store'")
+def log_replayed(spark, d):
+    ev = events(spark, d).df.select("user_id", "event_id")
+    log = ev.select(F.lit("store").alias("action"), "user_id", "event_id", F.col("event_id").alias("at")).unionByName(ev.where("event_id % 3 = 0").select(F.lit("delete").alias("action"), "user_id", "event_id", (F.col("event_id") + 1).alias("at")))
+    return replayed(Messages(log, "user_id", "event_id", "at")).df.select(F.col("user_id").alias("sid"), F.col("event_id").alias("mid"))
+
+
+@query("SELECT user_id AS sid, event_id AS mid, 'fact' AS kind, CAST(event_id * 2 AS BIGINT) AS said FROM events WHERE event_type = 'signup' AND value > 50 UNION ALL SELECT user_id, event_id, 'error', -1 FROM events WHERE event_type = 'signup' AND value <= 50 AND value > 40")
+def actions_run(spark, d):
+    def act(ctx):
+        if ctx.m.value <= 50:
+            raise ValueError(ctx.m.event_id)
+        ctx.assert_fact({"mid": ctx.m.event_id, "said": ctx.m.event_id * 2})
+
+    rule = when_all((m.event_type == "signup") & (m.value > 40), name="act").rule
+    out = effects_of(agenda([rule], events(spark, d), keep=["value"]), {"act": act})
+    get = lambda x: F.get_json_object("payload", f"$.{x}").cast("long")
+    return out.select(F.col("sid").cast("long").alias("sid"), F.coalesce(get("mid"), F.regexp_extract("error", r"\d+", 0).try_cast("long")).alias("mid"), "kind", F.coalesce(get("said"), F.lit(-1)).cast("long").alias("said"))
+
+
 DEFINITION = {"suspect": {"all": [{"first": {"event_type": "purchase"}}, {"second": {"$and": [{"event_type": "purchase"}, {"$gt": {"value": {"$add": {"$l": {"first": "value"}, "$r": 250}}}}]}}, {"quiet$not": {"$and": [{"event_type": "error"}, {"$gt": {"event_id": {"second": "event_id"}}}]}}], "pri": 1}}
 
 
