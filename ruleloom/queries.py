@@ -519,24 +519,24 @@ def timeout_join(spark, d):
     return out.join(ids, (F.col("sid") == F.col("user_id")) & (out["started"] == ids["started"])).select("sid", "event_id")
 
 
-@query("SELECT user_id AS sid, max(ts) AS started, max(ts) + INTERVAL 5 MINUTE AS base_time FROM events WHERE event_type = 'click' GROUP BY user_id HAVING max(ts) + INTERVAL 5 MINUTE <= TIMESTAMP '2024-01-20 00:00:00'")
+@query("SELECT user_id AS sid, epoch_us(max(ts)) AS started_us, epoch_us(max(ts) + INTERVAL 5 MINUTE) AS base_us FROM events WHERE event_type = 'click' GROUP BY user_id HAVING max(ts) + INTERVAL 5 MINUTE <= TIMESTAMP '2024-01-20 00:00:00'")
 def timers_restarted(spark, d):
     clicks = tm.start_timers(read(spark, d, "events").where("event_type = 'click'"), "user_id", "ts", "idle", 300)
     out = tm.expired(tm.restarted(clicks), F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return out.select("sid", F.col("started").cast("timestamp_ntz").alias("started"), F.col("base_time").cast("timestamp_ntz").alias("base_time"))
+    return out.select("sid", F.unix_micros("started").alias("started_us"), F.unix_micros("base_time").alias("base_us"))
 
 
-@query("SELECT user_id AS sid, time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id AS sid, epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start_us, count(*) AS n FROM events GROUP BY ALL")
 def velocity_window(spark, d):
     out = tm.velocity(read(spark, d, "events"), "user_id", "ts", "5 minutes")
-    return out.select("sid", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return out.select("sid", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("SELECT user_id AS sid, window_start AS start, n FROM (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL) WHERE n >= 2")
+@query("SELECT user_id AS sid, epoch_us(window_start) AS start_us, n FROM (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL) WHERE n >= 2")
 def velocity_alarm(spark, d):
     rates = tm.velocity(read(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", "1 hour")
     found = match(when_all(m.n >= 2).rule, Messages(rates, "sid", "start", "start"), keep=["n"])
-    return found.select("sid", F.col("m.start").cast("timestamp_ntz").alias("start"), F.col("m.n").alias("n"))
+    return found.select("sid", F.unix_micros("m.start").alias("start_us"), F.col("m.n").alias("n"))
 
 
 __all__ = ["QUERIES", "SQL", "batched"]
