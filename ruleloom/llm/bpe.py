@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm.common import once, pieces, table, texts
 
 #: different fragments whose ids a Python worker remembers, and how many are encoded as one string
-FRAGMENTS_KEPT, TOGETHER = 500_000, 512
+FRAGMENTS_KEPT, TOGETHER = 250_000, 512
 
 
 def byte_of_char() -> dict[str, int]:

@@ -20,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import pieces, table, texts
+from ruleloom.llm.common import once, pieces, table, texts, written
 
 ORDER = 3
 ALPHABET = 48
 #: bytes of labelled text a language is learned from: a bounded sample, chosen by a hash
 SAMPLE_BYTES = 4_000_000
 
-_tables: dict[str, tuple] = {}
-
 
 def letters(text: Column) -> Column:
     """Lower case, with one space for every run of other characters."""
@@ -71,18 +69,26 @@ def counter(lut: np.ndarray, order: int, alphabet: int) -> Callable:
     return count
 
 
-def code_lengths(counts: np.ndarray, order: int, alphabet: int) -> np.ndarray:
-    """Bits of the last symbol of every (order + 1)-sequence, by PPM with escapes, from its sequences' counts."""
-    bits = np.full(alphabet, np.log2(alphabet), np.float64)  # below the empty context
-    for k in range(order + 1):
-        c = counts.reshape(-1, alphabet**k, alphabet).sum(axis=0).astype(np.float64)
-        total, kinds = c.sum(axis=1), (c > 0).sum(axis=1)
-        shorter = np.tile(bits.reshape(-1, alphabet), (alphabet if k else 1, 1))
+def code_lengths(counts: np.ndarray, order: int, alphabet: int, out: np.ndarray) -> None:
+    """Bits of the last symbol of every (order + 1)-sequence, by PPM with escapes, from its sequences' counts, into out.
+
+    The longest contexts are done by their first symbol, so nothing but `out` is of full size.
+    """
+
+    def coded(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        total, kinds = c.sum(axis=1, dtype=np.float64), (c > 0).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.log2(total + kinds)[:, None] - np.log2(c)
             escape = np.where(total > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
-        bits = np.where(c > 0, seen, escape[:, None] + shorter)
-    return bits.ravel()
+        return np.where(c > 0, seen, escape[:, None] + shorter)
+
+    bits = np.full((1, alphabet), np.log2(alphabet))  # below the empty context
+    for k in range(order):
+        c = sum(part.reshape(-1, alphabet) for part in counts.reshape(-1, alphabet**k * alphabet))
+        bits = coded(c, np.tile(bits, (alphabet if k else 1, 1)))
+    step = alphabet**order
+    for k in range(alphabet if order else 1):
+        out[k * step : (k + 1) * step] = coded(counts[k * step : (k + 1) * step].reshape(-1, alphabet), bits).ravel()
 
 
 def learn(labelled: DataFrame, order: int = ORDER, alphabet: int = ALPHABET, sample_bytes: int = SAMPLE_BYTES) -> dict:
@@ -99,8 +105,6 @@ def learn(labelled: DataFrame, order: int = ORDER, alphabet: int = ALPHABET, sam
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_bytes / max(1, sizes[lang])))).otherwise(share)
     picked = clean.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", letters(F.col("text")).alias("text")).distinct()
-    from ruleloom.llm.common import written
-
     picked = written(picked, "langid")
     # byte frequencies come from the same sample: a first pass with the identity alphabet and no context
     first = picked.mapInArrow(counter(np.arange(256), 0, 256), "lang string, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
@@ -117,21 +121,18 @@ def learn(labelled: DataFrame, order: int = ORDER, alphabet: int = ALPHABET, sam
 
 
 def lookup(model: dict) -> np.ndarray:
-    """Bits of every sequence (rows) in every language (columns), built once in each Python worker."""
-    if model["name"] not in _tables:
-        _tables.clear()
-        size = model["alphabet"] ** (model["order"] + 1)
-        out = np.empty((size, len(model["langs"])), np.float32)
-        for k in range(len(model["langs"])):
-            mine = model["lang"] == k
-            counts = np.zeros(size, np.int32)
-            counts[model["gram"][mine]] = model["n"][mine]
-            out[:, k] = code_lengths(counts, model["order"], model["alphabet"])
-        _tables[model["name"]] = out
-    return _tables[model["name"]]
-
-
-def lengths(items: list[bytes], model: dict, bits: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Bits of every sequence (rows) in every language (columns)."""
+    size = model["alphabet"] ** (model["order"] + 1)
+    out = np.empty((size, len(model["langs"])), np.float32)
+    for k in range(len(model["langs"])):
+        mine = model["lang"] == k
+        counts = np.zeros(size, np.int32)
+        counts[model["gram"][mine]] = model["n"][mine]
+        code_lengths(counts, model["order"], model["alphabet"], out[:, k])
+    return out
+
+
+def lengths(items: list[bytes], model: dict, bits: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     """Code length in bits of each text (rows) in each language (columns)."""
     order = model["order"]
     s, starts, ends = symbols(items, model["lut"], order)
@@ -152,7 +153,7 @@ def lengths(items: list[bytes], model: dict, bits: np.ndarray, step: int = 1 <<
 def predictor(share) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        bits = lookup(model)
+        bits = once(("langid", model["name"]), lambda: lookup(model))
         langs = np.array([*model["langs"], "und"], object)
         for whole in batches:
             for batch in pieces(whole, "letters"):

@@ -165,7 +165,7 @@ def writer(path: str, end_id: int, shard_tokens: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, shard, n_docs, held)] + [pa.array([blob], pa.binary())], ["part", "shard", "n_docs", "n_tokens", "blob"])
 
         for whole in batches:
-            for batch in pieces(whole, "text", 2 * shard_tokens):
+            for batch in pieces(whole, "text", min(1 << 20, 2 * shard_tokens)):
                 got, n = bpe.encode(texts(batch.column("text")))
                 ends = np.cumsum(n)
                 out = np.empty(len(got) + len(n), np.uint32)
