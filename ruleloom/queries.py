@@ -17,6 +17,7 @@ from ruleloom.operators.match import emptied, match, taken_by, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, s, when_all, when_any
 from ruleloom.sources import json_rules
 from ruleloom.sources.messages import Messages, changes, from_json, initial_states, latest_state, observed, pending_events, replayed, retracted
+from ruleloom.sources.store import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,9 +1,12 @@
-"""Tables in the shared folder, where plans that repeat or branch end their lineage."""
+"""Tables in the shared folder, where plans that repeat or branch end their lineage, and this package for executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +27,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package where PYTHONPATH does not already lead them to it."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root and spark.sparkContext.master.startswith("local["):
+        return
+    if not getattr(spark.sparkContext, "_ruleloom_shipped", False):
+        out = shutil.make_archive(f"{tempfile.mkdtemp()}/ruleloom", "zip", root, "ruleloom")
+        spark.sparkContext.addPyFile(out)
+        spark.sparkContext._ruleloom_shipped = True
