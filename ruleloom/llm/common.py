@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.sources.store import shared_dir, written
+from ruleloom.sources.store import shared_dir, ship, written
 
 __all__ = ["LOWER", "WHITE", "components", "mix", "once", "pieces", "shared_dir", "ship", "table", "texts", "written"]
 
@@ -21,20 +19,6 @@ WHITE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors import this package where PYTHONPATH does not already lead them to it."""
-    import shutil
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root and spark.sparkContext.master.startswith("local["):
-        return
-    if not getattr(spark.sparkContext, "_ruleloom_shipped", False):
-        out = shutil.make_archive(f"{tempfile.mkdtemp()}/ruleloom", "zip", root, "ruleloom")
-        spark.sparkContext.addPyFile(out)
-        spark.sparkContext._ruleloom_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
