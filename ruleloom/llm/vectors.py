@@ -46,7 +46,7 @@ def rotation(dim: int) -> np.ndarray:
 
 def banding(count: int, threshold: float, missed: float) -> tuple[int, int]:
     """Bits in a band, which grow with the number of vectors, and bands for the same recall at every size."""
-    bits = min(30, max(8, round(math.log2(max(2, count))) - 6))
+    bits = min(30, max(8, round(math.log2(max(2, count))) - 4))
     hit = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(missed) / math.log(1 - hit))
 
