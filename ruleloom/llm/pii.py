@@ -4,7 +4,8 @@ Entities (e-mail addresses, telephone and card numbers, IPv4 addresses, national
 names after a form of address) get keyed, type-consistent replacements: the same entity gets the same one in every
 document, of the same length, separators, letter case, script, gender and check digits. Numbers go through a keyed
 permutation of their own space, so different ones stay different; the rest are drawn by a keyed hash. All surrogates of
-the corpus are then checked: one that equals another surrogate or any real entity is drawn again, until none does.
+the corpus are then checked: one that equals another surrogate or any real entity is drawn again, until none does. After
+some redraws surrogates leave the exact form (longer, or of a wider block), so that a full space never stops a run.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from ruleloom.llm.common import pieces, table, written
 
 #: redrawn entities that may be broadcast; more are joined to the documents that hold them
 BROADCAST_REDRAWN = 200_000
-ROUNDS = 40
+#: redraws in the entity's exact form; each one after them adds a character, a syllable or a wider block
+EXACT = 8
 
 # fixed values: forms of address by gender, keywords before secrets, prefixes of keys
 TITLES = {"m": "Mr Mister Sir Herr Herrn Señor Monsieur Don".split(), "f": "Mrs Ms Miss Madam Frau Señora Señorita Madame Mademoiselle Mme Mlle Doña".split(), "n": "Dr Prof Mx".split()}
@@ -78,7 +80,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for mark in "=:":
         at = text.find(mark)
         while at >= 0:
-            if KEYWORD.search(text, max(0, at - 24), at) and (m := VALUE.match(text, at + 1)) and (mark == "=" or m[1] or re.search(r"\d", m[2])):
+            if KEYWORD.search(text, max(0, at - 24), at) and (m := VALUE.match(text, at + 1)) and (mark == "=" or m[1] or re.search(r"\d", m[2])) and any(c.isalpha() or c.isdigit() for c in m[2]):
                 found.append((m.start(2), m.end(2), "secret", m[2]))
             at = text.find(mark, at + 1)
     for run in DIGITS.finditer(text):
@@ -156,6 +158,15 @@ def walked(key: bytes, tweak: object, digits: str, fits: Callable[[str], bool])
             return digits
 
 
+def letters_like(c: str) -> list[str]:
+    return [x for x in map(chr, range(ord(c) & ~31, (ord(c) & ~31) + 32)) if x.isalpha() and x.isupper() == c.isupper()]
+
+
+def longer(s: str, n: int) -> str:
+    """s with n more characters like its last letter or digit."""
+    return s + n * next((c for c in reversed(s) if c.isdigit() or c.isalpha() and len(letters_like(c)) > 1), "a") if n else s
+
+
 def like(draw: Draw, s: str) -> str:
     """A text of the same shape: letters for letters of the same case and alphabet, digits for digits."""
     hexa = bool(re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", s)) and not s.isdigit()
@@ -168,7 +179,7 @@ def like(draw: Draw, s: str) -> str:
         elif "a" <= c <= "z" or "A" <= c <= "Z":
             out.append(chr((97 if c >= "a" else 65) + draw.below(26)))
         elif c.isalpha():
-            near = [x for x in map(chr, range(ord(c) & ~31, (ord(c) & ~31) + 32)) if x.isalpha() and x.isupper() == c.isupper()]
+            near = letters_like(c)
             out.append(near[draw.below(len(near))])
         else:
             out.append(c)
@@ -184,24 +195,34 @@ def special_ip(v: int) -> int:
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
-    """The replacement of a canonical form, in canonical form."""
-    draw = Draw(key, kind, canon, attempt)
+    """The replacement of a canonical form, in canonical form. From attempt EXACT on its space grows with each attempt."""
+    draw, extra = Draw(key, kind, canon, attempt), max(0, attempt - EXACT + 1)
+    tail = "".join(str(draw.below(10)) for _ in range(extra)) if kind in ("phone", "card", "ssn") else ""
     if kind == "phone":
         plus, digits = canon[:1] == "+", canon.lstrip("+")
         head = digits[:2] if plus else ""
         rest = digits[len(head) :]
         first = (lambda d: d[0] >= "2") if rest[0] >= "2" else (lambda d: d[0] < "2")
-        return "+" * plus + head + walked(key, (kind, head, attempt), rest, first)
+        return "+" * plus + head + walked(key, (kind, head, attempt), rest, first) + tail
     if kind == "card":
-        body = canon[0] + walked(key, (kind, canon[0], attempt), canon[1:-1], lambda d: True)
+        body = canon[0] + walked(key, (kind, canon[0], attempt), canon[1:-1], lambda d: True) + tail
         return body + str(-luhn(body + "0") % 10)
     if kind == "ssn":
         d = walked(key, (kind, attempt), canon.replace("-", ""), lambda d: d[0] != "9" and d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000") if canon[4:6] != "00" and canon[7:] != "0000" else walked(key, (kind, "odd", attempt), canon.replace("-", ""), lambda d: d[0] != "9" and d[:3] not in ("000", "666") and (d[3:5] == "00" or d[5:] == "0000"))
-        return f"{d[:3]}-{d[3:5]}-{d[5:]}"
+        return f"{d[:3]}-{d[3:5]}-{d[5:]}{tail}"
     if kind == "ip":
         a, b, c, d = map(int, canon.split("."))
         v = a << 24 | b << 16 | c << 8 | d
         block = special_ip(v)
+        if attempt >= 3 * EXACT:  # beyond IPv4: the block for documentation
+            return "2001:db8:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(6))
+        if extra:  # private addresses anywhere in 10/8, then all as public ones
+            if block in (1, 2, 3) and attempt < 2 * EXACT:
+                v = 10 << 24 | draw.below(1 << 24)
+            else:
+                while special_ip(v := draw.below(1 << 32)):
+                    pass
+            return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
         net = {0: 32, 1: 24, 2: 20, 3: 16, 4: 24, 5: 24, 6: 29, 7: 16}[block]  # free bits
         low = v & (1 << net) - 1
         while True:
@@ -210,27 +231,27 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
             if special_ip(w) == block:
                 return ".".join(str(w >> s & 255) for s in (24, 16, 8, 0))
     if kind == "iban":
-        body = like(draw, canon[4:])
+        body = like(draw, longer(canon[4:], extra))
         return canon[:2] + f"{98 - iban_rest(canon[:2] + '00' + body):02d}" + body
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         labels, of = domain.split("."), Draw(key, "domain", domain, attempt)
-        return like(draw, local) + "@" + ".".join([*(x if x == "example" else like(of, x) for x in labels[:-1]), labels[-1]])
+        return like(draw, longer(local, extra)) + "@" + ".".join([*(x if x == "example" else like(of, x) for x in labels[:-1]), labels[-1]])
     if kind == "secret":
         keep = next((p for p in PREFIXES if canon.startswith(p)), "")
-        return keep + like(draw, canon[len(keep) :])
+        return keep + like(draw, longer(canon[len(keep) :], extra))
     gender = kind[-1]
     letters = [c for c in canon if c.isalpha()]
     script = unicodedata.name(letters[0], "LATIN").split()[0]
     if script not in SYLLABLES:
-        return like(draw, canon)
+        return like(draw, longer(canon, extra))
     out = []
     for k, word in enumerate(canon.split(" ")):
         if k == 0 and len(canon.split(" ")) > 1 and script == "LATIN":
             out.append(GIVEN[gender][draw.below(len(GIVEN[gender]))])
         else:
             s = SYLLABLES[script]
-            out.append("".join(s[draw.below(len(s))] for _ in range(max(3, len(word) // 2))).capitalize())
+            out.append("".join(s[draw.below(len(s))] for _ in range(max(3, len(word) // 2) + extra)).capitalize())
     return " ".join(out)
 
 
@@ -238,11 +259,10 @@ def dressed(kind: str, original: str, canon: str, new: str) -> str:
     """The surrogate in the form that the original had: separators and letter case."""
     if kind in ("phone", "card", "iban"):
         old, fresh = re.sub(r"[^0-9A-Za-z]", "", original), new.lstrip("+")
-        fresh = old[: len(old) - len(fresh)] + fresh
-        it = iter(fresh)
-        return "".join(next(it) if c.isalnum() else c for c in original)
+        it = iter(old[: len(old) - len(canon.lstrip("+"))] + fresh)
+        return "".join([*(next(it) if c.isalnum() else c for c in original), *it])
     if kind == "email":
-        return new.upper() if original.isupper() else "".join(n.upper() if o.isupper() and len(original) == len(new) else n for o, n in zip(original, new)) if not original.islower() else new
+        return new.upper() if original.isupper() else "".join(n.upper() if o.isupper() else n for o, n in zip(original, new)) if not original.islower() and len(original) == len(new) else new
     return new
 
 
@@ -284,7 +304,7 @@ def assign(docs: DataFrame, key: bytes) -> DataFrame:
     kinds = "kind string, canon string, attempt int"
     real = written(docs.select("text").mapInArrow(lister, "kind string, canon string").distinct(), "entities")
     told = written(real.withColumn("attempt", F.lit(0)).mapInArrow(drawer(key), f"{kinds}, new string"), "surrogates")
-    for _ in range(ROUNDS):
+    while True:  # each redraw widens the space in the end, so that the clashes run out
         twice = told.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1").select("kind", "new", F.col("first.canon").alias("winner"))
         taken = real.select("kind", F.col("canon").alias("new"))
         clash = told.join(twice, ["kind", "new"]).where("canon <> winner").select("kind", "canon").union(told.join(taken, ["kind", "new"], "left_semi").select("kind", "canon")).distinct()
@@ -293,7 +313,6 @@ def assign(docs: DataFrame, key: bytes) -> DataFrame:
             return told
         again = told.join(clash, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).select("kind", "canon", "attempt").mapInArrow(drawer(key), f"{kinds}, new string")
         told = written(told.join(clash, ["kind", "canon"], "left_anti").unionByName(again), "surrogates")
-    raise RuntimeError("surrogates still collide: a kind has more entities than its space")
 
 
 def replacer(key: bytes, share) -> Callable:

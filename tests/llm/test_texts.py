@@ -236,3 +236,29 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     docs = frame(spark, [(k, f"ssn {100 + k}-22-3333 and 555-00-0001", "", "") for k in range(5)])
     told = pii.assign(docs, b"k").collect()
     assert len({r.new for r in told}) == 6 and "555-00-0001" not in {r.new for r in told}
+
+
+def test_full_spaces_grow(spark):
+    assert pii.entities("password=******** and\n\nPassword\n========\n") == []
+    mails = [f"{chr(97 + k)}@example.com" for k in range(26)] + ["_@example.com"]
+    rows = [(k, m, "", "") for k, m in enumerate(mails)] + [(50, "password=******** token=a***** secret=b*****", "", "")]
+    told = pii.assign(frame(spark, rows), b"k").collect()
+    new, real = {(r.kind, r.new) for r in told}, {(r.kind, r.canon) for r in told}
+    assert len(told) == len(new) == 29 and not new & real
+    out = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, rows), b"k", ["doc_id"]).collect()}
+    assert len({out[k] for k in range(27)}) == 27 and all(out[k].endswith("@example.com") for k in range(27)) and "password=********" in out[50]
+
+
+def test_late_surrogates_have_wider_spaces():
+    late = lambda kind, values, n: {pii.surrogate(b"k", kind, v, n) for v in values}
+    block = {f"192.168.{a}.{b}" for a in range(0, 256, 5) for b in range(0, 256, 5)}
+    first, last = late("ip", block, pii.EXACT), late("ip", block, 3 * pii.EXACT)
+    assert all(x.startswith("10.") for x in first) and len(first) > 0.99 * len(block) and len(last) == len(block)
+    names = [f"Na{k}" for k in range(1000)]
+    assert len(late("name-n", names, pii.EXACT + 4)) == 1000
+    for kind, v, original in [("card", "4111111111111111", "4111-1111-1111-1111"), ("phone", "2125550147", "+1 (212) 555-0147"), ("iban", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"), ("email", "bo@x.example.org", "Bo@x.example.org")]:
+        new = pii.surrogate(b"k", kind, v, pii.EXACT + 1)
+        shown = pii.dressed(kind, original, v, new)
+        assert len(new) == len(v) + 2 and len(shown) == len(original) + 2 and shown.startswith({"card": "4", "phone": "+1 (", "iban": "DE", "email": new[:2]}[kind])
+    assert pii.luhn(pii.surrogate(b"k", "card", "4111111111111111", pii.EXACT + 1)) % 10 == 0
+    assert pii.iban_rest(pii.surrogate(b"k", "iban", "DE89370400440532013000", pii.EXACT + 1)) == 1
