@@ -43,6 +43,7 @@ IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d
 CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 PHONE = re.compile(r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?!\d)|\+\d{8,14}(?!\d)")
+CARD_GROUPS = frozenset([(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)])
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NAME = re.compile(r"\b(" + "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t))) + r")(\.? )([^\W\d_][\w'’-]+(?: [A-Z][\w'’-]+)?)")
 GENDER = {t: g for g, v in TITLES.items() for t in v}
@@ -58,6 +59,58 @@ def iban_rest(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
+def digits_of(s: str) -> str:
+    return re.sub(r"\D", "", s)
+
+
+def card_rank(text: str, a: int, b: int, greedy: bool) -> int:
+    """3 for a right card number in usual groups, 2 for one that may be, 1 for another run taken whole, else 0."""
+    digits = digits_of(text[a:b])
+    if luhn(digits) % 10 or not digits.strip("0"):
+        return 0
+    groups = tuple(map(len, re.findall(r"\d+", text[a:b])))
+    if re.match("[3-6]|2[2-7]", digits):
+        if groups in CARD_GROUPS or len(groups) == 1:
+            return 3
+        if min(groups[:-1]) >= 3 and len(set(re.findall(r"\D", text[a:b]))) == 1:
+            return 2
+    return int(greedy)
+
+
+def phone_rank(text: str, a: int, b: int, greedy: bool) -> int:
+    """3 with a sign or bracket, 2 for groups of 3, 3, 4, 1 for ten digits that stand apart or as a whole, else 0."""
+    s = text[a:b]
+    n = len(digits_of(s))
+    if not 9 <= n <= 15 or s[0] not in "+(" and n != 10:
+        return 0
+    if s[0] in "+(":
+        return 3
+    if tuple(map(len, re.findall(r"\d+", s))) == (3, 3, 4):
+        return 2
+    inner = set(re.findall(r"\D", s))
+    return int(greedy or len(inner) == 1 and (s[0] == "0" or text[a - 1 : a] not in inner and text[b : b + 1] not in inner))
+
+
+def numbers(pattern: re.Pattern, rank: Callable[[str, int, int, bool], int], text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, rank) of the numbers in text[a:b]. Where the longest match is no number or a doubtful one, later starts and
+    shorter ends at the borders of its groups of digits are tried: the best in rank, then the first, then the longest."""
+    while m := pattern.search(text, a, b):
+        best = (rank(text, *m.span(), True), -m.start(), m.end())
+        if best[0] < 3:
+            for s in range(m.start(), m.end()):
+                g = pattern.match(text, s, b)
+                for e in range(g.end(), s, -1) if g else ():
+                    if text[e - 1].isdecimal() and not text[e : e + 1].isdecimal() and (s, e) != m.span() and pattern.fullmatch(text, s, e):
+                        best = max(best, (rank(text, s, e, False), -s, e))
+        if best[0]:
+            if -best[1] > m.start():
+                yield from numbers(pattern, rank, text, a, -best[1])
+            yield -best[1], best[2], best[0]
+            a = best[2]
+        else:
+            a = m.end()
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of all entities, in order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -90,18 +143,16 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in IP.finditer(text, a, b):
             if not text[max(0, m.start() - 9) : m.start()].rstrip().endswith((" v", "ersion")):
                 found.append((m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split("."))))
-        for m in CARD.finditer(text, a, b):
-            digits = re.sub(r"\D", "", m[0])
-            if luhn(digits) % 10 == 0 and digits.strip("0"):
-                found.append((m.start(), m.end(), "card", digits))
+        phones = list(numbers(PHONE, phone_rank, text, a, b))
+        for s, e, sure in numbers(CARD, card_rank, text, a, b):
+            if sure > 1 or not any(s <= x and y <= e and r > 1 for x, y, r in phones):
+                found.append((s, e, "card", digits_of(text[s:e])))
         for m in SSN.finditer(text, a, b):
             if m[0][0] != "9" and m[0][:3] not in ("000", "666"):
                 found.append((m.start(), m.end(), "ssn", m[0]))
-        for m in PHONE.finditer(text, a, b):
-            digits = re.sub(r"\D", "", m[0])
-            if 9 <= len(digits) <= 15 and (m[0][0] in "+(" or len(digits) == 10):
-                plus = m[0].startswith("+")
-                found.append((m.start(), m.end(), "phone", digits[1:] if plus and digits[0] == "1" and len(digits) == 11 else ("+" if plus else "") + digits))
+        for s, e, _ in phones:
+            digits, plus = digits_of(text[s:e]), text[s] == "+"
+            found.append((s, e, "phone", digits[1:] if plus and digits[0] == "1" and len(digits) == 11 else ("+" if plus else "") + digits))
     if re.search(r"[A-Z]{2}\d\d", text):
         for m in IBAN.finditer(text):
             s = m[0].replace(" ", "")

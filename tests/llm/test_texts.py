@@ -262,3 +262,21 @@ def test_late_surrogates_have_wider_spaces():
         assert len(new) == len(v) + 2 and len(shown) == len(original) + 2 and shown.startswith({"card": "4", "phone": "+1 (", "iban": "DE", "email": new[:2]}[kind])
     assert pii.luhn(pii.surrogate(b"k", "card", "4111111111111111", pii.EXACT + 1)) % 10 == 0
     assert pii.iban_rest(pii.surrogate(b"k", "iban", "DE89370400440532013000", pii.EXACT + 1)) == 1
+
+
+@pytest.mark.parametrize(
+    "kind, number, texts",
+    [
+        ("card", "4111 1111 1111 1111", ["card {} 12/25", "no 25 {}", "in 2024 {} 12", "{} 123 7", "12 {} 34 5500 0000 0000 0004"]),
+        ("card", "4111111111111111", ["25 {}", "{} 12/25", "2024-{}"]),
+        ("card", "3782 822463 10005", ["card {} 1227", "7 {}"]),
+        ("phone", "555-123-4567", ["room 12 {}", "in 2024 {}", "{} 2024", "12 34 {}", "at 12 2024 {} 17", "{} 312-555-0188"]),
+        ("phone", "+12 212-555-0147", ["{} 2024"]),
+    ],
+)
+def test_numbers_beside_numbers(kind, number, texts):
+    for t in (x.format(number) for x in texts):
+        a = t.index(number)
+        assert (a, a + len(number), kind) in [e[:3] for e in pii.entities(t)], t
+        assert number not in pii.replace(t, b"k", {}, {})[0]
+    assert [e for e in pii.entities("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20, 2024-01-15, 12 345 17") if e[2] == "card"] == []
