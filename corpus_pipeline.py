@@ -11,7 +11,7 @@ from ruleloom.llm.common import ship, table, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a prediction this sure, on this many characters, rejects a document that says it is in another language
 SURE, LONG = 0.999, 200
-#: ids that may be broadcast (8 bytes each) to drop documents; beyond it, a shuffled join drops them
+#: row keys that may be broadcast (8 bytes each) to drop documents; beyond it, a shuffled join drops them
 BROADCAST_IDS = 1_000_000
 
 
@@ -32,14 +32,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    gone = written(nearcopies.near_copies(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    """One row of each group of near copies stays: the one with the smallest id (null last), then the smallest digest.
+
+    Rows are told apart by a key of their own, so rows that share an id with a copy, or have no id, are judged by their
+    own texts. Texts without words have no near copies: there, rows with equal text and the same id are one.
+    """
+    rows = written(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = rows.select("row_", "doc_id", F.sha2("text", 256).alias("digest_"), *others)
+    told = written(nearcopies.near_copies(rows.select("row_", "text"), "row_").join(own, "row_"), "told")
+    alone = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", "digest_"))
+    group = [F.when(alone.isNull(), F.col("component_id")).alias("component"), alone.alias("alone")]
+    first = told.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest_", *others, "row_")).alias("first"))
+    gone = written(told.select("row_").join(first.select("first.row_"), "row_", "left_anti"), "gone")
     small = gone.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    if not docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        # repeated rows of one id are one document
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
-    return out.select(*docs.columns)
+    return rows.join(F.broadcast(gone) if small else gone, "row_", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,3 +174,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert out.columns == stage.columns
         assert f(spark, stage.limit(0), str(tmp_path)).count() == 0
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_drops_rows_by_their_own_text(spark):
+    """Repeated and null ids: what is no copy stays, what is a copy goes, whatever else has the same id."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, c), (None, a), (None, "x " + " ".join(f"n{k}" for k in range(30))), (4, ""), (4, ""), (4, None), (5, ""), (None, "")]
+    rows += [(None, rows[7][1])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(1, a), (2, b), (3, c), (3, d), (None, rows[7][1]), (4, ""), (4, None), (5, ""), (None, "")], key=str)
+    for x in (docs, docs.repartition(5)):
+        out = corpus_pipeline.near_duplicates(spark, x, "")
+        assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
