@@ -2,8 +2,9 @@
 
 The standard library's parser streams a page's events once. Every block boundary ends a line; a line has its text, the
 tags seen in it and the element that holds it. The ratios of text to tags are smoothed with a Gaussian along the page,
-and a threshold splits the lines into content and the rest. The element that holds most content text is the content
-region; its lines stay, in page order, but for those in menus, headers, footers, adverts and the like.
+and a threshold splits the lines into content and the rest. The article, or else the smallest element that holds all
+content and a title before it, is the content region; its lines stay, in page order, but for those in menus, headers,
+footers, adverts and the like.
 """
 
 from __future__ import annotations
@@ -165,11 +166,17 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         if k:
             x = region_of(node)
             while x is not None:
-                # articles first, then the deepest element that holds at least three quarters of the content
-                rank = (x.tag in ("article", "main") and 2 * x.mass >= whole, 4 * x.mass >= 3 * whole, depth(x))
+                # articles first, then the deepest element that holds all of the content
+                rank = (x.tag in ("article", "main") and 2 * x.mass >= whole, x.mass == whole, depth(x))
                 if (rank[0] or rank[1]) and (best is None or rank > best):
                     best, at = rank, x
                 x = x.up
+    if best and not best[0]:
+        titles = [k for k, n in enumerate(nodes) if fine[k] and titled(n)]
+        before = [k for k in titles if k < content.argmax()]
+        if before and not any(within(nodes[k], at) for k in titles):
+            while not within(nodes[before[-1]], at):
+                at = at.up
     kept = [t for t, ok, n in zip(texts, fine, nodes) if ok and (at is None or within(n, at))]
     return "\n".join(kept)
 
@@ -187,6 +194,13 @@ def within(x: Node | None, top: Node) -> bool:
     return x is top
 
 
+def titled(x: Node | None) -> bool:
+    """Whether a line is a heading of the first level."""
+    while x is not None and x.tag != "h1":
+        x = x.up
+    return x is not None
+
+
 def in_heading(x: Node) -> bool:
     """Whether a line is a heading in the header of an article."""
     heading = False

@@ -280,3 +280,18 @@ def test_numbers_beside_numbers(kind, number, texts):
         assert (a, a + len(number), kind) in [e[:3] for e in pii.entities(t)], t
         assert number not in pii.replace(t, b"k", {}, {})[0]
     assert [e for e in pii.entities("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20, 2024-01-15, 12 345 17") if e[2] == "card"] == []
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><div class=menu><a>1</a></div><div id=post><h1>Title</h1><p>{lead}</p><div class=body>{body}</div></div><div class=footer>Imprint and so on</div></body>", "Title {lead} {body}"),
+        ("<body><div id=post><h1>Title</h1><div class=body>{body}</div></div></body>", "Title {body}"),
+        ("<body><section>{body}</section><section><p>{lead}</p></section><aside><p>{lead}</p></aside></body>", "{body} {lead}"),
+        ("<body><div><div><section><p>{lead}</p></section></div><div>{body}</div></div><div class=sidebar><p>{lead}</p></div></body>", "{lead} {body}"),
+    ],
+)
+def test_html_without_article_loses_nothing(page, want):
+    lead, lines = "A lead of one sentence, which is part of the article.", [f"Paragraph {k} of the article has quite some words in it." for k in range(6)]
+    got = html.main_text(page.format(lead=lead, body="".join(f"<p>{x}</p>" for x in lines)))
+    assert got.replace("\n", " ") == want.format(lead=lead, body=" ".join(lines))
