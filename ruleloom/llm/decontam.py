@@ -1,8 +1,11 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over the windows of all benchmark items.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark items.
 
 Texts and items become words (A-Z lower-cased; digits, letters and every code point beyond ASCII). A window is 10
-consecutive item words, or a whole shorter item. The automaton holds each window as " w1 w2 ... ", a text is scanned
-once as " w1 w2 w3 ... ", and hits are mapped back to word numbers and to offsets of the original text.
+consecutive item words, or a whole shorter item. Every window holds one of its item's aligned blocks of 5 words whole,
+so the automaton has only these blocks (and the short items) as " w1 w2 ... ": about a node for each byte of item text,
+not ten. A text is scanned once as " w1 w2 w3 ... "; a block that is met proposes the five windows that may hold it,
+which are looked up by hash among the items' windows and compared word by word. Hits are word numbers, and map back to
+offsets of the original text.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import once, pieces, table, texts, written
+from ruleloom.llm.common import kept, mix, once, pieces, row_of, shaped, table, texts, written
 
 #: bytes that stand in words stay (A-Z lower-cased); all others become a space
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: item text in one automaton; beyond it the items are dealt to several, and each scans all texts
-AUTOMATON_BYTES = 16 << 20
+#: item text in one automaton (which takes some 60 bytes of memory for each); beyond it the items are dealt to several,
+#: and each scans all texts
+AUTOMATON_BYTES = 4 << 20
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -32,20 +36,88 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-def automaton(items: list[tuple[str, bytes]], window: int):
-    import ahocorasick
-
-    found: dict[str, set[str]] = {}
-    for item, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault((b" " + b" ".join(w[i : i + window]) + b" ").decode("latin-1"), set()).add(item)
-    a = ahocorasick.Automaton()
-    for pattern, names in found.items():
-        a.add_word(pattern, (len(pattern), tuple(names)))
-    if found:
-        a.make_automaton()
-    return a if found else None
+class Windows:
+    """The automaton and the windows of a block of items."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        import ahocorasick
+
+        self.window, self.names = window, sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        self.ids: dict[bytes, int] = {}
+        block = (window + 1) // 2
+        short: dict[str, set[int]] = {}
+        blocks: set[str] = set()
+        flat, starts, owner = [], [], []
+        for name, text in items:
+            w = words(text)
+            if w and len(w) < window:
+                short.setdefault(self.line(w), set()).add(number[name])
+            elif w:
+                starts.append(len(flat) + np.arange(len(w) - window + 1))
+                owner.append(np.full(len(w) - window + 1, number[name]))
+                flat += [self.ids.setdefault(x, len(self.ids) + 1) for x in w]
+                blocks.update(self.line(w[k : k + block]) for k in range(0, len(w) - block + 1, block))
+        #: by pattern: number of bytes, whether it is a block, numbers of the short items that it is
+        self.patterns = [(len(p), p in blocks, tuple(sorted(short.get(p, ())))) for p in sorted(blocks | short.keys())]
+        self.auto = ahocorasick.Automaton()
+        for k, p in enumerate(sorted(blocks | short.keys())):
+            self.auto.add_word(p, k)
+        if self.patterns:
+            self.auto.make_automaton()
+        self.flat = np.array(flat, np.int64)
+        self.index(np.concatenate(starts) if starts else np.zeros(0, np.int64), np.concatenate(owner) if owner else np.zeros(0, np.int64))
+
+    @staticmethod
+    def line(w: list[bytes]) -> str:
+        return (b" " + b" ".join(w) + b" ").decode("latin-1")
+
+    def hashes(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(sum(((ids[starts + k].astype(np.uint64) + np.uint64(1)) * self.odd[k] for k in range(self.window)), np.zeros(len(starts), np.uint64)))
+
+    def index(self, starts: np.ndarray, owner: np.ndarray) -> None:
+        """Different windows by hash: a place in `flat` that reads so, and the items that hold it."""
+        for seed in range(64):  # another seed if different windows share a hash
+            self.odd = np.random.default_rng(seed).integers(0, 1 << 63, self.window, np.uint64) * np.uint64(2) + np.uint64(1)
+            self.hash, first, of = np.unique(self.hashes(self.flat, starts), return_index=True, return_inverse=True)
+            self.place = starts[first]
+            if all((self.flat[self.place[of] + k] == self.flat[starts + k]).all() for k in range(self.window)):
+                break
+        pairs = np.unique(np.stack([of, owner], axis=1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+        self.held, self.of = np.searchsorted(pairs[:, 0], np.arange(len(self.hash) + 1)), pairs[:, 1]
+
+    def scan(self, w: list[bytes]) -> tuple[set[int], list[tuple[int, int]]]:
+        """Numbers of the items of which a window occurs, and the union of the word intervals of all occurrences."""
+        names: set[int] = set()
+        if not w or not self.patterns:
+            return names, []
+        line = b" " + b" ".join(w) + b" "
+        met: list[tuple[int, int]] = list(self.auto.iter(line.decode("latin-1")))
+        if not met:
+            return names, []
+        gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        last = np.searchsorted(gaps, [end for end, _ in met]) - 1
+        length, is_block, items = zip(*(self.patterns[k] for _, k in met))
+        first = np.searchsorted(gaps, np.array([end for end, _ in met]) - length + 1)
+        whole = [k for k, x in enumerate(items) if x]
+        names.update(n for k in whole for n in items[k])
+        lo, hi = [first[whole]], [last[whole]]
+        at = np.unique(first[np.array(is_block)][:, None] - np.arange((self.window + 1) // 2)) if any(is_block) else np.zeros(0, np.int64)
+        at = at[(at >= 0) & (at <= len(w) - self.window)]
+        if len(at):
+            ids = np.array([self.ids.get(x, 0) for x in w], np.int64)
+            h = self.hashes(ids, at)
+            k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            ok = self.hash[k] == h
+            for j in range(self.window):
+                ok[ok] = self.flat[self.place[k[ok]] + j] == ids[at[ok] + j]
+            for x in np.unique(k[ok]).tolist():
+                names.update(self.of[self.held[x] : self.held[x + 1]].tolist())
+            lo.append(at[ok])
+            hi.append(at[ok] + self.window - 1)
+        lo, hi = np.concatenate(lo), np.concatenate(hi)
+        return names, spans(lo, hi) if len(lo) else []
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -56,34 +128,26 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), far[np.r_[new[1:] - 1, len(far) - 1]].tolist()))
 
 
+OUTPUTS = "n_words long, items array<string>, hits array<struct<first:int,last:int>>"
+
+
 def scanner(share, window: int) -> Callable:
+    """The last column is the text; the others are kept."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, items = share.value
-        auto = once(("automaton", key), lambda: automaton(items, window))
+        known = once(("windows", key), lambda: Windows(items, window))
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, whole.num_columns - 1):
                 n_words, named, hits = [], [], []
-                for text in texts(batch.column("text")):
+                for text in texts(batch.column(batch.num_columns - 1)):
                     w = words(text)
                     n_words.append(len(w))
-                    names: set[str] = set()
-                    starts, ends = [], []
-                    if auto is not None and w:
-                        line = b" " + b" ".join(w) + b" "
-                        for end, (length, of) in auto.iter(line.decode("latin-1")):
-                            names.update(of)
-                            ends.append(end)
-                            starts.append(end - length + 1)
-                    if starts:
-                        gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                        hits.append([{"first": a, "last": b} for a, b in spans(np.searchsorted(gaps, starts), np.searchsorted(gaps, ends) - 1)])
-                    else:
-                        hits.append([])
-                    named.append(sorted(names))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(n_words, pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
-                    [*(c for c in batch.schema.names if c != "text"), "n_words", "items", "hits"],
-                )
+                    names, found = known.scan(w)
+                    named.append([known.names[k] for k in sorted(names)])
+                    hits.append([{"first": a, "last": b} for a, b in found])
+                more = [pa.array(n_words, pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names[:-1], "n_words", "items", "hits"])
 
     return scan
 
@@ -106,32 +170,31 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: in
 
     Items of up to `automaton_bytes` (checked first) make one broadcast automaton: no shuffle. More make several, each
     of that size at most; each scans all texts and the hits of a row meet in one shuffle. Null text has no words; null
-    items or item ids are left out; repeated item ids count as one; repeated rows of docs each stay.
+    items or item ids are left out; repeated item ids count as one; repeated rows of docs each stay. Kept columns named
+    as an output are replaced; other columns are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    keep = kept(keep, OUTPUTS)
+    source = docs.select(*keep, F.col("text").alias("_text"))
 
-    def scanned(rows: DataFrame, block: list, more: str = "") -> DataFrame:
+    def scanned(rows: DataFrame, block: list, names: list[str]) -> DataFrame:
         named = hashlib.sha256(repr((window, block)).encode()).hexdigest()
         share = spark.sparkContext.broadcast((named, block))
-        return rows.mapInArrow(scanner(share, window), f"{more}{kinds}, n_words long, items array<string>, hits array<struct<first:int,last:int>>")
+        return rows.select(*names, "_text").mapInArrow(scanner(share, window), shaped(rows, names, OUTPUTS))
 
     dealt = blocks(items, automaton_bytes)
     if len(dealt) == 1:
-        return scanned(source, dealt[0]())
-    # several automata: rows get a number that does not depend on the block, then their hits are united
-    numbered = source.withColumn("row", F.xxhash64(*keep, "text"))
-    twins = numbered.groupBy("row", *keep).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    twins = written(twins.select("row", "copies", *keep, "text"), "decontam")
-    out = reduce(DataFrame.unionByName, (scanned(twins, block(), "row long, copies long, ") for block in dealt))
-    merged = out.groupBy("row", *keep).agg(F.first("copies").alias("copies"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("all"))
-    joined = F.aggregate(
+        return scanned(source, dealt[0](), keep)
+    # several automata: rows get a number, the hits that each finds are united by it
+    rows = written(source.withColumn("_row", F.monotonically_increasing_id()), "decontam")
+    out = reduce(DataFrame.unionByName, (scanned(rows, block(), ["_row"]) for block in dealt))
+    merged = out.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("all"))
+    union = F.aggregate(
         "all",
         F.array().cast("array<struct<first:int,last:int>>"),
         lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x["first"] > F.element_at(acc, -1)["last"] + 1, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"))))),
     )
-    return merged.withColumn("hits", joined).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*keep, "n_words", "items", "hits")
+    return rows.drop("_text").join(merged.select("_row", "n_words", "items", union.alias("hits")), "_row").select(*keep, "n_words", "items", "hits")
 
 
 def original_spans(text: str | None, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -143,9 +206,8 @@ def original_spans(text: str | None, hits: list[tuple[int, int]]) -> list[tuple[
 
 
 def cut_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs with the contaminated passages' offsets: all columns of docs, n_words, items, spans (start, end)."""
-    keep = docs.columns
-    found = contamination(docs.withColumn("text_", F.col("text")), items, [*[c if c != "text" else "text_" for c in keep]], **options)
+    """The rows of docs with the contaminated passages' offsets: row (all columns of docs as a struct), n_words, items, spans (start, end)."""
+    found = contamination(docs.select(row_of(docs).alias("row"), "text"), items, ["row"], **options)
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def mapped(text, hits):
@@ -153,14 +215,13 @@ def cut_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
         return pd.Series([[{"start": a, "end": b} for a, b in original_spans(t, [(h["first"], h["last"]) for h in x])] for t, x in zip(text, hits)])
 
-    return found.withColumn("spans", mapped("text_", "hits")).withColumnRenamed("text_", "text").select(*keep, "n_words", "items", "spans")
+    return found.select("row", "n_words", "items", mapped("row.text", "hits").alias("spans"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of any item."""
-    keep = [c if c != "text" else "text_" for c in docs.columns]
-    found = contamination(docs.withColumn("text_", F.col("text")), items, keep, **options)
-    return found.where(F.size("items") == 0).withColumnRenamed("text_", "text").select(*docs.columns)
+    """The rows of docs, with all their columns (of any name, unchanged), that hold no window of any item."""
+    found = contamination(docs.select(row_of(docs).alias("row"), "text"), items, ["row"], **options)
+    return found.where(F.size("items") == 0).select("row.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

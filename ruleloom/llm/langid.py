@@ -1,13 +1,15 @@
 """Language identification by prediction by partial matching (PPM).
 
-For each language, counts of byte sequences form a context tree of up to `ORDER` bytes. With frozen counts the code
-length of a byte depends on its context alone: in a context seen n times with d different followers, a follower seen c
-times costs -log2(c / (n + d)), any other escapes at -log2(d / (n + d)) and is coded in the next shorter context; below
-the empty context all byte symbols are equally likely. So the exact code length of a text is a sum over its
-(ORDER + 1)-byte sequences, looked up in one table that holds all languages side by side.
-
-Texts are lower-cased and every run of non-letters becomes one space. Bytes beyond the ALPHABET - 1 most frequent ones
-of the sample share one symbol, and cost the same further bits in every language.
+For each language, counts of byte sequences form a context tree of variable order, up to `ORDER` bytes. With frozen
+counts the code length of a byte depends on its context alone: in a context seen n times with d different followers, a
+follower seen c times costs -log2(c / (n + d)); any other escapes at -log2(d / (n + d)) and is coded in the next shorter
+context; a context never seen is skipped at no cost; below the empty context all 256 byte values are equally likely. So
+the exact code length of a text is a sum over its (ORDER + 1)-byte sequences.
+
+A tree is kept as sorted arrays by depth: sequences with their bits, contexts with the bits of their escape. Only what
+was seen is stored. The different sequences of a piece of text are looked up once each.
+
+Texts are lower-cased and every run of other characters than letters and their marks becomes one space.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import once, pieces, table, texts, written
+from ruleloom.llm.common import drop, kept, once, pieces, shaped, table, texts, written
 
 ORDER = 3
-ALPHABET = 48
-#: bytes of labelled text a language is learned from: a bounded sample, chosen by a hash
-SAMPLE_BYTES = 4_000_000
+#: bytes of labelled text a language is learned from, and all languages together: a bounded sample, chosen by a hash
+SAMPLE_BYTES, SAMPLE_TOTAL = 4_000_000, 64_000_000
+#: bytes of text that are scored in one step
+STEP = 1 << 19
 
 
 def letters(text: Column) -> Column:
@@ -33,24 +36,25 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
 
 
-def symbols(items: list[bytes], lut: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the texts, each after `order` spaces, and where each text's own symbols start and end."""
+def joined(items: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts, each after `order` spaces, and where each text's own bytes start and end."""
     gap = b" " * order
     sizes = np.array([len(x) for x in items], np.int64)
     ends = np.cumsum(sizes + order)
-    return lut[np.frombuffer(gap + gap.join(items), np.uint8)], ends - sizes, ends
+    return np.frombuffer(gap.join([b"", *items]), np.uint8), ends - sizes, ends
 
 
-def grams(s: np.ndarray, width: int, alphabet: int) -> np.ndarray:
-    """Number of the sequence of `width` symbols that ends at each place from width - 1 on."""
-    n = len(s) - width + 1
-    out = s[:n].astype(np.int64)
+def grams(s: np.ndarray, width: int) -> np.ndarray:
+    """Number of the sequence of `width` bytes (8 at most) that ends at each place from width - 1 on."""
+    n = max(0, len(s) - width + 1)
+    kind = np.uint32 if width <= 4 else np.uint64
+    out = s[:n].astype(kind)
     for k in range(1, width):
-        out = out * alphabet + s[k : n + k]
+        out = out << kind(8) | s[k : n + k]
     return out
 
 
-def counter(lut: np.ndarray, order: int, alphabet: int) -> Callable:
+def counter(order: int) -> Callable:
     """Partial counts of (lang, sequence) for each batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,88 +62,103 @@ def counter(lut: np.ndarray, order: int, alphabet: int) -> Callable:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 items = texts(batch.column("text").filter(pa.array(langs == lang)))
-                s, starts, ends = symbols(items, lut, order)
-                g = grams(s, order + 1, alphabet)  # g[i] ends at i + order
+                s, starts, ends = joined(items, order)
+                g = grams(s, order + 1)  # g[i] ends at i + order
                 own = np.zeros(len(g), bool)
                 for a, b in zip(starts, ends):
                     own[a - order : b - order] = True
                 keys, n = np.unique(g[own], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     return count
 
 
-def code_lengths(counts: np.ndarray, order: int, alphabet: int, out: np.ndarray) -> None:
-    """Bits of the last symbol of every (order + 1)-sequence, by PPM with escapes, from its sequences' counts, into out.
-
-    The longest contexts are done by their first symbol, so nothing but `out` is of full size.
-    """
-
-    def coded(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, kinds = c.sum(axis=1, dtype=np.float64), (c > 0).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log2(total + kinds)[:, None] - np.log2(c)
-            escape = np.where(total > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
-        return np.where(c > 0, seen, escape[:, None] + shorter)
-
-    bits = np.full((1, alphabet), np.log2(alphabet))  # below the empty context
-    for k in range(order):
-        c = sum(part.reshape(-1, alphabet) for part in counts.reshape(-1, alphabet**k * alphabet))
-        bits = coded(c, np.tile(bits, (alphabet if k else 1, 1)))
-    step = alphabet**order
-    for k in range(alphabet if order else 1):
-        out[k * step : (k + 1) * step] = coded(counts[k * step : (k + 1) * step].reshape(-1, alphabet), bits).ravel()
-
-
-def learn(labelled: DataFrame, order: int = ORDER, alphabet: int = ALPHABET, sample_bytes: int = SAMPLE_BYTES) -> dict:
-    """A model from rows (key, text, lang): the languages, the alphabet and the counts of byte sequences.
-
-    About `sample_bytes` of each language's different texts are taken by a hash of `key`: the share follows from the
-    language's size in bytes, so the sample stays bounded at every size, and whole texts are counted.
-    Rows with null text or lang are left out. Without labelled rows the model has no languages.
+class Tree:
+    """The context tree of one language with frozen counts."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int):
+        self.order = order
+        #: by depth k: sequences of k + 1 bytes and their bits, contexts of k bytes and the bits of their escape
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.escape: list[tuple[np.ndarray, np.ndarray]] = []
+        kind = np.uint32 if order < 4 else np.uint64
+        keys = keys.astype(kind)
+        for k in range(order + 1):
+            short = keys & kind((1 << 8 * (k + 1)) - 1)
+            own, at = np.unique(short, return_inverse=True)
+            count = np.bincount(at, n, len(own))
+            context, of = np.unique(own >> kind(8), return_inverse=True)
+            total, kinds = np.bincount(of, count, len(context)), np.bincount(of, minlength=len(context))
+            self.seen.append((own, (np.log2(total + kinds)[of] - np.log2(count)).astype(np.float32)))
+            self.escape.append((context, (np.log2(total + kinds) - np.log2(kinds)).astype(np.float32)))
+
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each (order + 1)-byte sequence."""
+        out, left = np.zeros(len(keys), np.float32), np.arange(len(keys))
+        for k in range(self.order, -1, -1):
+            mask = keys.dtype.type((1 << 8 * (k + 1)) - 1)
+            here = keys[left] & mask
+            hit, at = found(self.seen[k][0], here)
+            out[left[hit]] += self.seen[k][1][at[hit]]
+            left, here = left[~hit], here[~hit]
+            known, at = found(self.escape[k][0], here >> keys.dtype.type(8))
+            out[left[known]] += self.escape[k][1][at[known]]
+        out[left] += 8
+        return out
+
+
+def found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among the sorted ones, and where."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return sorted_keys[at] == keys, at
+
+
+def learn(labelled: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, sample_total: int = SAMPLE_TOTAL) -> dict:
+    """A model from rows (key, text, lang): the languages and the counts of byte sequences.
+
+    About `sample_bytes` of each language's different texts are taken by a hash of `key` (less if there are more than
+    sample_total / sample_bytes languages): the share follows from the language's size in bytes, so the sample and the
+    model stay bounded at every size, and whole texts are counted. Rows with null text or lang are left out. Without
+    labelled rows the model has no languages.
     """
     clean = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in clean.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    by_lang = clean.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
+    sizes = {r["lang"]: r["size"] for r in by_lang.collect()}  # a row a language
     langs = sorted(sizes)
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_bytes / max(1, sizes[lang])))).otherwise(share)
-    picked = clean.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", letters(F.col("text")).alias("text")).distinct()
-    picked = written(picked, "langid")
-    # byte frequencies come from the same sample: a first pass with the identity alphabet and no context
-    first = picked.mapInArrow(counter(np.arange(256), 0, 256), "lang string, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    ranked = [r["gram"] for r in sorted(first, key=lambda r: (-r["n"], r["gram"])) if r["gram"] != 32][: alphabet - 2]
-    lut = np.full(256, alphabet - 1, np.uint8)
-    lut[32] = 0
-    lut[sorted(ranked)] = np.arange(1, len(ranked) + 1)
-    rows = picked.mapInArrow(counter(lut, order, alphabet), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    each = min(sample_bytes, sample_total // max(1, len(langs)))
+    share = clean.sparkSession.createDataFrame([(x, min(1.0, each / max(1, sizes[x]))) for x in langs], "lang string, share double")
+    picked = clean.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    picked = written(picked.select("lang", letters(F.col("text")).alias("text")).distinct(), "langid")
+    rows = picked.mapInArrow(counter(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = rows.toArrow()
-    of = np.array([langs.index(x) for x in got.column("lang").to_pylist()], np.int16)
-    model = {"langs": langs, "order": order, "alphabet": alphabet, "lut": lut, "lang": of, "gram": got.column("gram").to_numpy(), "n": got.column("n").to_numpy().astype(np.int32)}
-    model["name"] = hashlib.sha256(repr([langs, order, alphabet]).encode() + lut.tobytes() + np.sort(model["gram"]).tobytes() + np.sort(model["n"]).tobytes()).hexdigest()
-    return model
-
-
-def lookup(model: dict) -> np.ndarray:
-    """Bits of every sequence (rows) in every language (columns)."""
-    size = model["alphabet"] ** (model["order"] + 1)
-    out = np.empty((size, len(model["langs"])), np.float32)
-    for k in range(len(model["langs"])):
-        mine = model["lang"] == k
-        counts = np.zeros(size, np.int32)
-        counts[model["gram"][mine]] = model["n"][mine]
-        code_lengths(counts, model["order"], model["alphabet"], out[:, k])
-    return out
+    drop(picked)
+    place = {x: k for k, x in enumerate(langs)}
+    of = np.array([place[x] for x in got.column("lang").to_pylist()], np.int32)
+    gram, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    trees = []
+    for k in range(len(langs)):
+        mine = np.flatnonzero(of == k)
+        mine = mine[np.argsort(gram[mine])]
+        trees.append((gram[mine].astype(np.uint32 if order < 4 else np.uint64), n[mine].astype(np.int32)))
+    name = hashlib.sha256(repr((langs, order)).encode() + b"".join(a.tobytes() + b.tobytes() for a, b in trees)).hexdigest()
+    return {"langs": langs, "order": order, "trees": trees, "name": name}
+
+
+def trees_of(model: dict) -> list[Tree]:
+    return [Tree(keys, n, model["order"]) for keys, n in model["trees"]]
 
 
-def lengths(items: list[bytes], model: dict, bits: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+def lengths(items: list[bytes], trees: list[Tree], order: int, step: int = STEP) -> np.ndarray:
     """Code length in bits of each text (rows) in each language (columns)."""
-    order = model["order"]
-    s, starts, ends = symbols(items, model["lut"], order)
-    out = np.zeros((len(items), bits.shape[1]))
+    s, starts, ends = joined(items, order)
+    out = np.zeros((len(items), len(trees)))
     for a in range(order, len(s), step):
         b = min(len(s), a + step)
-        rows = bits[grams(s[a - order : b], order + 1, model["alphabet"])]
+        told = pa.array(grams(s[a - order : b], order + 1)).dictionary_encode()
+        different = told.dictionary.to_numpy()
+        rows = np.stack([t.bits(different) for t in trees], axis=1)[told.indices.to_numpy(zero_copy_only=False)]
         lo, hi = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
         cuts = np.stack([np.clip(starts[lo:hi], a, b), np.clip(ends[lo:hi], a, b)], axis=1) - a
         full = cuts[:, 0] < cuts[:, 1]
@@ -150,24 +169,28 @@ def lengths(items: list[bytes], model: dict, bits: np.ndarray, step: int = 1 <<
     return out
 
 
+OUTPUTS = "lang_pred string, score double"
+
+
 def predictor(share) -> Callable:
+    """The last two columns are the letters and whether there is one; the others are kept."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        bits = once(("langid", model["name"]), lambda: lookup(model))
+        trees = once(("langid", model["name"]), lambda: trees_of(model))
         langs = np.array([*model["langs"], "und"], object)
+        n = len(model["langs"])
         for whole in batches:
-            for batch in pieces(whole, "letters"):
-                items = texts(batch.column("letters"))
-                some = np.array([bool(x.strip()) for x in items]) & bool(model["langs"])
-                n = len(model["langs"])
-                pick, score = np.full(len(items), n), np.zeros(len(items))
+            for batch in pieces(whole, whole.num_columns - 2):
+                some = batch.column(batch.num_columns - 1).fill_null(False).to_numpy(zero_copy_only=False) & bool(n)
+                pick, score = np.full(len(some), n), np.zeros(len(some))
                 if some.any():
-                    nats = lengths(items, model, bits) * np.log(2)
+                    items = [x if ok else b"" for x, ok in zip(texts(batch.column(batch.num_columns - 2)), some)]
+                    nats = lengths(items, trees, model["order"]) * np.log(2)
                     best = nats.argmin(axis=1)
                     weight = np.exp(nats.min(axis=1, keepdims=True) - nats)
                     pick, score = np.where(some, best, n), np.where(some, 1 / weight.sum(axis=1), 0)
-                names = [c for c in batch.schema.names if c != "letters"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs[pick].tolist(), pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(langs[pick].tolist(), pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-2], "lang_pred", "score"])
 
     return predict
 
@@ -175,12 +198,14 @@ def predictor(share) -> Callable:
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """`keep` columns, lang_pred, score (posterior of the languages given the whole text, equal priors).
 
-    `und` with score 0 if text is null or has no letter. Ties go to the first language in order of names. Repeated
-    rows each get their row; other columns, whatever their names, are not read. No shuffle.
+    `und` with score 0 if text is null or has no letter (marks and digits are none). Ties go to the first language in
+    order of names. Repeated rows each get their row; kept columns named as an output are replaced; other columns,
+    whatever their names, are not read. No shuffle.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"
-    return docs.select(*keep, letters(F.col("text")).alias("letters")).mapInArrow(predictor(share), schema)
+    keep = kept(keep, OUTPUTS)
+    source = docs.select(*keep, letters(F.col("text")).alias("_letters"), F.col("text").rlike(r"\p{L}").alias("_some"))
+    return source.mapInArrow(predictor(share), shaped(docs, keep, OUTPUTS))
 
 
 def held_out(doc_id: Column) -> Column:

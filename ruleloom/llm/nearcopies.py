@@ -250,7 +250,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -
     near = written(members.mapInArrow(bucket_links(percent / 100), "a long, b long").distinct(), "near")
 
     # what hangs together by plausible pairs is a cluster: all its pairs are verified, in tiles, on the full sets
-    cluster = written(components(near, near).withColumnRenamed("component", "key").join(nodes.groupBy("id").agg(F.sum("n").alias("n")), "id"), "cluster")
+    cluster = written(components(near).withColumnRenamed("component", "key").join(nodes.groupBy("id").agg(F.sum("n").alias("n")), "id"), "cluster")
     extent = cluster.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     n_tiles = F.greatest(F.lit(1), F.ceil(F.col("docs") / CLUSTER_TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
     small = cluster.count() <= BROADCAST_IDS
@@ -259,7 +259,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -
     rows = tiled(held.join(extent, "key"), n_tiles).select("key", "tiles", "side", "id", "text")
     rows = rows.repartition("key", "tiles").sortWithinPartitions("key", "tiles")
     links = written(rows.mapInArrow(exact_links(percent), "a long, b long").distinct(), "links")
-    whole = components(links, links)
+    whole = components(links)
     of = nodes.select("one", "two", "n", F.col("id").alias("node")).join(whole.withColumnRenamed("id", "node"), "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component"))
     out = sketches.select("id", "n", "one", "two").join(of, ["one", "two", "n"], "left")
     component = F.coalesce("component", "id")

@@ -249,7 +249,7 @@ def vector_links(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     mixed = written(mixed, "mixed")
 
     edges = sure.select("a", "b").union(mixed.select("a", "b").distinct())
-    label = components(edges, edges).toDF("ball", "component")
+    label = components(edges).toDF("ball", "component")
     by_ball = sure.select(F.col("a").alias("ball"), F.col("size_b").alias("n")).union(sure.select("b", "size_a")).groupBy("ball").agg(F.sum("n").alias("ball_links"))
     by_uid = mixed.groupBy("uid").agg(F.sum("n").alias("own_links"))
     placed = balls.select("ball", "size", "least").join(label, "ball", "left").withColumn("component", F.coalesce("component", "ball")).join(by_ball, "ball", "left")

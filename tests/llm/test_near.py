@@ -30,7 +30,7 @@ def test_components(spark):
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 560)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(links, "a long, b long")
     want = labels({x for p in links for x in p if x is not None}, [p for p in links if None not in p])
-    got = {x.id: x.component for x in components(df, df).collect()}
+    got = {x.id: x.component for x in components(df).collect()}
     assert all(want[i] == c for i, c in got.items()) and {i for p in links if None not in p and p[0] != p[1] for i in p} == set(got)
 
 

@@ -27,21 +27,20 @@ def sample(lang, n, seed):
     return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
 
 
-def brute_bits(text: bytes, training: list[bytes], model, order):
+def brute_bits(text: bytes, training: list[bytes], order):
     """PPM by definition: counts of contexts in dictionaries, escapes one context shorter at a time."""
-    lut, size = model["lut"], model["alphabet"]
     counts: dict = {}
     for t in training:
-        s = [0] * order + [int(lut[b]) for b in t]
+        s = [32] * order + list(t)
         for i in range(order, len(s)):
             for k in range(order + 1):
                 c = counts.setdefault(tuple(s[i - k : i]), {})
                 c[s[i]] = c.get(s[i], 0) + 1
-    s, total = [0] * order + [int(lut[b]) for b in text], 0.0
+    s, total = [32] * order + list(text), 0.0
     for i in range(order, len(s)):
         for k in range(order, -2, -1):
             if k < 0:
-                total += np.log2(size)
+                total += 8
                 break
             c = counts.get(tuple(s[i - k : i]))
             if c is None:
@@ -65,12 +64,45 @@ def test_language_by_code_length(spark):
     assert all(by[k].lang_pred == lang for k, _, lang, _ in rows[:60]) and all(0 <= r.score <= 1 for r in got)
     assert [by[k].lang_pred for k in (100, 101, 102)] == ["und"] * 3 and by[103].lang_pred == "en" and by[100].score == 0
     clean = lambda t: regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).encode()
-    bits = langid.lookup(model)
-    mine = langid.lengths([clean(rows[0][1]), b"x", clean(rows[1][1])], model, bits, step=50)
+    mine = langid.lengths([clean(rows[0][1]), b"x", clean(rows[1][1])], langid.trees_of(model), model["order"], step=50)
     for j, lang in enumerate(model["langs"]):
         training = sorted({clean(t) for _, t, g, _ in rows if g == lang and t})
         for i, text in enumerate([clean(rows[0][1]), b"x", clean(rows[1][1])]):
-            assert abs(mine[i, j] - brute_bits(text, training, model, langid.ORDER)) < 0.05 + 1e-4 * mine[i, j]
+            assert abs(mine[i, j] - brute_bits(text, training, langid.ORDER)) < 0.05 + 1e-4 * mine[i, j]
+
+
+@pytest.mark.parametrize("order", [0, 2, 5])
+def test_trees_of_any_depth(order):
+    r = random.Random(order)
+    text = lambda n: "".join(r.choice("abcé ") for _ in range(n)).encode()
+    training, asked = [text(60) for _ in range(5)], [text(40), b"", b"zzz", text(7)]
+    s, starts, ends = langid.joined(training, order)
+    g = langid.grams(s, order + 1)
+    keys, n = np.unique(np.concatenate([g[a - order : b - order] for a, b in zip(starts, ends)]), return_counts=True)
+    got = langid.lengths(asked, [langid.Tree(keys, n, order)], order, step=9)
+    assert np.allclose(got[:, 0], [brute_bits(t, training, order) for t in asked], rtol=1e-4, atol=1e-3)
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """The registered query: held-out rows never teach, texts without letters are `und`, predictions are those of PPM by definition."""
+    import zlib
+
+    rows = [(k, sample(lang, 12, k), lang if k % 7 else None, "s") for k, lang in enumerate(["en", "de", "ru"] * 25)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    rows += [(k, "qqq xxx zzz " * 50, "xx", "s") for k in range(100, 140) if held(k)]  # a language that only held-out rows have
+    rows += [(200, "\u0301 \u0301", "en", "s"), (201, None, "en", "s"), (202, "12 !", None, "s"), (203, "", "de", "s")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in langid.op2_langid(spark, str(tmp_path)).collect()}
+    clean = lambda t: regex.sub(r"[^\p{L}\p{M}]+", " ", (t or "").lower()).encode()
+    taught = {g: sorted({clean(t) for k, t, x, _ in rows if x == g and t is not None and not held(k)}) for g in ("de", "en", "ru")}
+    assert set(got) == {k for k, *_ in rows} and all(got[k].held_out == held(k) for k in got)
+    for k, t, *_ in rows:
+        if not regex.search(r"\p{L}", t or ""):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+        elif k % 5 == 0:
+            bits = {g: brute_bits(clean(t), taught[g], langid.ORDER) for g in taught}
+            best = min(bits, key=bits.get)
+            assert got[k].lang_pred == best and abs(got[k].score - 1 / sum(2 ** (bits[best] - b) for b in bits.values())) < 1e-3
 
 
 def test_language_of_empty_tables(spark):
@@ -114,7 +146,7 @@ def test_contamination(spark, bytes_each):
     kept = decontam.decontaminated(frame(spark, rows), bench, automaton_bytes=bytes_each)
     assert kept.columns == ["doc_id", "text", "lang", "source"] and {r.doc_id for r in kept.collect()} == {k for k, _, _, names in got if not names}
     spans = decontam.cut_hits(frame(spark, [rows[17]]), bench).collect()[0]
-    assert rows[17][1][spans.spans[0]["start"] : spans.spans[0]["end"]].startswith(passage.upper()[:20])
+    assert spans.row.doc_id == rows[17][0] and rows[17][1][spans.spans[0]["start"] : spans.spans[0]["end"]].startswith(passage.upper()[:20])
     assert decontam.contamination(frame(spark, []), bench, ["doc_id"]).count() == 0
     assert decontam.contamination(frame(spark, rows[:2]), bench.limit(0), ["doc_id"]).where("size(items) > 0").count() == 0
 
