@@ -13,16 +13,17 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import once, pieces, table, texts
+from ruleloom.llm.common import kept, once, pieces, shaped, table, texts
 
-#: different fragments whose ids a Python worker remembers, and how many are encoded as one string
-FRAGMENTS_KEPT, TOGETHER = 250_000, 512
+#: different fragments whose ids a Python worker remembers
+FRAGMENTS_KEPT = 250_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -56,7 +57,7 @@ class ForcedBpe:
         #: (a, b) before which a further byte decides: the ends of white space beyond ASCII
         self.tail = np.isin(np.arange(256), [0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F])
         self.stem = np.isin(np.arange(256), [0xC2, 0x9A, 0x80, 0x81])
-        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.length = np.array([*map(len, tokens), 0], np.int64)  # the last one stands for unknown ids
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.forget()
@@ -117,34 +118,30 @@ class ForcedBpe:
         return out, upto[np.searchsorted(at, ends)] - upto[np.searchsorted(at, ends - sizes)]
 
     def encode_fragments(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all fragments in one array, and how many each has.
-
-        Fragments whose joint is itself a certain cut go to the library as one string: its tokens end where they do.
-        """
-        joined = b"".join(parts)
-        size = np.array([len(x) for x in parts], np.int64)
-        ends = np.cumsum(size)
-        certain = np.zeros(len(joined) + 1, bool)
-        certain[self.fragments(np.frombuffer(joined, np.uint8), np.zeros(1, np.int64))] = True
-        breaks = ~certain[ends - size] | (np.arange(len(parts)) % TOGETHER == 0)
-        starts = (ends - size)[breaks].tolist()
-        strings = [joined[a:b].decode() for a, b in zip(starts, [*starts[1:], len(joined)])]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
-        upto = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
-        return ids, np.diff(upto, prepend=0)
+        """Ids of all fragments in one array, and how many each has; each is encoded on its own."""
+        ids = [e.ids for e in self.library.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The bytes of each text's ids, joined, with sequences that are not UTF-8 replaced as the library does."""
+        """The bytes of each text's ids, joined, with sequences that are not UTF-8 replaced as the library does.
+
+        Ids that the vocabulary does not have say nothing, as in the library.
+        """
+        ids = np.where(ids < len(self.length) - 1, ids, len(self.length) - 1)
         length = self.length[ids]
         data = self.bytes[ragged(self.start[ids], length)].tobytes()
         upto = np.concatenate([[0], np.cumsum(length)])
         ends = np.cumsum(counts)
-        out = [data[a:b] for a, b in zip(upto[ends - counts].tolist(), upto[ends].tolist())]
+        cuts = list(zip(upto[ends - counts].tolist(), upto[ends].tolist()))
+        out = [data[a:b] for a, b in cuts]
         try:
             data.decode()
-            return out
+            if not any(0x80 <= data[a] < 0xC0 for a, b in cuts if a < b):  # no text starts inside a character
+                return out
         except UnicodeDecodeError:
-            return [x.decode("utf-8", "replace").encode() for x in out]
+            pass
+        return [x.decode("utf-8", "replace").encode() for x in out]
 
 
 def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -154,41 +151,46 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(first - (ends - count), count)
 
 
+IDS = "n_tokens long, ids binary"
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def coder(path: str, digest: bool):
+    """The last column is the text; the others are kept."""
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ForcedBpe.load(path)
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                items = texts(batch.column("text"))
-                ids, counts = bpe.encode(items)
-                rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-                names = [c for c in batch.schema.names if c != "text"]
+            for batch in pieces(whole, whole.num_columns - 1):
+                ids, counts = bpe.encode(texts(batch.column(batch.num_columns - 1)))
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
+                own = [raw[4 * a : 4 * b] for a, b in zip((ends - counts).tolist(), ends.tolist())]
                 if digest:
                     back = bpe.decode(ids, counts)
-                    more = [pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip((ends - counts).tolist(), ends.tolist())], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+                    more = [pa.array([hashlib.sha256(x).hexdigest() for x in of], pa.string()) for of in (own, back)]
                 else:
-                    more = [pa.array([raw[4 * a : 4 * b] for a, b in zip((ends - counts).tolist(), ends.tolist())], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), *more], [*names, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids"])])
+                    more = [pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), *more], [*batch.schema.names[:-1], "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids"])])
 
     return code
 
 
-def _types(df: DataFrame, keep: list[str]) -> str:
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-
-
 def encode(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
     """`keep` columns, n_tokens, ids (little-endian unsigned 32-bit integers in one binary) of each row's whole text.
 
     As the tokenizers library encodes with add_special_tokens=False, unpadded and untruncated. Null text is empty and
-    has no ids; rows are taken one by one, so ties, repeated rows and other columns change nothing. No shuffle.
+    has no ids; rows are taken one by one, so ties and repeated rows change nothing; kept columns named as an output are
+    replaced, other columns are not read. No shuffle.
     """
-    return docs.select(*keep, "text").mapInArrow(coder(path, False), f"{_types(docs, keep)}n_tokens long, ids binary")
+    keep = kept(keep, IDS)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(coder(path, False), shaped(docs, keep, IDS))
 
 
 def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
-    """The rows with a column `text`: the ids decoded, special tokens kept; null ids give null."""
+    """The rows with a column `text`: each row's ids decoded on their own, special tokens kept; null ids give null.
+
+    Bytes that are no UTF-8 become U+FFFD, also where a row's ids end inside a character; unknown ids say nothing.
+    """
 
     @F.pandas_udf("string")
     def back(ids):
@@ -196,14 +198,15 @@ def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
         bpe, arrays = ForcedBpe.load(path), [np.frombuffer(x or b"", "<u4") for x in ids]
         out = bpe.decode(np.concatenate([np.zeros(0, np.uint32), *arrays]).astype(np.int64), np.array([len(x) for x in arrays], np.int64))
-        return pd.Series([None if x is None else y.decode() for x, y in zip(ids, out)])
+        return pd.Series([None if x is None else y.decode() for x, y in zip(ids, out)], dtype=object)
 
     return encoded.withColumn("text", back(column))
 
 
 def digests(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
     """`keep` columns, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass over the texts."""
-    return docs.select(*keep, "text").mapInArrow(coder(path, True), f"{_types(docs, keep)}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    keep = kept(keep, DIGESTS)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(coder(path, True), shaped(docs, keep, DIGESTS))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

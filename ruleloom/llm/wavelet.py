@@ -3,21 +3,21 @@
 Documents are range-partitioned by id and encoded in order; every partition writes one compressed Parquet file, whose
 rows are shards of about SHARD_TOKENS ids in this format (little-endian):
 
-    b"WVM1"  levels u32  n_symbols u64  n_docs u64  n_tokens u64
+    b"WVM2"  levels u32  n_symbols u64  n_docs u64  n_tokens u64
     symbols  u32[n_symbols]   the ids that occur, ascending; the matrix holds their numbers
     doc_ids  i64[n_docs]
     lengths  u64[n_docs]      ids of each document, end id included
     zeros    u64[levels]      zero bits of each plane
     planes   u64[levels][ceil(n_tokens / 64)]
+    ranks    u32[levels][ceil(n_tokens / 512) + 1]   set bits of a plane before each run of 512
 
 Plane k holds bit (levels - 1 - k) of each number, in the order that stable partitions by all earlier planes give.
-Rank and select on the planes give access to a token, counts of a token in a prefix, and its occurrences.
+Rank (a sample and at most eight words) and select on the planes give access to a token, counts of a token in a prefix, and its occurrences.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ruleloom.llm.bpe import ForcedBpe
-from ruleloom.llm.common import pieces, shared_dir, table, texts
+from ruleloom.llm.common import new_path, pieces, table, texts
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
+#: words between two rank samples
+SAMPLE = 8
 HEAD = struct.Struct("<4sIQQQ")
 SHARD_TOKENS = 1 << 20
 #: bytes of text a partition should hold
@@ -47,17 +49,19 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     levels = max(1, int(len(present) - 1).bit_length()) if len(present) else 0
     if levels <= 16:
         s = s.astype(np.uint16)
-    zeros, planes = [], []
+    zeros, planes, ranks = [], [], []
     room = -(-len(s) // 64) * 8
     for k in range(levels):
         bit = (s >> s.dtype.type(levels - 1 - k) & s.dtype.type(1)).view(np.uint8)[:: s.dtype.itemsize].astype(bool)
         planes.append(np.packbits(bit, bitorder="little").tobytes().ljust(room, b"\0"))
+        each = np.bitwise_count(np.frombuffer(planes[-1], "<u8"))
+        ranks.append(np.cumsum([0, *np.add.reduceat(each, np.arange(0, len(each), SAMPLE), dtype=np.int64)] if len(each) else [0]).astype("<u4").tobytes())
         ones, none = np.flatnonzero(bit), np.flatnonzero(~bit)
         zeros.append(len(none))
         if k < levels - 1:
             s = np.concatenate([s[none], s[ones]])
     head = HEAD.pack(MAGIC, levels, len(present), len(doc_ids), len(ids))
-    return b"".join([head, present.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), *planes])
+    return b"".join([head, present.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), *planes, *ranks])
 
 
 class Shard:
@@ -78,16 +82,18 @@ class Shard:
         self.symbols, self.doc_ids, self.lengths, self.zeros = take("<u4", n_symbols), take("<i8", n_docs), take("<u8", n_docs).astype(np.int64), take("<u8", self.levels).astype(np.int64)
         words = -(-self.n // 64)
         self.planes = [take("<u8", words) for _ in range(self.levels)]
-        self._ranks: list[np.ndarray | None] = [None] * self.levels
+        self.ranks = [take("<u4", -(-words // SAMPLE) + 1).astype(np.int64) for _ in range(self.levels)]
 
     def ones(self, level: int, upto):
-        """Set bits of a plane before each place."""
-        if self._ranks[level] is None:
-            self._ranks[level] = np.concatenate([[0], np.cumsum(np.bitwise_count(self.planes[level]), dtype=np.int64)])
+        """Set bits of a plane before each place: a stored sample, and the words from there to the place."""
         upto = np.asarray(upto, np.int64)
-        word = np.append(self.planes[level], np.uint64(0))[upto >> 6]
-        low = word & ((np.uint64(1) << (upto & 63).astype(np.uint64)) - np.uint64(1))
-        return self._ranks[level][upto >> 6] + np.bitwise_count(low)
+        run = upto >> 9
+        at = run[..., None] * SAMPLE + np.arange(SAMPLE)  # the words of the run that holds the place
+        plane = self.planes[level]
+        word = np.where(at < len(plane), plane[np.minimum(at, len(plane) - 1)] if len(plane) else np.uint64(0), np.uint64(0))
+        left = np.clip(upto[..., None] - (at << 6), 0, 64)  # bits of each word that stand before it
+        mask = np.where(left == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left & 63).astype(np.uint64)) - np.uint64(1))
+        return self.ranks[level][run] + np.bitwise_count(word & mask).sum(axis=-1, dtype=np.int64)
 
     def access(self, places) -> np.ndarray:
         """The ids at these places."""
@@ -125,13 +131,15 @@ class Shard:
         return at
 
     def select(self, level: int, nth: np.ndarray, one: int) -> np.ndarray:
-        """Place of the nth (from 0) bit of this kind."""
-        self.ones(level, 0)
-        before = self._ranks[level] if one else np.arange(len(self._ranks[level])) * 64 - self._ranks[level]
-        word = np.searchsorted(before, nth, side="right") - 1
-        bits = np.unpackbits(self.planes[level][word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == one
-        inside = np.cumsum(bits, axis=1) == (nth - before[word] + 1)[:, None]
-        return word * 64 + (inside & bits).argmax(axis=1)
+        """Place of the nth (from 0) bit of this kind: the run by the samples, then the word and the bit in it."""
+        ranks, plane = self.ranks[level], self.planes[level]
+        before = ranks if one else np.arange(len(ranks)) * 64 * SAMPLE - ranks
+        run = np.searchsorted(before, nth, side="right") - 1
+        at = run[:, None] * SAMPLE + np.arange(SAMPLE)
+        words = np.where(at < len(plane), plane[np.minimum(at, len(plane) - 1)], np.uint64(0))
+        bits = np.unpackbits(np.ascontiguousarray(words).astype("<u8").view(np.uint8), axis=1, bitorder="little") == one
+        inside = np.cumsum(bits, axis=1, dtype=np.int32) == (nth - before[run] + 1)[:, None]
+        return run * 64 * SAMPLE + (inside & bits).argmax(axis=1)
 
     def tokens(self) -> np.ndarray:
         """All ids: the stable partitions undone from the last plane to the first."""
@@ -146,6 +154,8 @@ class Shard:
         return self.symbols[s]
 
 
+#: parts whose prefix sums one task makes
+RUN = 1024
 SCHEMA = "part long, shard long, n_docs long, n_tokens long, blob binary"
 
 
@@ -214,8 +224,13 @@ def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(spark: SparkSession, where: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, from the files: `start` counts the ids of all documents before."""
     files = spark.read.schema(SCHEMA).parquet(where)
-    told = files.select("part", "shard", "n_tokens")  # one row a shard; the blobs are not read here
-    first = told.select("part", "shard", (F.sum("n_tokens").over(Window.orderBy("part", "shard")) - F.col("n_tokens")).alias("first"))
+    told = files.select("part", "shard", "n_tokens", F.floor(F.col("part") / RUN).alias("run"))  # one row a shard; the blobs are not read here
+    # prefix sums in three steps, so that no task sees more than a run of parts, or a row a run
+    upto = lambda *by: F.sum("n_tokens").over((Window.partitionBy(*by[:-1]) if by[:-1] else Window).orderBy(by[-1])) - F.col("n_tokens")
+    runs = told.groupBy("run").agg(F.sum("n_tokens").alias("n_tokens")).select("run", upto("run").alias("run_first"))
+    parts = told.groupBy("run", "part").agg(F.sum("n_tokens").alias("n_tokens")).select("run", "part", upto("run", "part").alias("part_first"))
+    shards = told.select("run", "part", "shard", upto("run", "part", "shard").alias("shard_first"))
+    first = shards.join(parts, ["run", "part"]).join(runs, "run").select("part", "shard", (F.col("run_first") + F.col("part_first") + F.col("shard_first")).alias("first"))
     docs = files.select("part", "shard", "blob").mapInArrow(reader, "part long, shard long, nth long, id long, before long, n_tokens long, ids_crc32 long")
     return docs.join(first, ["part", "shard"]).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -255,6 +270,6 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    where = new_path(spark, "tokens")
     write_shards(docs, "doc_id", public_tokenizers.path("byte_bpe_50k.json"), 2, where, partitions_of(docs))
     return read_shards(spark, where).withColumnRenamed("id", "doc_id")

@@ -59,6 +59,34 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert ids.tolist() == [i for x in texts[k : k + 40] for i in t.encode(x.decode(), add_special_tokens=False).ids]
 
 
+def test_decoding_row_by_row(spark):
+    """Rows whose ids end inside a character that the next row's ids complete, unknown ids, null."""
+    t = library()
+    b = bpe.ForcedBpe.load(PATH)
+    part = {bytes(b.bytes[a : a + n]): k for k, (a, n) in enumerate(zip(b.start.tolist(), b.length.tolist())) if n == 1}
+    ids = [part[bytes([x])] for x in "é中".encode()]
+    rows = [(0, ids[:1]), (1, ids[1:3]), (2, ids[3:]), (3, [*ids, 10_000_000, 4_000_000_000]), (4, []), (5, None), (6, ids[:2])]
+    df = spark.createDataFrame([(k, None if x is None else bytearray(np.array(x, "<u4").tobytes())) for k, x in rows], "k int, ids binary").coalesce(1)
+    got = {r.k: r.text for r in bpe.decode(df, PATH).collect()}
+    assert got == {k: None if x is None else t.decode([i for i in x if i < 10**6], skip_special_tokens=False) for k, x in rows}
+
+
+def test_registered_queries_against_the_library(spark, tmp_path):
+    texts = [*odd_texts(120, 7), None, "", "word " * 3000]
+    spark.createDataFrame([(k * 3 % 200, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int").write.parquet(str(tmp_path / "documents.parquet"))
+    t, start = library(), 0
+    five = {r.doc_id: r for r in bpe.op5_bpe(spark, str(tmp_path)).collect()}
+    nine = {r.doc_id: r for r in wavelet.op9_token_file(spark, str(tmp_path)).collect()}
+    assert len(five) == len(nine) == len(texts)
+    for k, x in sorted((k * 3 % 200, x) for k, x in enumerate(texts)):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        said = hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (five[k].n_tokens, five[k].ids_sha256, five[k].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), said)
+        ids.append(2)
+        assert (nine[k].start, nine[k].n_tokens, nine[k].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 @pytest.mark.parametrize("n, v", [(0, 1), (1, 1), (63, 2), (64, 3), (65, 50257), (3000, 7), (3000, 70_000)])
 def test_wavelet_matrix(n, v):
     ids = np.random.default_rng(n + v).integers(0, v, n).astype(np.uint32)
