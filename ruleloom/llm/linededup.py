@@ -3,7 +3,8 @@
 First pass: a 128-bit hash of every key line of a document, once for each document, counted by key. The keys that
 enough documents hold are dealt to shards; each shard is a minimal perfect hash (levels of bit vectors with ranks) over
 its keys that indexes compact arrays: a 64-bit fingerprint, the document count and the largest document id.
-Second pass: documents probe these arrays line by line; there is no join of lines with documents.
+Second pass: documents probe these arrays line by line; there is no join of lines with documents. An index beyond what
+executors should hold stays in its written shards: then the lines' hashes, not the texts, go to the shards.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import LOWER, WHITE, mix, once, pieces, table, texts, written
+from ruleloom.llm.common import LOWER, WHITE, drop, kept, mix, once, pieces, shaped, table, texts, written
 
 MIN_LENGTH = 40
 MIN_DOCS = 5
-#: keys in a shard, and bytes of shards that executors hold at a time; an index beyond that is probed in several passes
+#: keys in a shard, and bytes of shards that executors hold all together; beyond it the lines' hashes go to the shards
 SHARD_KEYS = 1 << 18
 INDEX_BYTES = 64 << 20
 BYTES_A_KEY = 30
+#: line hashes that probe a shard in one task; the shards of frequent lines are copied to several
+PROBES = 1 << 20
 GAMMA = 2.0
 
 
@@ -57,12 +60,15 @@ def keys(min_length: int) -> Callable:
     return run
 
 
-def build_mph(hi: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Levels of bit vectors (uint64 words) over different 64-bit keys, and each key's index in 0 .. n - 1."""
+def build_mph(hi: np.ndarray, lo: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Levels of bit vectors (uint64 words) over different keys (hi, lo), and each key's index in 0 .. n - 1.
+
+    Every level hashes both halves anew, so keys that share a half, or a place in one level, part in a later one.
+    """
     levels, index, left, base = [], np.zeros(len(hi), np.int64), np.arange(len(hi)), 0
     while len(left):
         size = max(64, int(GAMMA * len(left)) + 63 & ~63)
-        at = place(hi[left], len(levels), size)
+        at = place(hi[left], lo[left], len(levels), size)
         alone = np.bincount(at, minlength=size) == 1
         bits = np.packbits(alone, bitorder="little").view(np.uint64)
         rank = np.cumsum(alone) - alone
@@ -74,9 +80,11 @@ def build_mph(hi: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return levels, index
 
 
-def place(hi: np.ndarray, level: int, size: int) -> np.ndarray:
+def place(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
     salt = (0x9E3779B97F4A7C15 * (level + 1)) & 0xFFFFFFFFFFFFFFFF
-    return (mix(hi.view(np.uint64) + np.uint64(salt)) % np.uint64(size)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        one = mix(hi.view(np.uint64) + np.uint64(salt))
+        return (mix(one ^ (lo.view(np.uint64) * np.uint64(salt | 1))) % np.uint64(size)).astype(np.int64)
 
 
 class Shard:
@@ -95,7 +103,7 @@ class Shard:
         """Index of each key, or -1 for keys that are not in the shard."""
         out, left, base = np.full(len(hi), -1, np.int64), np.arange(len(hi)), 0
         for level, size in enumerate(self.sizes):
-            at = place(hi[left], level, size) + base
+            at = place(hi[left], lo[left], level, size) + base
             word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
             hit = (word >> bit & np.uint64(1)).astype(bool)
             below = np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
@@ -124,7 +132,7 @@ def deal(n: int) -> Callable:
 
 def build_shard(t: pa.Table) -> pa.Table:
     hi = t.column("hi").to_numpy()
-    levels, index = build_mph(hi)
+    levels, index = build_mph(hi, t.column("lo").to_numpy())
     order = np.argsort(index)
     arrays = {c: pa.array([t.column(c).to_numpy()[order].astype(np.int64).tobytes()], pa.binary()) for c in ("lo", "n", "largest")}
     return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "sizes": pa.array([[64 * len(x) for x in levels]], pa.list_(pa.int64())), "bits": pa.array([np.concatenate(levels).tobytes()], pa.binary()), "fingerprints": arrays["lo"], "counts": arrays["n"], "largest": arrays["largest"]})
@@ -134,93 +142,138 @@ SHARD_SCHEMA = "shard long, sizes array<long>, bits binary, fingerprints binary,
 
 
 def build_index(docs: DataFrame, id_column: str, min_length: int, min_docs: int, shard_keys: int) -> tuple[DataFrame, int, int]:
-    """The shards as a written table, their number, and the number of keys.
-
-    Two keys with equal first halves of their 128-bit hashes would break a shard's perfect hash; the one with the
-    smaller second half is kept (at 10^10 different frequent keys that happens to about three).
-    """
+    """The shards as a written table, their number, and the number of keys."""
     seen = docs.select(number(id_column), "text").mapInArrow(keys(min_length), "hi long, lo long, id long")
     often = seen.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("id").alias("largest")).where(F.col("n") >= min_docs)
     often = written(often, "lines")
     count = often.count()
     n = max(1, -(-count // shard_keys))
-    one = often.groupBy("hi").agg(F.min(F.struct("lo", "n", "largest")).alias("x")).select("hi", "x.*")
-    shards = one.mapInArrow(deal(n), "shard long, hi long, lo long, n long, largest long").groupBy("shard").applyInArrow(build_shard, SHARD_SCHEMA)
-    return written(shards, "shards"), n, count
+    shards = often.mapInArrow(deal(n), "shard long, hi long, lo long, n long, largest long").groupBy("shard").applyInArrow(build_shard, SHARD_SCHEMA)
+    shards = written(shards, "shards")
+    drop(often)
+    return shards, n, count
+
+
+def hashes(lines: list[list[bytes]], min_length: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Hash halves of all key lines of the texts, and (text, line) of each."""
+    found, where = [], []
+    for k, x in enumerate(lines):
+        for j, line in enumerate(x):
+            h = key_hash(line, min_length)
+            if h is not None:
+                found.append(h)
+                where.append((k, j))
+    h = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+    return h[:, 0].copy(), h[:, 1].copy(), where
+
+
+TEXT, DIGEST = "n_lines long, n_dropped long, text string", "n_lines long, n_dropped long, kept_sha256 string"
 
 
-def prober(share, n: int, min_length: int, out: str) -> Callable:
-    """Marks the lines that the shards held here drop; out: `mask` (one byte a line), `digest` or `text`."""
+def kept_lines(batch: pa.RecordBatch, n_kept: int, lines: list[list[bytes]], masks: list[np.ndarray], digest: bool) -> pa.RecordBatch:
+    left = [b"\n".join([y for y, m in zip(x, gone) if not m]) for x, gone in zip(lines, masks)]
+    n_lines, dropped = pa.array([len(x) for x in lines], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64())
+    last = pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()) if digest else pa.array(left, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*batch.columns[:n_kept], n_lines, dropped, last], [*batch.schema.names[:n_kept], "n_lines", "n_dropped", "kept_sha256" if digest else "text"])
+
+
+def prober(share, n: int, min_length: int, digest: bool) -> Callable:
+    """Drops the lines that the shards tell to drop. The last two columns are id and text; the others are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, rows = share.value
         shards = once(("lines", name), lambda: {r["shard"]: Shard(r) for r in rows})
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                lines = [t.split(b"\n") for t in texts(batch.column("text"))]
-                masks = [np.frombuffer(m, bool).copy() if m is not None else np.zeros(len(x), bool) for m, x in zip(batch.column("mask").to_pylist(), lines)]
-                ids = batch.column("id").to_pylist()
-                found, where = [], []
-                for k, x in enumerate(lines):
-                    for j, line in enumerate(x):
-                        h = key_hash(line, min_length)
-                        if h is not None:
-                            found.append(h)
-                            where.append((k, j))
-                if found:
-                    h = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
-                    hi, lo = h[:, 0].copy(), h[:, 1].copy()
-                    of = shard_of(hi, n)
-                    for s in np.unique(of):
-                        if s in shards:
-                            mine = np.flatnonzero(of == s)
-                            at = shards[s].find(hi[mine], lo[mine])
-                            for i, a in zip(mine[at >= 0].tolist(), at[at >= 0].tolist()):
-                                k, j = where[i]
-                                masks[k][j] = ids[k] != shards[s].largest[a]
-                names = [c for c in batch.schema.names if c not in ("text", "mask", "id")]
-                cols = [batch.column(c) for c in names]
-                if out == "mask":
-                    yield pa.RecordBatch.from_arrays([*cols, batch.column("id"), batch.column("text"), pa.array([m.tobytes() for m in masks], pa.binary())], [*names, "id", "text", "mask"])
-                    continue
-                kept = [b"\n".join([y for y, m in zip(x, gone) if not m]) for x, gone in zip(lines, masks)]
-                n_lines, dropped = pa.array([len(x) for x in lines], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64())
-                last = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()) if out == "digest" else pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, n_lines, dropped, last], [*names, "n_lines", "n_dropped", "kept_sha256" if out == "digest" else "text"])
+            rest = whole.num_columns - 2
+            for batch in pieces(whole, rest + 1):
+                lines = [t.split(b"\n") for t in texts(batch.column(rest + 1))]
+                masks = [np.zeros(len(x), bool) for x in lines]
+                ids = batch.column(rest).to_pylist()
+                hi, lo, where = hashes(lines, min_length)
+                of = shard_of(hi, n)
+                for s in np.unique(of):
+                    if s in shards:
+                        mine = np.flatnonzero(of == s)
+                        at = shards[s].find(hi[mine], lo[mine])
+                        for i, a in zip(mine[at >= 0].tolist(), at[at >= 0].tolist()):
+                            k, j = where[i]
+                            masks[k][j] = ids[k] != shards[s].largest[a]
+                yield kept_lines(batch, rest, lines, masks, digest)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, digest: bool = False, shard_keys: int = SHARD_KEYS, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def lister(n: int, min_length: int) -> Callable:
+    """(row, line, shard, hi, lo, id) of all key lines of (row, id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 2):
+                hi, lo, where = hashes([t.split(b"\n") for t in texts(batch.column(2))], min_length)
+                k, j = np.array(where, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(j), pa.array(shard_of(hi, n)), pa.array(hi), pa.array(lo), batch.column(1).take(pa.array(k))], ["row", "line", "shard", "hi", "lo", "id"])
+
+    return run
+
+
+def probe_shard(lines: pa.Table, shard: pa.Table) -> pa.Table:
+    """(row, line) of the lines that a shard tells to drop."""
+    if not shard.num_rows or not lines.num_rows:
+        return pa.table({"row": pa.array([], pa.int64()), "line": pa.array([], pa.int64())})
+    s = Shard(shard.select(["sizes", "bits", "fingerprints", "counts", "largest"]).to_pylist()[0])
+    at = s.find(lines.column("hi").to_numpy().copy(), lines.column("lo").to_numpy().copy())
+    gone = (at >= 0) & (s.largest[np.maximum(at, 0)] != lines.column("id").to_numpy())
+    return lines.select(["row", "line"]).filter(pa.array(gone))
+
+
+def dropper(digest: bool) -> Callable:
+    """Drops listed lines. The last two columns are their numbers (or null) and the text; the others are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rest = whole.num_columns - 2
+            for batch in pieces(whole, rest + 1):
+                lines = [t.split(b"\n") for t in texts(batch.column(rest + 1))]
+                masks = [np.zeros(len(x), bool) for x in lines]
+                for m, gone in zip(masks, batch.column(rest).to_pylist()):
+                    m[gone or []] = True
+                yield kept_lines(batch, rest, lines, masks, digest)
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, digest: bool = False, shard_keys: int = SHARD_KEYS, index_bytes: int = INDEX_BYTES, probes: int = PROBES) -> DataFrame:
     """docs with repeated lines dropped: all columns, n_lines, n_dropped (digest: id column, n_lines, n_dropped, kept_sha256).
 
     A line's key is the line stripped of white space, A-Z lower-cased. Keys of `min_length` code points or more that
     `min_docs` rows hold lose all their lines, but in the rows with the largest id that holds the key. Null text is one
-    empty line (and stays null in no output: it becomes empty); a null id
-    counts as the smallest; repeated rows count as rows. Columns named n_lines, n_dropped, mask or id are replaced.
-    The index is broadcast up to `index_bytes` (checked); a larger one is probed in passes of that size, each written.
+    empty line (and becomes empty); a null id counts as the smallest; repeated rows count as rows. Columns named n_lines
+    or n_dropped are replaced; all others, of any name, stay as they are.
+
+    An index of up to `index_bytes` (counted first) is broadcast. Beyond it the hashes of the key lines are dealt to the
+    shards, a shard that more than `probes` of them ask being copied to several tasks, and what goes comes back by row.
+    A line is told by a 128-bit hash; one that is not frequent passes a shard's check with a probability of 2^-64.
     """
     shards, n, count = build_index(docs, id_column, min_length, min_docs, shard_keys)
-    spark = docs.sparkSession
-    keep = [id_column] if digest else [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "mask", "id")]
-    if not digest and "id" == id_column:
-        keep.append("id_")
-        docs = docs.withColumn("id_", F.col("id"))
-    rows = docs.select(*keep, number(id_column), "text", F.lit(None).cast("binary").alias("mask"))
-    passes = max(1, -(-count * BYTES_A_KEY // index_bytes))
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
-    for k in range(passes):
-        part = [r.asDict() for r in shards.where(F.pmod("shard", F.lit(passes)) == k).toLocalIterator()]
-        share = spark.sparkContext.broadcast((uuid.uuid4().hex, part))
-        if k < passes - 1:
-            rows = written(rows.mapInArrow(prober(share, n, min_length, "mask"), f"{kinds}id long, text string, mask binary"), "masked")
-        elif digest:
-            return rows.mapInArrow(prober(share, n, min_length, "digest"), f"{kinds}n_lines long, n_dropped long, kept_sha256 string")
-        else:
-            out = rows.mapInArrow(prober(share, n, min_length, "text"), f"{kinds}n_lines long, n_dropped long, text string")
-            if id_column == "id":
-                out = out.withColumnRenamed("id_", "id")
-            return out.select(*[c for c in docs.columns if c in ("text", *keep, id_column) and c != "id_"], "n_lines", "n_dropped")
+    outputs = DIGEST if digest else TEXT
+    keep = [id_column] if digest else kept(docs.columns, outputs)
+    source = docs.select(*keep, number(id_column).alias("_id"), F.col("text").alias("_text"))
+    if count * BYTES_A_KEY <= index_bytes:
+        share = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r.asDict() for r in shards.toLocalIterator()]))
+        drop(shards)
+        out = source.mapInArrow(prober(share, n, min_length, digest), shaped(docs, keep, outputs))
+    else:
+        rows = written(source.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        lines = written(rows.select("_row", "_id", "_text").mapInArrow(lister(n, min_length), "row long, line long, shard long, hi long, lo long, id long"), "probes")
+        copies = written(lines.groupBy("shard").agg(F.ceil(F.count("*") / probes).alias("copies")), "copies")
+        asked = lines.join(copies, "shard").withColumn("copy", F.pmod(F.hash("row", "line"), F.col("copies"))).drop("copies")
+        held = shards.join(copies.toDF("of", "n"), F.col("shard") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("of", "n")
+        gone = asked.groupBy("shard", "copy").cogroup(held.groupBy("shard", "copy")).applyInArrow(probe_shard, "row long, line long")
+        gone = gone.groupBy("row").agg(F.collect_list("line").alias("_gone"))
+        out = rows.join(gone.withColumnRenamed("row", "_row"), "_row", "left").select(*keep, "_gone", "_text").mapInArrow(dropper(digest), shaped(docs, keep, outputs))
+    if digest:
+        return out
+    return out.select(*[c for c in docs.columns if c == "text" or c in keep], "n_lines", "n_dropped")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,13 +169,14 @@ def brute_lines(rows, least=40, docs=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_keys": 2, "index_bytes": 40}])
+@pytest.mark.parametrize("options", [{}, {"shard_keys": 2, "index_bytes": 40, "probes": 7}])
 def test_line_dedup(spark, options):
     r = random.Random(2)
     lines = [f"{chr(65 + k)} line that is surely more than forty characters {k}é" for k in range(12)] + ["short", "", " x ", "ß" * 39, "ß" * 40]
     rows = [(k, "\n".join(r.choice([f"  {x}\t", x.upper() if x.isascii() else x, x]) for x in r.sample(lines, 6) for _ in range(r.choice([1, 1, 2]))), "en", "s") for k in range(40)]
     rows += [(50, None, "en", "s"), (51, "", "en", "s"), (52, LONG, "en", "s"), (53, "\n\n", None, None)] + [rows[0]]
-    docs = frame(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("mask", F.lit(1))
+    docs = frame(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("mask", F.lit(1)).withColumn("id", F.lit("mine"))
+    assert {(r.mask, r.id) for r in linededup.dedup_lines(docs, **options).collect()} == {(1, "mine")}
     out = linededup.dedup_lines(docs, **options)
     assert sorted(tuple(x) for x in out.select("doc_id", "n_lines", "n_dropped", "text").collect()) == brute_lines(rows) and "lang" in out.columns
     digest = linededup.dedup_lines(docs, digest=True, **options)
@@ -188,7 +189,9 @@ def test_line_dedup(spark, options):
 def test_perfect_hash(n):
     rng = np.random.default_rng(n)
     keys = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
-    levels, index = linededup.build_mph(keys)
+    same = np.zeros(n, np.int64)  # equal first halves part by the second ones
+    assert sorted(linededup.build_mph(same[: len(keys)], keys)[1]) == list(range(len(keys)))
+    levels, index = linededup.build_mph(keys, keys)
     assert sorted(index) == list(range(len(keys)))
     raw = lambda x: x.astype(np.int64).tobytes()
     row = {"bits": np.concatenate(levels).tobytes(), "sizes": [64 * len(x) for x in levels], "fingerprints": raw(keys[np.argsort(index)]), "largest": raw(keys), "counts": raw(keys)}
