@@ -7,10 +7,11 @@ candidate, the numbers of registers that are larger, smaller and equal, with the
 likelihood of a similarity; a pair whose likelihood at the threshold is far below that of a smaller similarity is
 dropped, and every other pair is verified on the full sets.
 
-Documents with equal sets are one node from the start. A bucket yields links by which its plausible pairs hang
-together, one for a document at most, not one for a pair. What they connect is a cluster, whose texts meet in tiles of
-bounded size (two by two if there are several); there every pair is verified, and again only links by which the verified
-pairs hang together leave the tile. So a large group of copies costs rows by document, and no link is lost.
+Documents with equal sets are one node from the start. Large groups are dealt to tiles of bounded size, and what a group
+has in common is found in two steps, for buckets on the registers and then for clusters on the full texts. First each
+tile holds its own members and the group's smallest one; pairs that hang together already are not looked at again. What
+the first step has connected is one part; in the second step, only tiles of different parts meet. So a group of n copies
+costs about n rows and n comparisons, not n^2, and no link is lost. Links leave a tile as trees, not as pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.llm.bpe import ragged
@@ -29,8 +30,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
-#: documents in a tile of a bucket, documents and shingles in a tile of a cluster
-TILE, CLUSTER_TILE, TILE_SHINGLES = 1024, 512, 200_000
+#: documents in a tile of a bucket, documents and shingles in a tile of a cluster; buckets of so few list all their pairs
+TILE, CLUSTER_TILE, TILE_SHINGLES, FEW = 1024, 512, 200_000, 48
 #: a pair is dropped if some smaller similarity is more likely than the threshold by this log-likelihood ratio
 DOUBT = 9.0
 #: ids that may be broadcast (8 bytes each) to pick the texts to verify; beyond it, a shuffled join picks them
@@ -163,47 +164,102 @@ def tree_links(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[root[at]], pa.int64()), pa.array(ids[at], pa.int64())], ["a", "b"])
 
 
+def parts_that_meet(comp: np.ndarray, side: np.ndarray, far: np.ndarray, check: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that check(i, js) links, i < j < far[i]; pairs whose parts hang together by then are not checked."""
+    label = np.unique(comp, return_inverse=True)[1]
+    found = [np.zeros((2, 0), np.int64)]
+    for k in range(len(label) - 1):
+        other = np.arange(k + 1, far[k])
+        other = other[(label[other] != label[k]) & ((side[other] != side[k]) | (side[k] == 2))]
+        if len(other):
+            hit = other[check(k, other)]
+            if len(hit):
+                found.append(np.stack([np.full(len(hit), k), hit]))
+                label[np.isin(label, label[hit])] = label[k]
+    return tuple(np.concatenate(found, axis=1))
+
+
 def bucket_links(threshold: float) -> Callable:
-    """Sorted buckets to links by which the plausible pairs of each hang together."""
+    """Sorted tiles of buckets to links by which the plausible pairs of each hang together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_runs(batches, ("key", "tiles")):
-            key, tiles, side, ids, n = (t.column(c).to_numpy() for c in ("key", "tiles", "side", "id", "n"))
+        for t in by_runs(batches, ("key", "tile")):
+            key, tile, side, ids, comp, n = (t.column(c).to_numpy() for c in ("key", "tile", "side", "id", "comp", "n"))
             regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-            new = runs(key, tiles)
-            start = np.repeat(new, np.diff(np.append(new, len(key))))
-            before = np.arange(len(key)) - start
-            cuts = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(before) // 100_000]))
+            new = runs(key, tile)
+            count = np.diff(np.append(new, len(key)))
+            start, few = np.repeat(new, count), np.repeat(count <= FEW, count)
             found = [np.zeros((2, 0), np.int64)]
-            for a, b in zip(cuts, np.append(cuts[1:], len(key))):
-                i = np.repeat(np.arange(a, b), before[a:b])
-                j = ragged(start[a:b], before[a:b])
-                ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2)) & (ids[i] != ids[j])
+
+            def some(i, j):
+                ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2)) & (comp[i] != comp[j])
                 i, j = i[ok], j[ok]
                 keep = plausible(regs[i], regs[j], n[i], n[j], threshold)
+                return ok, keep, i, j
+
+            # small buckets: all their pairs, many buckets at a time
+            before = np.where(few, np.arange(len(key)) - start, 0)
+            cuts = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(before) // 100_000])) if len(key) else np.zeros(0, np.int64)
+            for a, b in zip(cuts, np.append(cuts[1:], len(key))):
+                _, keep, i, j = some(np.repeat(np.arange(a, b), before[a:b]), ragged(start[a:b], before[a:b]))
                 found.append(np.stack([i[keep], j[keep]]))
+            for a, m in zip(new[count > FEW].tolist(), count[count > FEW].tolist()):
+
+                def check(k, other, a=a):
+                    ok, keep, *_ = some(np.full(len(other), a + k), a + other)
+                    ok[ok] = keep
+                    return ok
+
+                i, j = parts_that_meet(comp[a : a + m], side[a : a + m], np.full(m, m), check)
+                found.append(np.stack([a + i, a + j]))
             yield tree_links(*np.concatenate(found, axis=1), ids)
 
     return run
 
 
-def tiled(rows: DataFrame, n_tiles: Column) -> DataFrame:
-    """Each row once for every tile that its own tile meets, itself (side 2) and each other one (sides 0 and 1)."""
-    rows = rows.withColumn("n_tiles", n_tiles.cast("int")).withColumn("tile", F.pmod(F.hash("id"), F.col("n_tiles")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
-    low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    side = F.when(F.col("tile") == F.col("other"), 2).otherwise((F.col("tile") > F.col("other")).cast("int"))
-    return rows.withColumn("tiles", low.cast("long") * 2**31 + high).withColumn("side", side).drop("n_tiles", "tile", "other")
+def first_tiles(members: DataFrame, extent: DataFrame) -> DataFrame:
+    """(key, tile, side, id, comp): each member in a tile of its group, and the group's smallest member in all of them."""
+    own = F.array(F.pmod(F.hash("id"), F.col("n_tiles")).cast("int"))
+    tile = F.when(F.col("id") == F.col("least"), F.sequence(F.lit(0), F.col("n_tiles") - 1)).otherwise(own)
+    rows = members.select("key", "id").join(extent, "key")
+    return rows.select("key", F.explode(tile).alias("t"), "id").select("key", F.col("t").cast("long").alias("tile"), F.lit(2).alias("side"), "id", F.col("id").alias("comp"))
+
+
+def second_tiles(members: DataFrame, extent: DataFrame, part: DataFrame) -> DataFrame | None:
+    """(key, tile, side, id, comp) of groups of several tiles: each pair of tiles that holds different parts, as one tile.
+
+    part: (id, component) as the first step found it. A part that fills tiles has its own, which do not meet each other;
+    smaller parts share tiles. members has a `share`: how much of a tile a member fills.
+    """
+    large = extent.where("n_tiles > 1").select("key")
+    if large.isEmpty():
+        return None
+    whole = members.join(large, "key").join(part, "id", "left").select("key", "id", "share", F.coalesce("component", "id").alias("comp"))
+    whole = written(whole, "large")
+    parts = whole.groupBy("key", "comp").agg(F.sum("share").alias("share"), F.count("*").alias("docs"))
+    several = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    parts = parts.join(several, "key").withColumn("pure", F.col("share") >= 1).withColumn("of", F.when(F.col("pure"), F.col("comp")).otherwise(0))
+    spaces = parts.groupBy("key", "pure", "of").agg(F.least(F.sum("docs"), F.ceil(F.sum("share"))).cast("int").alias("n_tiles"))
+    parts, spaces = written(parts.select("key", "comp", "pure", "of"), "parts"), written(spaces, "spaces")
+    one = spaces.select("key", "pure", "of", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("k")).select("key", F.struct("pure", "of", "k").alias("t"))
+    two = one.toDF("key", "u")
+    pairs = one.join(two, "key").where("t <= u AND NOT (t.pure AND u.pure AND t.of = u.of)").withColumn("tile", F.monotonically_increasing_id())
+    pairs = written(pairs, "pairs")
+    placed = whole.join(parts, ["key", "comp"]).join(spaces, ["key", "pure", "of"])
+    placed = written(placed.select("key", "id", "comp", F.struct("pure", "of", F.pmod(F.hash("id"), F.col("n_tiles")).cast("int").alias("k")).alias("at")), "placed")
+    left = placed.join(pairs.withColumnRenamed("t", "at"), ["key", "at"]).select("key", "tile", F.when(F.col("at") == F.col("u"), 2).otherwise(0).alias("side"), "id", "comp")
+    right = placed.join(pairs.where("t <> u").withColumnRenamed("u", "at"), ["key", "at"]).select("key", "tile", F.lit(1).alias("side"), "id", "comp")
+    return left.unionByName(right)
 
 
 def exact_links(percent: int) -> Callable:
-    """Sorted tiles of clusters to links by which their similar pairs hang together: every pair, on the full sets."""
+    """Sorted tiles of clusters to links by which their similar pairs hang together, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_runs(batches, ("key", "tiles")):
+        for t in by_runs(batches, ("key", "tile")):
             sets = [s for b in t.to_batches() for piece in pieces(b, "text") for s in shingle_sets(texts(piece.column("text")))]
-            key, tiles, side, ids = (t.column(c).to_numpy() for c in ("key", "tiles", "side", "id"))
-            new = runs(key, tiles)
+            key, tile, side, ids, comp = (t.column(c).to_numpy() for c in ("key", "tile", "side", "id", "comp"))
+            new = runs(key, tile)
             for a, b in zip(new, np.append(new[1:], len(key))):
                 at = np.array(sorted((k for k in range(a, b) if len(sets[k])), key=lambda k: len(sets[k])), np.int64)
                 if len(at) < 2:
@@ -213,19 +269,16 @@ def exact_links(percent: int) -> Callable:
                 ends = np.cumsum(size)
                 mark = np.zeros(len(known), np.int32)
                 far = np.searchsorted(size, size * 100 // percent, side="right")  # a larger set is too large
-                found = [np.zeros((2, 0), np.int64)]
-                for k in range(len(at) - 1):
-                    if far[k] <= k + 1:
-                        continue
+
+                def check(k, other):
                     own = flat[ends[k] - size[k] : ends[k]]
                     mark[own] = 1
-                    both = np.add.reduceat(mark[flat[ends[k] : ends[far[k] - 1]]], ends[k : far[k] - 1] - ends[k])
+                    inside = mark[flat[ragged(ends[other] - size[other], size[other])]]
+                    both = np.add.reduceat(inside, np.cumsum(size[other]) - size[other])
                     mark[own] = 0
-                    linked = 100 * both >= percent * (size[k] + size[k + 1 : far[k]] - both)
-                    other = np.flatnonzero(linked) + k + 1
-                    other = other[(side[at[other]] != side[at[k]]) | (side[at[k]] == 2)]
-                    found.append(np.stack([np.full(len(other), k), other]))
-                yield tree_links(*np.concatenate(found, axis=1), ids[at])
+                    return 100 * both >= percent * (size[k] + size[other] - both)
+
+                yield tree_links(*parts_that_meet(comp[at], side[at], far, check), ids[at])
 
     return run
 
@@ -233,7 +286,7 @@ def exact_links(percent: int) -> Callable:
 def near_copies(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -> DataFrame:
     """(id column, n_shingles, component_id, kept) for each row of docs.
 
-    Rows link if 100 * intersection >= percent * union of their sets; component_id is the smallest id reachable, kept
+    Rows link if 100 * intersection >= percent * union of their sets (of 64-bit hashes of the shingles); component_id is the smallest id reachable, kept
     says whether it is the row's own. Text that is null or has no words has an empty set and links with nothing.
     Repeated rows and equal texts are one node. Rows that share an id count as one document for links, each with its own
     n_shingles; a null id stands apart and gets a null component. Other columns are not read.
@@ -243,23 +296,36 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -
     some = sketches.where("n > 0 AND id IS NOT NULL")
     nodes = written(some.groupBy("one", "two", "n").agg(F.min("id").alias("id"), F.first("registers").alias("registers")), "nodes")
     band = lambda k: F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS))
-    bands = nodes.select("id", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = tiled(bands.join(shared, "key"), F.ceil(F.col("size") / TILE)).join(nodes.select("id", "n", "registers"), "id")
-    members = members.select("key", "tiles", "side", "id", "n", "registers").repartition("key", "tiles").sortWithinPartitions("key", "tiles")
-    near = written(members.mapInArrow(bucket_links(percent / 100), "a long, b long").distinct(), "near")
-
-    # what hangs together by plausible pairs is a cluster: all its pairs are verified, in tiles, on the full sets
-    cluster = written(components(near).withColumnRenamed("component", "key").join(nodes.groupBy("id").agg(F.sum("n").alias("n")), "id"), "cluster")
-    extent = cluster.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    n_tiles = F.greatest(F.lit(1), F.ceil(F.col("docs") / CLUSTER_TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    bands = nodes.select("id", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"), F.lit(1 / TILE).alias("share"))
+
+    def joined(tiles: DataFrame, payload: DataFrame, links_of: Callable) -> DataFrame:
+        rows = tiles.join(payload, "id").repartition("key", "tile").sortWithinPartitions("key", "tile")
+        return rows.mapInArrow(links_of, "a long, b long").distinct()
+
+    def linked(members: DataFrame, extent: DataFrame, payload: DataFrame, links_of: Callable, label: str) -> DataFrame:
+        """Components (id, component) of all links in the groups: in their tiles first, then between the parts that remain."""
+        first = written(joined(first_tiles(members, extent), payload, links_of), label)
+        part = components(first)
+        more = second_tiles(members, extent, part)
+        if more is None:
+            return part
+        second = written(joined(more, payload, links_of), label)
+        return part if second.isEmpty() else components(first.union(second))
+
+    extent = bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("docs")).where("docs > 1")
+    extent = written(extent.select("key", "least", F.ceil(F.col("docs") / TILE).cast("int").alias("n_tiles")), "buckets")
+    buckets = nodes.select("id", "n", "registers")
+    near = linked(bands, extent, buckets, bucket_links(percent / 100), "near")
+
+    # what hangs together by plausible pairs is a cluster, whose pairs are verified on the full sets
+    cluster = near.withColumnRenamed("component", "key").join(nodes.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    cluster = written(cluster.select("id", "key", F.least(F.lit(1.0), F.greatest(F.lit(1 / CLUSTER_TILE), F.col("n") / TILE_SHINGLES)).alias("share")), "cluster")
+    extent = cluster.groupBy("key").agg(F.min("id").alias("least"), F.least(F.count("*"), F.ceil(F.sum("share"))).cast("int").alias("n_tiles"))
+    extent = written(extent, "extent")
     small = cluster.count() <= BROADCAST_IDS
-    ids = cluster.select("id", "key")
+    ids = cluster.select("id")
     held = written(source.join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id", "text"]), "texts")
-    rows = tiled(held.join(extent, "key"), n_tiles).select("key", "tiles", "side", "id", "text")
-    rows = rows.repartition("key", "tiles").sortWithinPartitions("key", "tiles")
-    links = written(rows.mapInArrow(exact_links(percent), "a long, b long").distinct(), "links")
-    whole = components(links)
+    whole = linked(cluster, extent, held, exact_links(percent), "links")
     of = nodes.select("one", "two", "n", F.col("id").alias("node")).join(whole.withColumnRenamed("id", "node"), "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component"))
     out = sketches.select("id", "n", "one", "two").join(of, ["one", "two", "n"], "left")
     component = F.coalesce("component", "id")

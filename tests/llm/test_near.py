@@ -93,10 +93,11 @@ def edited(r, words, n):
     return w
 
 
-@pytest.mark.parametrize("tile", [512, 7])
-def test_documents_against_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, few", [(512, 48), (7, 3)])
+def test_documents_against_all_pairs(spark, monkeypatch, tile, few):
     monkeypatch.setattr(nearcopies, "CLUSTER_TILE", tile)
-    monkeypatch.setattr(nearcopies, "TILE", 2 * tile)
+    monkeypatch.setattr(nearcopies, "TILE", tile)
+    monkeypatch.setattr(nearcopies, "FEW", few)
     r = random.Random(3)
     rows = []
     for g in range(12):
