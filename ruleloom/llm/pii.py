@@ -1,8 +1,10 @@
 """Personal data replaced by surrogates.
 
-Entities (e-mail addresses, telephone and card numbers, IPv4 addresses, national ids, IBANs, keys, tokens, passwords,
-names after a form of address) get keyed, type-consistent replacements: the same entity gets the same one in every
-document, of the same length, separators, letter case, script, gender and check digits. Numbers go through a keyed
+Entities (e-mail addresses, telephone and card numbers, IP addresses, national ids, IBANs, dates of birth, addresses of
+streets, keys, tokens, passwords, names after a form of address or an introduction, or that start with a known given
+name) get keyed, type-consistent replacements: the same entity gets the same one in every document, of the same length,
+separators, letter case, script, gender and check digits. Names are replaced word by word, so that Mr Smith, Dr Smith and
+Mr John Smith share a surname before and after. Numbers go through a keyed
 permutation of their own space, so different ones stay different; the rest are drawn by a keyed hash. All surrogates of
 the corpus are then checked: one that equals another surrogate or any real entity is drawn again, until none does. After
 some redraws surrogates leave the exact form (longer, or of a wider block), so that a full space never stops a run.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import pieces, table, written
+from ruleloom.llm.common import drop, kept, pieces, shaped, table, written
 
 #: redrawn entities that may be broadcast; more are joined to the documents that hold them
 BROADCAST_REDRAWN = 200_000
@@ -36,7 +39,6 @@ KEYWORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?k
 VALUE = re.compile(r"\s*([\"']?)([^\s\"'<>,;]{6,})")
 PREFIXED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-", "eyJ")
-LOCAL = re.compile(r"[\w.%+\-]+$")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 DIGITS = re.compile(r"\d[\d .()\-]*")
 IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)")
@@ -45,8 +47,16 @@ SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 PHONE = re.compile(r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?!\d)|\+\d{8,14}(?!\d)")
 CARD_GROUPS = frozenset([(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)])
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-NAME = re.compile(r"\b(" + "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t))) + r")(\.? )([^\W\d_][\w'’-]+(?: [A-Z][\w'’-]+)?)")
+WORD = r"[^\W\d_][\w-]*(?:['’](?!s\b)[\w-]+)*"
+TITLED = re.compile(r"\b(" + "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t))) + rf")\.? ({WORD})(?: ({WORD}))?")
+INTRODUCED = re.compile(rf"(?i:\bmy name is|\bname ?:|\bsigned ?[,:]|\bsincerely ?,\s|\bich hei(?:ß|ss)e|\bje m['’]appelle|\bme llamo) ?({WORD})(?: ({WORD}))?")
+KNOWN = re.compile(r"\b(" + "|".join(sorted(set(GIVEN["n"]))) + rf") ({WORD})")
 GENDER = {t: g for g, v in TITLES.items() for t in v}
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:])")
+BORN = re.compile(r"(?i:\bborn(?: on)?|\bdate of birth|\bd\.?o\.?b\b\.?|\bgeboren am|\bnée? le|\bfecha de nacimiento)[\s:]{1,3}(\d{4}-\d\d-\d\d|\d{1,2}([./-])\d{1,2}\2(?:\d{4}|\d\d))(?!\d)")
+STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd Square".split()
+STREET = re.compile(r"(?<![\w.])\d{1,5} (?:[A-Z][a-z'’]+ ){1,3}(?:" + "|".join(STREETS) + r")\b|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz) \d{1,4}[a-z]?\b|(?<![\w.])\d{1,4},? (?:rue|avenue|boulevard) (?:de la |du |des |de )?[A-ZÉÈ][\w'’-]+|\b(?:Calle|Avenida) [A-ZÁÉÍÓÚ][\w'’-]+,? \d{1,4}\b")
+STAY = frozenset([*STREETS, "Calle", "Avenida"])
 
 
 def luhn(digits: str) -> int:
@@ -111,15 +121,33 @@ def numbers(pattern: re.Pattern, rank: Callable[[str, int, int, bool], int], tex
             a = m.end()
 
 
+def proper(word: str) -> bool:
+    return word[0].isupper() and not word.isupper()
+
+
+def gender_of(given: str, otherwise: str) -> str:
+    """By the known names, so that one name has one gender whatever stands before it."""
+    return next((g for g in "mf" if given in GIVEN[g]), otherwise)
+
+
+def v6(s: str) -> str | None:
+    try:
+        return str(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of all entities, in order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        left, right = LOCAL.search(text, max(0, at - 80), at), DOMAIN.match(text, at + 1)
-        if left and right:
-            start = left.start()
-            while text[start] in ".%+-" and start < at:
+        right = DOMAIN.match(text, at + 1)
+        if right:
+            start = at
+            while start and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+                start -= 1
+            while text[start] in ".%+-":
                 start += 1
             if start < at:
                 found.append((start, right.end(), "email", text[start : right.end()].lower()))
@@ -158,9 +186,25 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             s = m[0].replace(" ", "")
             if 15 <= len(s) <= 34 and iban_rest(s) == 1:
                 found.append((m.start(), m.end(), "iban", s))
-    for m in NAME.finditer(text):
-        if m[3][0].isupper() and not m[3].isupper():
-            found.append((m.start(3), m.end(3), "name-" + GENDER[m[1]], m[3]))
+    if text.count(":") > 1:
+        for m in IPV6.finditer(text):
+            if sum(map(bool, m[0].split(":"))) > 2 and (v := v6(m[0])):
+                found.append((m.start(), m.end(), "ipv6", v))
+    found += [(m.start(1), m.end(1), "born", m[1]) for m in BORN.finditer(text)]
+    found += [(m.start(), m.end(), "street", m[0]) for m in STREET.finditer(text)]
+    for m in TITLED.finditer(text):
+        if proper(m[2]):
+            two = m[3] and proper(m[3])
+            if two:
+                found.append((m.start(2), m.end(2), "given-" + gender_of(m[2], GENDER[m[1]]), m[2]))
+            k = 3 if two else 2
+            found.append((m.start(k), m.end(k), "surname", m[k]))
+    for pattern in (INTRODUCED, KNOWN):
+        for m in pattern.finditer(text):
+            if proper(m[1]) and (pattern is INTRODUCED or proper(m[2])):
+                found.append((m.start(1), m.end(1), "given-" + gender_of(m[1], "n"), m[1]))
+                if m[2] and proper(m[2]):
+                    found.append((m.start(2), m.end(2), "surname", m[2]))
     if len(found) < 2:
         return found
     found.sort(key=lambda e: (e[0], -e[1]))
@@ -291,19 +335,51 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "secret":
         keep = next((p for p in PREFIXES if canon.startswith(p)), "")
         return keep + like(draw, longer(canon[len(keep) :], extra))
-    gender = kind[-1]
+    if kind == "ipv6":
+        groups = canon.split(":")
+        special = groups[0][:2] in ("fc", "fd", "fe", "ff")
+        digit = lambda k: "123456789abcdef"[draw.below(15)] if k == 0 else f"{draw.below(16):x}"
+        return ":".join(g if k == 0 and special or not g else "".join(digit(j) for j in range(min(4, len(g) + extra))) for k, g in enumerate(groups))
+    if kind == "born":
+        return born(draw, canon, extra)
+    if kind == "street":
+        words = [w if w in STAY or not (w[0].isupper() or w[0].isdigit()) else new_street(draw, w, extra) for w in canon.split(" ")]
+        return " ".join(words)
     letters = [c for c in canon if c.isalpha()]
     script = unicodedata.name(letters[0], "LATIN").split()[0]
     if script not in SYLLABLES:
         return like(draw, longer(canon, extra))
-    out = []
-    for k, word in enumerate(canon.split(" ")):
-        if k == 0 and len(canon.split(" ")) > 1 and script == "LATIN":
-            out.append(GIVEN[gender][draw.below(len(GIVEN[gender]))])
-        else:
-            s = SYLLABLES[script]
-            out.append("".join(s[draw.below(len(s))] for _ in range(max(3, len(word) // 2) + extra)).capitalize())
-    return " ".join(out)
+    known = GIVEN[kind[-1]] if kind != "surname" else ()
+    if script == "LATIN" and known and attempt < 3:
+        return known[draw.below(len(known))]
+    end = {"given-m": "o", "given-f": "a"}.get(kind, "") if script == "LATIN" else ""
+    return (syllables(draw, script, max(2 if end else 3, len(canon) // 2) + extra) + end).capitalize()
+
+
+def syllables(draw: Draw, script: str, n: int) -> str:
+    return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(n))
+
+
+def new_street(draw: Draw, word: str, extra: int) -> str:
+    """Another number of as many digits, or another name that keeps the ending which says what it is."""
+    if word[0].isdigit():
+        return str(1 + draw.below(9)) + like(draw, word[1:])
+    end = next((x for x in ("straße", "strasse", "weg", "platz") if word.endswith(x)), "")
+    comma = "," * word.endswith(",")
+    return (syllables(draw, "LATIN", max(2, (len(word) - len(end)) // 2) + extra) + end).capitalize() + comma
+
+
+def born(draw: Draw, canon: str, extra: int) -> str:
+    """Another date of the same form; in the end of one with more room."""
+    day, month = f"{1 + draw.below(28):02d}", f"{1 + draw.below(12):02d}"
+    if extra:
+        return f"{1000 + draw.below(9000)}-{month}-{day}"
+    parts = re.split(r"[./-]", canon)
+    if len(parts[0]) == 4:
+        return f"{min(2020, int(parts[0]) - 10 + draw.below(20))}-{month}-{day}"
+    mark = canon[len(parts[0])]
+    year = f"{int(parts[2]) - 10 + draw.below(20):04d}" if len(parts[2]) == 4 else f"{draw.below(100):02d}"
+    return mark.join([day if len(parts[0]) == 2 else str(1 + draw.below(9)), month if len(parts[1]) == 2 else str(1 + draw.below(9)), year])
 
 
 def dressed(kind: str, original: str, canon: str, new: str) -> str:
@@ -355,32 +431,42 @@ def assign(docs: DataFrame, key: bytes) -> DataFrame:
     kinds = "kind string, canon string, attempt int"
     real = written(docs.select("text").mapInArrow(lister, "kind string, canon string").distinct(), "entities")
     told = written(real.withColumn("attempt", F.lit(0)).mapInArrow(drawer(key), f"{kinds}, new string"), "surrogates")
+    family = F.when(F.col("kind").startswith("given") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind")).alias("family")  # names are told apart whatever their kinds
     while True:  # each redraw widens the space in the end, so that the clashes run out
-        twice = told.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1").select("kind", "new", F.col("first.canon").alias("winner"))
-        taken = real.select("kind", F.col("canon").alias("new"))
-        clash = told.join(twice, ["kind", "new"]).where("canon <> winner").select("kind", "canon").union(told.join(taken, ["kind", "new"], "left_semi").select("kind", "canon")).distinct()
+        named = told.select("*", family)
+        twice = named.groupBy("family", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "kind", "canon")).alias("first")).where("n > 1").select("family", "new", "first")
+        taken = real.select(family, F.col("canon").alias("new"))
+        clash = named.join(twice, ["family", "new"]).where("kind <> first.kind OR canon <> first.canon").select("kind", "canon").union(named.join(taken, ["family", "new"], "left_semi").select("kind", "canon")).distinct()
         clash = written(clash, "clashes")
         if clash.isEmpty():
             return told
         again = told.join(clash, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).select("kind", "canon", "attempt").mapInArrow(drawer(key), f"{kinds}, new string")
-        told = written(told.join(clash, ["kind", "canon"], "left_anti").unionByName(again), "surrogates")
+        old, told = told, written(told.join(clash, ["kind", "canon"], "left_anti").unionByName(again), "surrogates")
+        drop(old)
+        drop(clash)
+
+
+OUTPUTS = "text string, n_entities long, n_distinct long, kinds string"
 
 
 def replacer(key: bytes, share) -> Callable:
+    """The last column is the text, the one before it the redrawn entities if they are not shared; the others are kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, cache = share.value if share else {}, {}
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                own = batch.column("redrawn").to_pylist() if "redrawn" in batch.schema.names else [None] * batch.num_rows
+            rest = whole.num_columns - (1 if share else 2)
+            for batch in pieces(whole, whole.num_columns - 1):
+                own = [None] * batch.num_rows if share else batch.columns[-2].to_pylist()
                 texts, kinds, different = [], [], []
-                for t, mine in zip(batch.column("text").to_pylist(), own):
+                for t, mine in zip(batch.columns[-1].to_pylist(), own):
                     some = {(r["kind"], r["canon"]): r["attempt"] for r in mine} if mine else common
                     new, k, n = replace(t, key, some, {} if mine else cache) if t else (t, [], 0)
                     texts.append(new)
                     kinds.append(k)
                     different.append(n)
-                names = [c for c in batch.schema.names if c not in ("text", "redrawn", "row_")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(k) for k in kinds], pa.int64()), pa.array(different, pa.int64()), pa.array([",".join(sorted(set(k))) for k in kinds], pa.string())], [*names, "text", "n_entities", "n_distinct", "kinds"])
+                more = [pa.array(texts, pa.string()), pa.array([len(k) for k in kinds], pa.int64()), pa.array(different, pa.int64()), pa.array([",".join(sorted(set(k))) for k in kinds], pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:rest], *more], [*batch.schema.names[:rest], "text", "n_entities", "n_distinct", "kinds"])
 
     return run
 
@@ -388,14 +474,16 @@ def replacer(key: bytes, share) -> Callable:
 def pseudonymise(docs: DataFrame, key: bytes, keep: list[str], broadcast_redrawn: int = BROADCAST_REDRAWN) -> DataFrame:
     """`keep` columns, text with surrogates, n_entities, n_distinct, kinds (sorted, comma-joined) of each row of docs.
 
-    Texts without entities stay as they are; null stays null; rows are taken one by one, so repeated rows, ties and
-    other columns change nothing. The key decides all surrogates: who holds it can link, but not invert the hashed
-    kinds. Entities that had to be redrawn (few: see `assign`) are broadcast up to `broadcast_redrawn`, else joined to
-    the rows that hold them. The entities stand in the shared folder while the query runs.
+    Texts without entities stay as they are; null stays null; rows are taken one by one, so repeated rows and ties
+    change nothing; kept columns named as an output are replaced, other columns are not read. The key decides all
+    surrogates: who holds it can link, but not invert the hashed kinds. Entities that had to be redrawn (few: see
+    `assign`) are broadcast up to `broadcast_redrawn`, else joined to the rows that hold them. The entities stand in the
+    shared folder while the query runs.
     """
     told = assign(docs, key).where("attempt > 0").select("kind", "canon", "attempt")
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "text string, n_entities long, n_distinct long, kinds string"
-    source = docs.select(*keep, "text")
+    keep = kept(keep, OUTPUTS)
+    schema = shaped(docs, keep, OUTPUTS)
+    source = docs.select(*keep, F.col("text").alias("_text"))
     if told.limit(broadcast_redrawn + 1).count() <= broadcast_redrawn:
         share = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in told.collect()})
         return source.mapInArrow(replacer(key, share), schema)
@@ -404,9 +492,11 @@ def pseudonymise(docs: DataFrame, key: bytes, keep: list[str], broadcast_redrawn
     def of(text):
         return sorted({e[2:] for e in entities(text or "")})
 
-    held = source.select(F.xxhash64("text").alias("row_"), F.explode(of("text")).alias("e")).distinct().select("row_", "e.*")
-    mine = held.join(told, ["kind", "canon"]).groupBy("row_").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("redrawn"))
-    return source.withColumn("row_", F.xxhash64("text")).join(mine, "row_", "left").mapInArrow(replacer(key, None), schema)
+    digest = F.sha2("_text", 256)
+    held = source.select(digest.alias("_row"), F.explode(of("_text")).alias("e")).distinct().select("_row", "e.*")
+    mine = held.join(told, ["kind", "canon"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_redrawn"))
+    joined = source.withColumn("_row", digest).join(mine, "_row", "left").select(*keep, "_redrawn", "_text")
+    return joined.mapInArrow(replacer(key, None), schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
