@@ -34,18 +34,21 @@ def count_tokens(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")).cast("long")
 
 
-def format_chats(turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 128) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 128, tokens: str | None = None) -> DataFrame:
     """Rows (conv_id, turn, role, text) to windows: conv_id, window, formatted, n_repeated, loss (spans), n_tokens.
 
-    loss holds (start, length) in code points of `formatted`. A turn longer than the budget is a window of its own.
+    loss holds (start, length) in code points of `formatted`. tokens: a column with the number of tokens of each turn's
+    text, as a tokenizer counts them (null: none); without it `count_tokens` stands in. Four more are added for a turn's
+    marks. A turn that does not fit beside the system turn and the history is a window of its own, with these before it,
+    and may exceed the budget: so may all later windows of a conversation whose system turn leaves no room.
     Turns stand by turn, then role and text (nulls first), so repeated rows and ties have one order and all stay; null
     role or text is empty; a null conv_id is a conversation as any other; other columns are ignored.
     """
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    by_conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    counted = F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else count_tokens(F.coalesce("text", F.lit("")))
+    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (counted + 4).alias("tokens"))
+    by_conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "tokens")
     told = (
-        clean.withColumn("tokens", count_tokens(F.col("text")) + 4)
-        .withColumn("pos", F.row_number().over(by_conv) - 1)
+        clean.withColumn("pos", F.row_number().over(by_conv) - 1)
         .withColumn("before", F.sum("tokens").over(by_conv.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
         .withColumn("system", (F.col("pos") == 0) & (F.col("role") == "system"))
     )

@@ -162,6 +162,14 @@ def test_chats_read_back(spark, options):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_tokens_counted_by_the_caller(spark):
+    rows = [(1, k, "system" if k == 0 else "user", f"t{k}", n) for k, n in enumerate([10, 100, 100, 100, None, 300])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mine int")
+    got = {r.window: (r.n_tokens, r.n_repeated, r.formatted.count("</turn>")) for r in chat.format_chats(df, 300, 1, 50, "mine").collect()}
+    # room of a window: 300 - 50 - 14; turns cost 14, 104, 104, 104, 4, 304
+    assert got == {0: (222, 0, 3), 1: (14 + 104 + 4, 1, 3), 2: (14 + 4 + 304, 2, 3)}
+
+
 def test_chat_query_is_native(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     out = {r.conv_id: r for r in chat.op8_chat_format(spark, str(tmp_path)).collect()}
@@ -204,6 +212,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
 
 
+def test_pipeline_with_any_columns(spark, tmp_path):
+    """Columns that are named like anything the operators use pass through every stage unchanged."""
+    import corpus_pipeline
+
+    words = "the thing and other with from that this".split()
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(words) for _ in range(30)), "en", "s", 0) for k in range(12)]
+    names = ["id", "mask", "text_", "letters", "score", "lang_pred", "items", "hits", "n_words", "row", "row_", "rest", "key", "n_lines", "n_dropped", "_text", "_id", "_letters", "_some", "component_id", "kept", "n_shingles", "_row", "a.b", "held_out", "digest_"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "zzz zzz zzz")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, stage, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["score"].dataType.typeName() == "string"
+        got = out.collect()
+        assert len(got) == 12 and all(x[n] == f"{n}:{x.doc_id}" for x in got for n in names)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 12
+
+
 def test_pipeline_drops_rows_by_their_own_text(spark):
     """Repeated and null ids: what is no copy stays, what is a copy goes, whatever else has the same id."""
     import corpus_pipeline
