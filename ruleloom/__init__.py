@@ -1 +1 @@
-"""Rules over facts and events, compiled to Spark DataFrames."""
+"""Productions over facts and events, compiled to Spark DataFrames."""

@@ -1,4 +1,4 @@
-"""Conditions as Columns, with the rules' own sense of missing values, null and mixed types.
+"""Conditions as Columns, with the productions' own sense of missing values, null and mixed types.
 
 A message is a row with typed columns, or one with a VARIANT column. A comparison holds only if its property is
 present; null equals null alone; int, double and bool compare as numbers; a string compares with anything else as text.
@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleloom.functions.patterns import java_pattern
+from ruleloom.functions.patterns import matched
 from ruleloom.plans.ir import All, Any, Arith, Compare, Const, Exists, Match, Node, Prop, Quantified, RuleError, Value
 
 NUMBERS = ("bool", "int", "double")
@@ -30,7 +30,7 @@ OPS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def kind_of(t: T.DataType) -> str:
-    """The rules' type of a Spark type."""
+    """The productions' type of a Spark type."""
     if isinstance(t, T.StringType):
         return "string"
     if isinstance(t, T.BooleanType):
@@ -165,12 +165,14 @@ def arithmetic(v: Arith, scope: Scope) -> Operand:
         return Operand("double", calculate(v.op, a.number.cast("double"), b.number.cast("double")))
     x, y = a.number.cast("long"), b.number.cast("long")
     if v.op == "div":
-        return Operand("int", F.call_function("div", x, F.nullif(y, F.lit(0).cast("long"))))
+        # the smallest long divided by -1 has no place in a long
+        return Operand("int", F.when((y == -1) & (x == F.lit(-(1 << 63))), None).otherwise(F.call_function("div", x, F.nullif(y, F.lit(0).cast("long")))))
     return Operand("int", calculate(v.op, x, y))
 
 
 def calculate(op: str, x: Column, y: Column) -> Column:
-    return {"add": lambda: x + y, "sub": lambda: x - y, "mul": lambda: x * y, "div": lambda: F.try_divide(x, y)}[op]()
+    """Nothing where the result has no place in its type: such a condition does not hold."""
+    return {"add": F.try_add, "sub": F.try_subtract, "mul": F.try_multiply, "div": F.try_divide}[op](x, y)
 
 
 def compare(op: str, a: Operand, b: Operand) -> Column:
@@ -204,8 +206,8 @@ def compare(op: str, a: Operand, b: Operand) -> Column:
     return OPS[op](a.text, b.text)
 
 
-def matches(a: Operand, pattern: str, ignore_case: bool) -> Column:
-    return a.text.rlike(java_pattern(pattern, ignore_case))
+def matches(a: Operand, pattern: str, ignore_case: bool, in_item: bool) -> Column:
+    return matched(a.text, pattern, ignore_case, in_item)
 
 
 def quantified(q: Quantified, scope: Scope) -> Column:
@@ -239,7 +241,7 @@ def truth(node: Node, scope: Scope) -> Column:
         p = scope.property(node.prop)
         return p.col.isNotNull() if node.present else p.col.isNull()
     if isinstance(node, Match):
-        return matches(scope.property(node.prop), node.pattern, node.ignore_case)
+        return matches(scope.property(node.prop), node.pattern, node.ignore_case, scope.item is not None)
     if isinstance(node, Quantified):
         return quantified(node, scope)
     raise RuleError(f"no condition: {node!r}")

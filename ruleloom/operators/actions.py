@@ -2,7 +2,7 @@
 
 An action gets a MatchContext and calls its verbs; what it asked for comes back as rows, which the caller turns into
 facts, tombstones, events, state updates and timers of this or another rule set. An action that raises yields one row
-with the error, so rules can look at it as data.
+with the error, so productions can look at it as data.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def chained(*actions: Callable[[MatchContext], None]) -> Callable[[MatchContext]
 def effects_of(matches: DataFrame, actions: dict[str, Callable[[MatchContext], None]], state: DataFrame | None = None) -> DataFrame:
     """What the actions of an agenda's matches ask for: one row an effect, in order within a match.
 
-    matches: the columns of `agenda` (sid, rule, match); rules without an action are left out. state: (sid, columns) of
+    matches: the columns of `agenda` (sid, rule, match); productions without an action are left out. state: (sid, columns) of
     the latest states. A message is what the match kept of it. Matches are independent: order them by batches.
     """
     rows = matches.where(F.col("rule").isin(*actions)).select(F.col("sid").cast("string").alias("sid"), "rule", F.to_json("match").alias("match"))
@@ -111,7 +111,7 @@ def effects_of(matches: DataFrame, actions: dict[str, Callable[[MatchContext], N
                 try:
                     actions[rule](c)
                     found = c.finished()
-                except Exception as e:  # an error is data: a state property that rules may test
+                except Exception as e:  # an error is data: a state property that productions may test
                     found = [*c.effects, ("error", None, None, None)]
                     out += [(sid, rule, k, *x, f"{type(e).__name__}: {e}" if x[0] == "error" else None) for k, x in enumerate(found)]
                     continue

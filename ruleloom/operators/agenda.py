@@ -13,14 +13,14 @@ from ruleloom.plans.ir import Rule
 from ruleloom.sources.messages import Messages
 
 
-def agenda(rules: list[Rule], source: Messages, state: Messages | None = None, keep: list[str] | None = None) -> DataFrame:
-    """All matches of the rules: sid, rule, pri, rule_index, mids, seqs (by pattern, NULL where one is left out), at, match.
+def agenda(productions: list[Rule], source: Messages, state: Messages | None = None, keep: list[str] | None = None) -> DataFrame:
+    """All matches of the productions: sid, rule, pri, rule_index, mids, seqs (by pattern, NULL where one is left out), at, match.
 
-    `at` is the arrival that completed the match; `match` holds the aliases' structs. Rules whose patterns differ share
+    `at` is the arrival that completed the match; `match` holds the aliases' structs. Productions whose patterns differ share
     the columns, with NULL for aliases they do not have.
     """
     parts = []
-    for k, rule in enumerate(rules):
+    for k, rule in enumerate(productions):
         found = match(rule, source, state, keep)
         names = [p.alias for p in positive(rule)]
         of = lambda c, kind: F.array(*(F.col(f"{flat(a)}.{c}").cast(kind) for a in names))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ruleloom.functions.columns import Scope, operand
 from ruleloom.operators.agenda import agenda, first_to_fire
 from ruleloom.operators.match import Matcher, flat, positive
-from ruleloom.plans.ir import Prop, Rule, Value, constant, values
+from ruleloom.plans.ir import Prop, Rule, RuleError, Value, constant, values
 from ruleloom.sources.messages import Messages, retracted
 from ruleloom.sources.store import written
 
@@ -39,8 +39,10 @@ def asserts(**values: object) -> Assert:
 
 
 def facts_of(rule: Rule, effects: list[Effect], matches: DataFrame, facts: Messages, name: Callable[[str], str] = flat) -> DataFrame | None:
-    """The facts that the matches assert, with the columns of `facts`; their identity is a hash of what they say."""
+    """The facts that the matches assert, with the columns of `facts`; their identity is a digest of what they say."""
     types = {f.name: f.dataType for f in facts.df.schema}
+    if types[facts.mid].typeName() != "string" and any(isinstance(e, Assert) for e in effects):
+        raise RuleError(f"{rule.name}: derived facts are told apart by a digest, so {facts.mid} must be a string")
     scope = Scope((None, lambda n: F.lit(None)), {p.alias: (facts.schema, facts.getter(f"{name(p.alias)}.")) for p in positive(rule)})
     out = []
     for e in effects:
@@ -49,8 +51,8 @@ def facts_of(rule: Rule, effects: list[Effect], matches: DataFrame, facts: Messa
         said: dict[str, Column] = {k: operand(v if isinstance(v, Value) else constant(v), scope).col for k, v in e.values.items()}
         cols = {c: (F.col("sid") if c == facts.sid else said.get(c, F.lit(None))).cast(t) for c, t in types.items() if c not in (facts.mid, facts.seq)}
         row = matches.select(*(v.alias(k) for k, v in cols.items()))
-        mid = F.concat(F.lit("$"), F.sha2(F.to_json(F.struct(*cols)), 256)) if types[facts.mid].typeName() == "string" else F.xxhash64(*cols)
-        out.append(row.withColumn(facts.mid, mid.cast(types[facts.mid])).withColumn(facts.seq, F.lit(None).cast(types[facts.seq])).select(*types))
+        mid = F.concat(F.lit("$"), F.sha2(F.to_json(F.struct(*cols)), 256))
+        out.append(row.withColumn(facts.mid, mid).withColumn(facts.seq, F.lit(None).cast(types[facts.seq])).select(*types))
     return reduce(DataFrame.unionByName, out).dropDuplicates([facts.sid, facts.mid]) if out else None
 
 
@@ -63,7 +65,7 @@ def referred(effects: list[Effect]) -> list[str]:
 def closure(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int = 100) -> Messages:
     """All facts that follow: rounds in which at least one pattern of a match takes a fact of the round before.
 
-    For programs that only assert. A `none` sees the facts so far, so its rules belong in a later call than the ones
+    For programs that only assert. A `none` sees the facts so far, so its productions belong in a later call than the ones
     that assert what it excludes. Each round's new facts are written; `seq` of a derived fact is its round.
     """
     if any(isinstance(e, Retract) for _, effects in program for e in effects):
@@ -107,14 +109,14 @@ def fire(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int =
     Effects show before the next pick, and a match fires once. Every step is one round for all contexts together, so
     the rounds follow the longest chain of firings of one context.
     """
-    rules = [r for r, _ in program]
+    productions = [r for r, _ in program]
     now = written(facts.df, "facts")
     top = now.agg(F.max(facts.seq).alias("n")).first()["n"] or 0
     fired: DataFrame | None = None
     for n in range(1, most + 1):
         here = replace(facts, df=now)
         wide = [c for c in now.columns if c not in (facts.sid, facts.mid, facts.seq)]
-        waiting = agenda(rules, here, keep=wide)
+        waiting = agenda(productions, here, keep=wide)
         if fired is not None:
             done = fired.select(F.col("sid").alias("_sid"), F.col("rule").alias("_rule"), F.col("mids").alias("_mids"))
             waiting = waiting.join(done, (F.col("sid") == F.col("_sid")) & (F.col("rule") == F.col("_rule")) & F.col("mids").eqNullSafe(F.col("_mids")), "left_anti")

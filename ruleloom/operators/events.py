@@ -1,6 +1,6 @@
 """Events that are observed once: a firing consumes its messages.
 
-Candidates are the set-oriented matches of the rules, found by joins. What fires is decided by arrival: an event that
+Candidates are the set-oriented matches of the productions, found by joins. What fires is decided by arrival: an event that
 completes several candidates fires the first of them (priority, definition order, newest partner), which consumes its
 events and so cancels every other candidate that holds one. That is one pass over the candidates in that order.
 """

@@ -1,4 +1,4 @@
-"""Rules to matches: filters, joins within a context, anti-joins for `none`, unions of joins for `any`.
+"""Productions to matches: filters, joins within a context, anti-joins for `none`, outer joins for `any`.
 
 A match is a row with the context id (sid) and a struct for each alias; aliases that an `any` left out are NULL.
 Conditions on one message filter it before any join; conditions that relate messages become join conditions, whose
@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.columns import Scope, condition, truth
-from ruleloom.plans.ir import All, Group, Node, Pattern, Rule, aliases, names_of, own_names, patterns
+from ruleloom.plans.ir import All, Group, Node, Pattern, Rule, RuleError, aliases, names_of, own_names, patterns
 from ruleloom.sources.messages import Messages
 
 Source = Callable[[Pattern], Messages]
@@ -33,11 +32,21 @@ def split(node: Node) -> tuple[list[Node], list[Node]]:
     return [p for p in parts if not aliases(p)], [p for p in parts if aliases(p)]
 
 
+def optional(g: Group) -> Iterator[str]:
+    """Aliases of patterns that a match may leave out."""
+    for e in g.elements:
+        if isinstance(e, Group):
+            yield from (p.alias for p in patterns(e)) if g.kind == "any" else optional(e)
+        elif g.kind == "any":
+            yield e.alias
+
+
 class Matcher:
     def __init__(self, rule: Rule, source: Messages | Source, state: Messages | None = None, keep: list[str] | None = None, where: Callable[[Pattern], Column | None] | None = None):
         self.rule, self.state, self.keep, self.where = rule, state, keep or [], where
         self.source: Source = source if callable(source) else lambda p: source
         self.all = list(patterns(rule.when))
+        self.optional = set(optional(rule.when))
 
     def messages(self, p: Pattern) -> Messages:
         if p.on_state:
@@ -76,7 +85,7 @@ class Matcher:
             df = df.where(more)
         return df.select(F.col(src.sid).alias("_sid"), F.struct(*(F.col(c) for c in self.columns(p, src))).alias(flat(p.alias)))
 
-    def joined_on(self, p: Pattern, known: list[Pattern]) -> Column:
+    def joined_on(self, p: Pattern, known: list[Pattern], apart: list[Pattern] = ()) -> Column:
         """What a pattern's rows must fulfil beside the messages matched so far."""
         src = self.messages(p)
         own = (src.schema, src.getter(f"{flat(p.alias)}."))
@@ -86,21 +95,29 @@ class Matcher:
             out = out & (condition(n, scope) if p.negated else truth(n, scope))
         if self.rule.distinct:
             for q in known:
-                if not q.on_state and not p.on_state:
-                    out = out & (F.col(f"{flat(q.alias)}.{self.messages(q).mid}") != F.col(f"{flat(p.alias)}.{src.mid}"))
+                if not q.on_state and not p.on_state and not any(q is x for x in apart):
+                    other = F.col(f"{flat(q.alias)}.{self.messages(q).mid}") != F.col(f"{flat(p.alias)}.{src.mid}")
+                    out = out & (F.coalesce(other, F.lit(True)) if q.alias in self.optional else other)  # an `any` may have left it out
         return out
 
-    def sequence(self, elements: list[Pattern | Group]) -> DataFrame:
-        """Frames in which all elements hold: a left-deep join in written order; a leading `none` waits for the first pattern."""
+    def sequence(self, elements: list[Pattern | Group], frames: DataFrame | None = None, known: list[Pattern] | None = None, apart: list[Pattern] | None = None) -> DataFrame:
+        """Frames in which all elements hold: a left-deep join in written order; a leading `none` waits for the first pattern.
+
+        frames: what is matched so far, with the patterns `known`, which conditions may refer to. apart: those of them
+        in other groups, whose messages need not differ from the ones here.
+        """
         first = next((k for k, e in enumerate(elements) if isinstance(e, Group) or not e.negated), None)
         if first is None:
-            raise ValueError(f"{self.rule.name}: a rule of `none` alone fires when its last message goes; see emptied()")
+            if frames is None:
+                raise RuleError(f"{self.rule.name}: a rule of `none` alone fires when its last message goes; see emptied()")
+            first = 0
         ordered = [elements[first], *elements[:first], *elements[first + 1 :]]
-        frames, known = None, []
+        known, apart = list(known or []), list(apart or [])
         for e in ordered:
             if isinstance(e, Group):
-                inner = self.any_of(list(e.elements)) if e.kind == "any" else self.sequence(list(e.elements))
-                frames = inner if frames is None else frames.join(inner.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid")).drop("_sid")
+                frames = (self.any_of if e.kind == "any" else self.sequence)(list(e.elements), frames, known, known)
+                inner = [p for p in patterns(e) if not p.negated]
+                known, apart = [*known, *inner], [*apart, *inner]
                 continue
             if frames is None:
                 frames = self.with_state(e, self.rows(e).withColumnRenamed("_sid", "sid"))
@@ -109,7 +126,7 @@ class Matcher:
                     scope = self.scope((src.schema, src.getter(f"{flat(e.alias)}.")), [])
                     frames = frames.where(reduce(lambda a, b: a & b, (truth(n, scope) for n in related)))
             else:
-                frames = frames.join(self.rows(e), self.joined_on(e, known), "left_anti" if e.negated else "inner")
+                frames = frames.join(self.rows(e), self.joined_on(e, known, apart), "left_anti" if e.negated else "inner")
                 frames = frames if e.negated else frames.drop("_sid")
             if not e.negated:
                 known.append(e)
@@ -123,16 +140,42 @@ class Matcher:
         rows = self.state.df.select(F.col(self.state.sid).alias("_sid"), F.struct("*").alias("_s"))
         return frames.join(rows, F.col("sid") == F.col("_sid")).drop("_sid")
 
-    def any_of(self, elements: list[Pattern | Group]) -> DataFrame:
-        """Frames of every non-empty combination of the elements; one that refers to another never stands without it."""
-        names = {e.alias for e in elements if isinstance(e, Pattern)}
-        parts = []
-        for n in range(1, len(elements) + 1):
-            for chosen in combinations(elements, n):
-                have = {e.alias for e in chosen}
-                if all(isinstance(e, Group) or aliases(e.condition) & names <= have for e in chosen):
-                    parts.append(self.sequence(list(chosen)))
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    def any_of(self, elements: list[Pattern | Group], frames: DataFrame | None = None, known: list[Pattern] | None = None, apart: list[Pattern] | None = None) -> DataFrame:
+        """Frames of every non-empty combination of the elements; one that refers to another never stands without it.
+
+        Each element in turn is left out or joined: one outer join for each, whatever their number.
+        """
+        known, outer = list(known or []), list(apart or [])
+        if any(isinstance(e, Pattern) and e.negated for e in elements):
+            raise RuleError(f"{self.rule.name}: `none` stands in no `any`")
+        if frames is None:
+            alone = [self.rows(e) if isinstance(e, Pattern) else self.sequence([e]).withColumnRenamed("sid", "_sid") for e in elements if not self.related(e)]
+            frames = reduce(DataFrame.union, (x.select("_sid") for x in alone)).distinct().withColumnRenamed("_sid", "sid")
+            frames = self.with_state(elements[0], frames)
+        taken = []
+        for e in elements:
+            use = F.col("_use")
+            if isinstance(e, Pattern):
+                frames = frames.withColumn("_use", F.explode(F.array(F.lit(True), F.lit(False))))
+                frames = frames.join(self.rows(e), self.joined_on(e, known, outer) & use, "left").where(~use | F.col(flat(e.alias)).isNotNull()).drop("_sid", "_use")
+                inner = [e]
+            else:
+                inner = [p for p in patterns(e) if not p.negated]
+                if self.related(e):
+                    frames = self.sequence([e], frames, known, known).unionByName(frames, allowMissingColumns=True)
+                else:
+                    found = self.sequence([e]).withColumn("_found", F.lit(True)).withColumnRenamed("sid", "_sid").drop("_s")
+                    frames = frames.withColumn("_use", F.explode(F.array(F.lit(True), F.lit(False))))
+                    frames = frames.join(found, (F.col("sid") == F.col("_sid")) & use, "left").where(~use | F.col("_found")).drop("_sid", "_use", "_found")
+                outer += inner
+            known += inner
+            taken += inner
+        return frames.where(reduce(lambda a, b: a | b, (F.col(flat(p.alias)).isNotNull() for p in taken)))
+
+    def related(self, e: Pattern | Group) -> bool:
+        """Whether an element refers to patterns outside it."""
+        inside = {p.alias for p in patterns(Group("all", "", (e,)))}
+        return any(aliases(p.condition) - inside - {"s"} for p in patterns(Group("all", "", (e,))))
 
     def matches(self) -> DataFrame:
         elements = list(self.rule.when.elements)
@@ -149,21 +192,21 @@ def positive(rule: Rule) -> Iterator[Pattern]:
     return (p for p in patterns(rule.when) if not p.negated)
 
 
-def unmatched(rules: list[Rule], messages: Messages) -> DataFrame:
+def unmatched(productions: list[Rule], messages: Messages) -> DataFrame:
     """Messages that no pattern of any rule takes (conditions on the message alone), in one pass over them."""
     scope = Scope((messages.schema, messages.getter()), {})
     taken = F.lit(False)
-    for rule in rules:
+    for rule in productions:
         for p in patterns(rule.when):
             if not p.on_state:
                 taken = taken | reduce(lambda a, b: a & b, (condition(n, scope) for n in split(p.condition)[0]), F.lit(True))
     return messages.df.where(~taken)
 
 
-def taken_by(rules: list[Rule], messages: Messages) -> DataFrame:
+def taken_by(productions: list[Rule], messages: Messages) -> DataFrame:
     """Each message with the names of the patterns that take it (rule/alias), all found in one pass."""
     scope = Scope((messages.schema, messages.getter()), {})
-    tags = [F.when(reduce(lambda a, b: a & b, (condition(n, scope) for n in split(p.condition)[0]), F.lit(True)), F.lit(f"{r.name}/{p.alias}")) for r in rules for p in patterns(r.when) if not p.on_state]
+    tags = [F.when(reduce(lambda a, b: a & b, (condition(n, scope) for n in split(p.condition)[0]), F.lit(True)), F.lit(f"{r.name}/{p.alias}")) for r in productions for p in patterns(r.when) if not p.on_state]
     return messages.df.withColumn("patterns", F.array_compact(F.array(*tags)))
 
 

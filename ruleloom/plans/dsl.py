@@ -1,4 +1,4 @@
-"""Rules in Python.
+"""Productions in Python.
 
     with ruleset("risk") as r:
         when_all(c.first << (m.event_type == "purchase"), c.second << (m.value > c.first.value * 2), name="fraud")
@@ -12,16 +12,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from ruleloom.plans.ir import All, Compare, Const, Group, Node, Pattern, Prop, Rule, RuleError, Value, checked, named, values
+from ruleloom.plans.ir import All, Compare, Const, Group, Node, Pattern, Prop, Rule, RuleError, Value, checked, named, patterns, values
 
 _open: list["RuleSet"] = []
 
 
 class RuleSet:
-    """Named rules in order of definition."""
+    """Named productions in order of definition."""
 
-    def __init__(self, name: str, rules: list[Rule] | None = None):
-        self.name, self.rules = name, list(rules or [])
+    def __init__(self, name: str, productions: list[Rule] | None = None):
+        self.name, self.productions = name, list(productions or [])
 
     def __enter__(self) -> "RuleSet":
         _open.append(self)
@@ -31,16 +31,16 @@ class RuleSet:
         _open.remove(self)
 
     def add(self, rule: Rule) -> Rule:
-        if any(r.name == rule.name for r in self.rules):
+        if any(r.name == rule.name for r in self.productions):
             raise RuleError(f"{self.name}: rule {rule.name} is defined twice")
-        self.rules.append(checked(rule))
+        self.productions.append(checked(rule))
         return rule
 
     def rule(self, name: str) -> Rule:
-        return next(r for r in self.rules if r.name == name)
+        return next(r for r in self.productions if r.name == name)
 
     def __iter__(self):
-        return iter(self.rules)
+        return iter(self.productions)
 
 
 def ruleset(name: str) -> RuleSet:
@@ -187,6 +187,7 @@ def prefixed_references(elements: tuple, names: dict[str, str]) -> tuple:
         if isinstance(e, Group):
             inner = names | {p.alias.rsplit(".", 1)[-1]: p.alias for p in e.elements}
             out.append(replace(e, elements=prefixed_references(e.elements, inner)))
+            names = {p.alias.rsplit(".", 1)[-1]: p.alias for p in patterns(e) if not p.negated} | names  # later elements see its messages
         else:
             out.append(replace(e, condition=fix(e.condition)))
     return tuple(out)
@@ -202,7 +203,7 @@ def define(kind: str, args: tuple, name: str | None, run: Callable | None = None
             elements.append(element(a))
     full = prefixed_references(named(tuple(elements)), {})
     where = _open[-1] if _open else None
-    rule = Rule(name or f"r_{len(where.rules) if where else 0}", Group(kind, "", full), run=run, **settings)
+    rule = Rule(name or f"r_{len(where.productions) if where else 0}", Group(kind, "", full), run=run, **settings)
     return where.add(rule) if where else checked(rule)
 
 
@@ -216,7 +217,7 @@ class Definition:
     def __call__(self, f: Callable) -> Callable:
         new = replace(self.rule, run=f)
         if self.where:
-            self.where.rules[self.where.rules.index(self.rule)] = new
+            self.where.productions[self.where.productions.index(self.rule)] = new
         self.rule = new
         f.rule = new
         return f

@@ -1,4 +1,4 @@
-"""Rules as data: what the DSL and JSON definitions both produce and the operators turn into DataFrames."""
+"""Productions as data: what the DSL and JSON definitions both produce and the operators turn into DataFrames."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Registered queries: rules over the given tables, and the same results in DuckDB SQL."""
+"""Registered queries: productions over the given tables, and the same results in DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from ruleloom.operators.events import consumed_once, lifo_pairs
 from ruleloom.operators.flow import Chart, Trigger, run_chart, run_flow
 from ruleloom.operators.match import emptied, match, taken_by, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, s, when_all, when_any
-from ruleloom.sources import json_rules
+from ruleloom.sources import definitions
 from ruleloom.sources.messages import Messages, changes, from_json, initial_states, latest_state, observed, pending_events, replayed, retracted
 from ruleloom.sources.store import ship
 
@@ -148,6 +148,13 @@ def regex_prefix_suffix(spark, d):
     return own(rule, alone(read(spark, d, "pages").select("page_id", "url"), "page_id"), "page_id", "url")
 
 
+@query("SELECT doc_id FROM documents WHERE regexp_full_match(text, '(?s)(([a-z]|[A-Z])+[ .,]+)*([^0-9 ]|[0-9]{2})*')")
+def regex_repeated_groups(spark, d):
+    """Repeated alternations over whole texts: matched in time linear in them."""
+    docs = alone(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return own(when_all(m.text.matches("(([a-z]|[A-Z])+[ .,]+)*([^0-9 ]|[0-9]{2})*")).rule, docs, "doc_id")
+
+
 def order_lines(spark, d) -> Messages:
     """Orders with an array of their lines."""
     lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("qty"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"))).alias("lines"))
@@ -261,6 +268,21 @@ def any_of_alls(spark, d):
     return match(rule, by_nation(spark, d)).select("sid", *(F.col(f"{g}__{x}.mid").alias(f"{g}_{x}") for g in "pq" for x in "ab"))
 
 
+@query(f"WITH n AS ({NATION}) SELECT x.mid AS x_mid, a.mid AS a_mid, b.mid AS b_mid, y.mid AS y_mid FROM n x JOIN n a ON a.sid = x.sid AND a.bal > x.bal JOIN n b ON b.sid = x.sid AND a.mid <> b.mid AND b.segment = a.segment JOIN n y ON y.sid = x.sid AND y.bal > b.bal + 9000 WHERE x.t = 'supplier' AND x.bal > 9000 AND a.t = 'customer' AND b.t = 'customer' AND b.bal < 0 AND y.t = 'supplier'")
+def group_edges(spark, d):
+    """A group that refers to an earlier pattern, and a later pattern that refers into the group."""
+    inside = all_(c.a << (m.t == "customer") & (m.bal > c.x.bal), c.b << (m.t == "customer") & (m.bal < 0) & (m.segment == c.a.segment))
+    rule = when_all(c.x << (m.t == "supplier") & (m.bal > 9000), c.pair << inside, c.y << (m.t == "supplier") & (m.bal > c.b.bal + 9000)).rule
+    return match(rule, by_nation(spark, d)).select(F.col("x.mid").alias("x_mid"), F.col("pair__a.mid").alias("a_mid"), F.col("pair__b.mid").alias("b_mid"), F.col("y.mid").alias("y_mid"))
+
+
+@query(f"WITH n AS ({NATION}), k AS (SELECT sid, CAST(floor(bal / 1000) AS INT) AS b, count(*) AS c FROM n WHERE t = 'supplier' AND bal >= 6000 AND bal < 10000 GROUP BY ALL) SELECT sid, CAST(round(exp(sum(ln(c + 1)))) - 1 AS BIGINT) AS n FROM k GROUP BY sid")
+def any_of_many(spark, d):
+    """All combinations of four elements, counted: each is left out or is any of its messages."""
+    parts = [(m.t == "supplier") & (m.bal >= 1000 * k) & (m.bal < 1000 * (k + 1)) for k in range(6, 10)]
+    return match(when_any(*parts).rule, by_nation(spark, d)).groupBy("sid").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH n AS ({NATION}), f AS (SELECT sid, mid FROM n WHERE t = 'supplier' AND bal > 9000), a AS (SELECT sid, mid FROM n WHERE t = 'customer' AND bal > 9700), b AS (SELECT sid, mid FROM n WHERE t = 'customer' AND bal < -950), e AS (SELECT mid AS a, NULL AS b, sid FROM a UNION ALL SELECT NULL, mid, sid FROM b UNION ALL SELECT a.mid, b.mid, sid FROM a JOIN b USING (sid)) SELECT f.mid AS x_mid, e.a AS a_mid, e.b AS b_mid FROM f JOIN e USING (sid)")
 def all_of_anys(spark, d):
     rule = when_all(c.x << (m.t == "supplier") & (m.bal > 9000), c.e << any_(c.a << (m.t == "customer") & (m.bal > 9700), c.b << (m.t == "customer") & (m.bal < -950))).rule
@@ -270,7 +292,7 @@ def all_of_anys(spark, d):
 # agenda
 
 
-def three_rules() -> list:
+def three_productions() -> list:
     return [
         when_all((m.event_type == "purchase") & (m.value > 50), pri(3), name="big").rule,
         when_all((m.event_type == "error") & (m.value > 200), pri(1), name="alarm").rule,
@@ -283,12 +305,12 @@ PICKED = "SELECT user_id AS sid, event_id, CASE WHEN event_type = 'purchase' AND
 
 @query(f"SELECT sid, rule, event_id FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY pri, event_id DESC) AS n FROM ({PICKED}) WHERE rule IS NOT NULL) WHERE n = 1")
 def agenda_pri(spark, d):
-    return first_to_fire(agenda(three_rules(), events(spark, d))).select("sid", "rule", F.col("at").alias("event_id"))
+    return first_to_fire(agenda(three_productions(), events(spark, d))).select("sid", "rule", F.col("at").alias("event_id"))
 
 
 @query(f"SELECT sid, rule, event_id, row_number() OVER (PARTITION BY sid ORDER BY pri, event_id DESC) AS nth FROM ({PICKED}) WHERE rule IS NOT NULL")
 def agenda_recency(spark, d):
-    return firing_order(agenda(three_rules(), events(spark, d))).select("sid", "rule", F.col("at").alias("event_id"), F.col("nth").cast("long").alias("nth"))
+    return firing_order(agenda(three_productions(), events(spark, d))).select("sid", "rule", F.col("at").alias("event_id"), F.col("nth").cast("long").alias("nth"))
 
 
 @query("SELECT user_id AS sid, CAST(b AS BIGINT) AS batch, count(*) AS size, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS b FROM events WHERE value < 100) GROUP BY ALL HAVING count(*) = 3")
@@ -316,12 +338,12 @@ def batch_of_joins(spark, d):
 
 @query("SELECT event_id, event_type FROM events WHERE NOT (event_type = 'purchase' AND value > 50) AND NOT (event_type = 'error' AND value > 200) AND event_type <> 'view'")
 def unhandled(spark, d):
-    return unmatched(three_rules(), events(spark, d)).select("event_id", "event_type")
+    return unmatched(three_productions(), events(spark, d)).select("event_id", "event_type")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'big/m' WHEN event_type = 'error' AND value > 200 THEN 'alarm/m' WHEN event_type = 'view' THEN 'seen/m' ELSE '' END AS patterns FROM events")
 def patterns_taken(spark, d):
-    return taken_by(three_rules(), events(spark, d)).select("event_id", F.array_join("patterns", ",").alias("patterns"))
+    return taken_by(three_productions(), events(spark, d)).select("event_id", F.array_join("patterns", ",").alias("patterns"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
@@ -410,7 +432,7 @@ DEFINITION = {"suspect": {"all": [{"first": {"event_type": "purchase"}}, {"secon
 
 @query("SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.value > a.value + 250 WHERE a.event_type = 'purchase' AND b.event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = a.user_id AND x.event_type = 'error' AND x.event_id > b.event_id)")
 def json_rule(spark, d):
-    rule = json_rules.ruleset("risk", DEFINITION).rule("suspect")
+    rule = definitions.ruleset("risk", DEFINITION).rule("suspect")
     return match(rule, events(spark, d)).select(F.col("first.event_id").alias("first_id"), F.col("second.event_id").alias("second_id"))
 
 

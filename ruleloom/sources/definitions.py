@@ -1,4 +1,4 @@
-"""Rule definitions as JSON objects, to rules and back.
+"""Rule definitions as JSON objects, to productions and back.
 
     {"suspect": {"all": [{"first": {"t": "purchase"}}, {"second": {"$neq": {"location": {"first": "location"}}}}], "run": "unit"}}
 

@@ -42,19 +42,25 @@ class Messages:
 
 
 def from_json(df: DataFrame, text: str, seq: str) -> Messages:
-    """Messages from JSON texts: sid defaults to "0", ids to a hash of the properties by name; texts that are no JSON objects are left out."""
+    """Messages from JSON texts: sid defaults to "0"; texts that are no JSON objects are left out.
+
+    The id defaults to a 256-bit digest of the properties in order of their names, so equal ids are equal properties.
+    """
     body = F.try_parse_json(F.col(text))
     get = lambda name: F.try_variant_get(F.col("body"), f"$.{name}", "string")
     out = df.select(F.col(seq).alias("seq"), body.alias("body")).where(F.schema_of_variant("body").startswith("OBJECT"))
-    bare = F.regexp_replace(F.to_json(F.col("body")), r'"id":("(?:[^"\\]|\\.)*"|[^,}]*),?', "")
-    return Messages(out.select(F.coalesce(get("sid"), F.lit("0")).alias("sid"), F.coalesce(get("id"), F.concat(F.lit("$"), F.xxhash64(bare).cast("string"))).alias("mid"), "seq", "body"), body="body")
+    bare = F.map_filter(F.try_variant_get("body", "$", "map<string,variant>"), lambda name, _: name != "id")  # a null id is none
+    said = F.transform(F.array_sort(F.map_keys(bare)), lambda name: F.struct(name.alias("name"), F.to_json(bare[name]).alias("value")))
+    return Messages(out.select(F.coalesce(get("sid"), F.lit("0")).alias("sid"), F.coalesce(get("id"), F.concat(F.lit("$"), F.sha2(F.to_json(said), 256))).alias("mid"), "seq", "body"), body="body")
 
 
 def observed(messages: Messages) -> tuple[Messages, DataFrame]:
     """The first message of each identity in its context, and the later ones, which count as observed already."""
-    w = Window.partitionBy(messages.sid, messages.mid).orderBy(messages.seq)
-    ranked = messages.df.withColumn("_rank", F.row_number().over(w))
-    return replace(messages, df=ranked.where("_rank = 1").drop("_rank")), ranked.where("_rank > 1").drop("_rank")
+    df = messages.df
+    order = F.struct(messages.seq, F.to_json(F.struct(*df.columns)))  # ties are told apart by what they say
+    first = df.groupBy(messages.sid, messages.mid).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")  # partial results, no sort
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(messages.sid, messages.mid).orderBy(order)))
+    return replace(messages, df=first), ranked.where("_rank > 1").drop("_rank")
 
 
 def retracted(facts: Messages, tombstones: DataFrame) -> Messages:

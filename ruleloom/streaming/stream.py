@@ -1,4 +1,4 @@
-"""Rules over streams: stateless filters, joins and windows with watermarks, and keyed state for what they cannot say."""
+"""Productions over streams: stateless filters, joins and windows with watermarks, and keyed state for what they cannot say."""
 
 from __future__ import annotations
 

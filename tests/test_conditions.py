@@ -37,6 +37,14 @@ def test_arithmetic(spark):
     assert held(spark, b, m.a == m.b + 9, m.b == m.a / -3, m.d == m.a / 1, m.a == m.d, m.a != m.a / m.z, m.a != m.s + 1) == [True, True, True, True, False, False]
 
 
+def test_overflow_is_false(spark):
+    df = spark.createDataFrame([(1, 2**63 - 1), (2, 5), (3, -(2**63))], "id long, v long")
+    x = Messages(df, "id", "id", "id")
+    scope = Scope((x.schema, x.getter()), {})
+    got = df.select(condition(m.v + m.v > 0, scope), condition(m.v * 3 > 0, scope), condition(m.v - 1 < 10, scope), condition(m.v / -1 < 0, scope)).collect()
+    assert [tuple(r) for r in got] == [(False, False, False, True), (True, True, True, True), (False, False, False, False)]
+
+
 def test_arrays(spark):
     b = {"e": [], "n": [1, 200, 300], "x": [1, None, "a"], "o": [{"v": 3}, {"v": 9, "w": 1}], "q": [[1, 2], [300]], "s": "text", "k": 300}
     assert held(spark, b, m.e.allItems(item > 0), m.e.anyItem(item > 0), m.s.anyItem(item > 0), m.z.allItems(item > 0)) == [False] * 4

@@ -14,7 +14,7 @@ from ruleloom.operators.flow import Chart, Trigger, current_states, run_chart, r
 from ruleloom.operators.match import emptied, match, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, ruleset, s, timeout, when_all, when_any
 from ruleloom.plans.ir import RuleError
-from ruleloom.sources import json_rules
+from ruleloom.sources import definitions
 from ruleloom.sources.messages import Messages, changes, from_json, latest_state, observed, replayed, retracted, union, without_contexts
 
 SCHEMA = "sid string, mid string, seq long, t string, v long"
@@ -48,12 +48,12 @@ def test_definitions():
 
 def test_json_round_trip():
     x = {"all": [{"a": {"$and": [{"t": "a"}, {"$gt": {"v": 3}}]}}, {"b": {"$neq": {"v": {"$add": {"$l": {"a": "v"}, "$r": 1}}}}}, {"n$not": {"$mt": {"t": "c.*"}}}, {"g$any": [{"x": {"$ex": {"v": 1}}}, {"y": {"$iall": {"v": {"$lt": {"$i": 4}}}}}]}], "pri": 4, "cap": 2, "dist": 0}
-    r = json_rules.rule("r", x)
-    assert json_rules.to_json(r) == x and r.pri == 4 and not r.distinct
-    assert json_rules.to_json(json_rules.rule("r", json_rules.to_json(r))) == x
+    r = definitions.rule("r", x)
+    assert definitions.to_json(r) == x and r.pri == 4 and not r.distinct
+    assert definitions.to_json(definitions.rule("r", definitions.to_json(r))) == x
     for bad in ({"all": [{"a": {"$foo": {"v": 1}}}]}, {"any": []}, {}, {"all": [{"a": {"t": 1}}], "count": "2"}, {"all": [{"a": {"t": 1}}], "foo": 1}):
         with pytest.raises(RuleError):
-            json_rules.rule("r", bad)
+            definitions.rule("r", bad)
 
 
 def compare(op, a, b):
@@ -95,14 +95,14 @@ def test_correlated_any_never_stands_alone(spark):
 
 def test_agenda_and_batches(spark):
     x = messages(spark, [("0", str(k), k, "a", v) for k, v in enumerate([50, 150, 250, 50, 60])])
-    rules = [when_all(m.v < 300, pri(3), name="p3").rule, when_all(m.v < 200, pri(2), name="p2").rule, when_all(m.v < 100, pri(1), name="p1").rule]
-    a = agenda(rules, x)
+    productions = [when_all(m.v < 300, pri(3), name="p3").rule, when_all(m.v < 200, pri(2), name="p2").rule, when_all(m.v < 100, pri(1), name="p1").rule]
+    a = agenda(productions, x)
     assert [tuple(r) for r in first_to_fire(a).select("rule", "at").collect()] == [("p1", 4)]
     assert [(r.rule, r.at) for r in firing_order(a).orderBy("nth").collect()][:4] == [("p1", 4), ("p1", 3), ("p1", 0), ("p2", 4)]
-    one = agenda(rules[:1], x)
+    one = agenda(productions[:1], x)
     sizes = lambda d: sorted((r["size"], r.matches[0]["at"]) for r in d.collect())
     assert sizes(batched(one, count=2)) == [(2, 1), (2, 3)] and sizes(batched(one, cap=2)) == [(1, 4), (2, 1), (2, 3)]
-    assert unmatched(rules[2:], x).count() == 2
+    assert unmatched(productions[2:], x).count() == 2
 
 
 def test_chaining(spark):
@@ -155,7 +155,7 @@ def test_changes_and_replay(spark):
 
 def test_actions_ask_for_effects(spark):
     x = messages(spark, [("0", "1", 1, "a", 5), ("0", "2", 2, "b", 7), ("1", "3", 3, "b", 1)])
-    rules = [when_all(m.t == "a", name="one").rule, when_all(c.x << m.t == "b", name="two").rule, when_all(m.t == "b", name="silent").rule]
+    productions = [when_all(m.t == "a", name="one").rule, when_all(c.x << m.t == "b", name="two").rule, when_all(m.t == "b", name="silent").rule]
 
     def one(ctx):
         ctx.assert_fact({"v": ctx.m.v + 1})
@@ -169,13 +169,50 @@ def test_actions_ask_for_effects(spark):
             raise ValueError("one")
 
     state = spark.createDataFrame([("0", 4)], "sid string, count long")
-    out = effects_of(agenda(rules, x, keep=["v"]), {"one": one, "two": chained(two)}, state).collect()
+    out = effects_of(agenda(productions, x, keep=["v"]), {"one": one, "two": chained(two)}, state).collect()
     said = sorted(((r.sid, r.rule, r.nth, r.kind, r.ruleset, r.payload, r.error) for r in out), key=str)
     assert [r[3] for r in said if r[1] == "one"] == ["fact", "event", "start_timer", "state"]
     assert ("0", "one", 0, "fact", None, '{"v": 6}', None) in said and ("0", "one", 1, "event", "other", '{"v": 0}', None) in said and ("0", "one", 3, "state", None, '{"count": 5}', None) in said
     assert ("1", "two", 1, "error", None, None, "ValueError: one") in said and ("0", "two", 0, "retract", None, '{"id": "2"}', None) in said
 
 
+def test_groups_refer_across_their_edges(spark):
+    rows = rows_of(30, 5)
+    x = messages(spark, rows)
+    rule = when_all(c.x << m.t == "a", c.g << all_(c.p << (m.v > c.x.v), c.q << (m.v == c.p.v)), c.z << (m.t == "c") & (m.v < c.q.v)).rule
+    got = sorted(tuple(r) for r in match(rule, x).select("sid", "x.mid", "g__p.mid", "g__q.mid", "z.mid").collect())
+    want = sorted((a[0], a[1], p[1], q[1], z[1]) for a in rows if a[3] == "a" for p in rows if p[0] == a[0] and compare("gt", p[4], a[4]) for q in rows if q[0] == a[0] and q[1] != p[1] and compare("eq", q[4], p[4]) for z in rows if z[0] == a[0] and z[3] == "c" and z[1] != a[1] and compare("gt", q[4], z[4]))
+    assert got == want and want
+    late = when_all(c.x << m.t == "a", c.e << any_(c.p << (m.t == "b") & (m.v == c.x.v), all_(c.q << m.t == "c", c.r << (m.v == c.x.v)))).rule
+    got = sorted((tuple(r) for r in match(late, x).select("sid", "x.mid", "e__p.mid", "e__m_1__q.mid", "e__m_1__r.mid").collect()), key=str)
+    want = []
+    for a in (r for r in rows if r[3] == "a"):
+        same = [r for r in rows if r[0] == a[0]]
+        ps = [None, *(p[1] for p in same if p[3] == "b" and compare("eq", p[4], a[4]))]
+        qs = [(None, None), *((q[1], r[1]) for q in same if q[3] == "c" for r in same if r[1] != q[1] and compare("eq", r[4], a[4]))]
+        want += [(a[0], a[1], p, *q) for p in ps for q in qs if p or q[0]]
+    assert got == sorted(want, key=str) and want
+
+
+def test_any_of_eight(spark):
+    x = messages(spark, [("0", str(k), k, "abc"[k % 3], k) for k in range(8)] + [("1", "9", 9, "a", 3)])
+    out = match(when_any(*(m.v == k for k in range(8))).rule, x)
+    assert out.where("sid = '0'").count() == 2**8 - 1 and out.where("sid = '1'").count() == 1
+
+
+def test_identities_of_json_messages(spark):
+    df = spark.createDataFrame([(1, '{"sid":"1","a":{"id":1}}'), (2, '{"sid":"1","a":{"id":2}}'), (3, '{"a":{"id":1},"sid":"1"}'), (4, '{"sid":"1","t":"\\"id\\":5,"}'), (5, '{"sid":"1","t":"\\"id\\":6,"}')], "n long, j string")
+    x = from_json(df, "j", "n")
+    first, again = observed(x)
+    assert [r.seq for r in again.collect()] == [3] and sorted(r.seq for r in first.df.collect()) == [1, 2, 4, 5]
+
+
+def test_derived_facts_need_text_ids(spark):
+    x = Messages(spark.createDataFrame([("0", 1, 1, "a")], "sid string, mid long, seq long, t string"))
+    with pytest.raises(RuleError):
+        closure(x, [(when_all(m.t == "a").rule, [asserts(t="b")])])
+
+
 def test_json_messages(spark):
     df = spark.createDataFrame([(1, '{"sid": 3, "a": {"b": 5}}'), (2, '{"a": {"b": 6}, "id": "x"}'), (3, "nope"), (4, '{"a": {"b": 5}, "sid": 3}'), (5, "[1]")], "n long, j string")
     x = from_json(df, "j", "n")
@@ -236,7 +273,7 @@ def test_nested_states_and_checks(spark):
         Chart("two").state("a").state("b").initial()
     with pytest.raises(RuleError):
         Chart("no").state("a", Trigger("zzz", m.t == "a")).initial()
-    j = json_rules.ruleset("w$state", {"start": {"t1": {"to": "end", "all": [{"m": {"t": "a"}}]}}, "end": {}})
+    j = definitions.ruleset("w$state", {"start": {"t1": {"to": "end", "all": [{"m": {"t": "a"}}]}}, "end": {}})
     assert [r.to_state for r in run_chart(x, j).collect()] == ["end"]
 
 

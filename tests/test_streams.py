@@ -1,4 +1,4 @@
-"""The same rules over streams of files, read to their end."""
+"""The same productions over streams of files, read to their end."""
 
 import time
 
