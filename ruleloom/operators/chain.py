@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,18 +63,20 @@ def referred(effects: list[Effect]) -> list[str]:
     return sorted({v.name.split(".")[0] for v in said if isinstance(v, Prop)})
 
 
-def closure(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int = 100) -> Messages:
+def closure(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int | None = None) -> Messages:
     """All facts that follow: rounds in which at least one pattern of a match takes a fact of the round before.
 
     For programs that only assert. A `none` sees the facts so far, so its productions belong in a later call than the ones
-    that assert what it excludes. Each round's new facts are written; `seq` of a derived fact is its round.
+    that assert what it excludes. Each round's new facts are written, most: rounds after which it raises (by default none); `seq` of a derived fact is its round.
     """
     if any(isinstance(e, Retract) for _, effects in program for e in effects):
         raise ValueError("a program that retracts fires one match at a time: see fire()")
     base = written(facts.df.withColumn(facts.mid, F.col(facts.mid)), "facts")
     seq_type = base.schema[facts.seq].dataType
     before, delta = None, base
-    for n in range(1, most + 1):
+    for n in count(1):
+        if most is not None and n > most:
+            raise RuntimeError(f"facts still follow after {most} rounds")
         every = delta if before is None else before.unionByName(delta)
         found = []
         for rule, effects in program:
@@ -100,10 +103,9 @@ def closure(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int
         before = every
         if delta.isEmpty():
             return replace(facts, df=before)
-    raise RuntimeError(f"facts still follow after {most} rounds")
 
 
-def fire(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int = 100) -> tuple[Messages, DataFrame]:
+def fire(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int | None = None) -> tuple[Messages, DataFrame]:
     """Facts and firings (sid, rule, mids, nth) when each context fires one match at a time, by priority and recency.
 
     Effects show before the next pick, and a match fires once. Every step is one round for all contexts together, so
@@ -113,7 +115,9 @@ def fire(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int =
     now = written(facts.df, "facts")
     top = now.agg(F.max(facts.seq).alias("n")).first()["n"] or 0
     fired: DataFrame | None = None
-    for n in range(1, most + 1):
+    for n in count(1):
+        if most is not None and n > most:
+            raise RuntimeError(f"matches still fire after {most} rounds")
         here = replace(facts, df=now)
         wide = [c for c in now.columns if c not in (facts.sid, facts.mid, facts.seq)]
         waiting = agenda(productions, here, keep=wide)
@@ -139,4 +143,3 @@ def fire(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int =
             known = now.select(F.col(facts.sid).alias("_sid"), F.col(facts.mid).alias("_mid"))
             now = now.unionByName(more.join(known, (F.col(facts.sid) == F.col("_sid")) & (F.col(facts.mid) == F.col("_mid")), "left_anti"))
         now, fired = written(now, "facts"), written(fired, "fired")
-    raise RuntimeError(f"matches still fire after {most} rounds")

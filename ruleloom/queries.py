@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.operators import loop
 from ruleloom.operators import timers as tm
 from ruleloom.operators.actions import effects_of
 from ruleloom.operators.agenda import agenda, batched, batches_of, first_to_fire, firing_order
@@ -14,7 +15,7 @@ from ruleloom.operators.chain import asserts, closure, fire
 from ruleloom.operators.events import consumed_once, lifo_pairs
 from ruleloom.operators.flow import Chart, Trigger, run_chart, run_flow
 from ruleloom.operators.match import emptied, match, taken_by, unmatched
-from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, s, when_all, when_any
+from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, ruleset, s, timeout, when_all, when_any
 from ruleloom.sources import definitions
 from ruleloom.sources.messages import Messages, changes, from_json, initial_states, latest_state, observed, pending_events, replayed, retracted
 from ruleloom.sources.store import ship
@@ -268,7 +269,7 @@ def any_of_alls(spark, d):
     return match(rule, by_nation(spark, d)).select("sid", *(F.col(f"{g}__{x}.mid").alias(f"{g}_{x}") for g in "pq" for x in "ab"))
 
 
-@query(f"WITH n AS ({NATION}) SELECT x.mid AS x_mid, a.mid AS a_mid, b.mid AS b_mid, y.mid AS y_mid FROM n x JOIN n a ON a.sid = x.sid AND a.bal > x.bal JOIN n b ON b.sid = x.sid AND a.mid <> b.mid AND b.segment = a.segment JOIN n y ON y.sid = x.sid AND y.bal > b.bal + 9000 WHERE x.t = 'supplier' AND x.bal > 9000 AND a.t = 'customer' AND b.t = 'customer' AND b.bal < 0 AND y.t = 'supplier'")
+@query(f"WITH n AS ({NATION}) SELECT x.mid AS x_mid, a.mid AS a_mid, b.mid AS b_mid, y.mid AS y_mid FROM n x JOIN n a ON a.sid = x.sid AND a.bal > x.bal JOIN n b ON b.sid = x.sid AND a.mid <> b.mid AND b.segment = a.segment JOIN n y ON y.sid = x.sid AND y.mid <> x.mid AND y.bal > b.bal + 9000 WHERE x.t = 'supplier' AND x.bal > 9000 AND a.t = 'customer' AND b.t = 'customer' AND b.bal < 0 AND y.t = 'supplier'")
 def group_edges(spark, d):
     """A group that refers to an earlier pattern, and a later pattern that refers into the group."""
     inside = all_(c.a << (m.t == "customer") & (m.bal > c.x.bal), c.b << (m.t == "customer") & (m.bal < 0) & (m.segment == c.a.segment))
@@ -477,6 +478,86 @@ def chain_fire(spark, d):
     return fired.groupBy("sid").agg(F.count("*").cast("int").alias("n_fired"))
 
 
+# the whole loop: states, errors, timers
+
+
+def states_of(df: DataFrame, sid: str, **columns) -> Messages:
+    """A state for each row, with these columns."""
+    return Messages(df.select(F.col(sid).alias("sid"), F.concat(F.lit("sid-"), F.col(sid).cast("string")).alias("mid"), F.lit(0).cast("long").alias("seq"), *(v.alias(k) for k, v in columns.items())))
+
+
+def nothing(spark: SparkSession) -> Messages:
+    return Messages(spark.createDataFrame([], "sid long, mid string, seq long"))
+
+
+@query("SELECT c_custkey AS sid, CASE WHEN c_acctbal < 0 THEN 'start review last' ELSE 'start last' END AS path FROM customer")
+def flow_state(spark, d):
+    """Actions that move each customer's state on, until it is deleted."""
+    begin = read(spark, d, "customer")
+    state = states_of(begin, "c_custkey", status=F.lit("start"), balance=F.col("c_acctbal"))
+
+    def go(ctx):
+        ctx.s.status = "last" if ctx.s.status == "review" or ctx.s.balance >= 0 else "review"
+
+    def end(ctx):
+        ctx.delete_state()
+
+    with ruleset("flow") as r:
+        when_all(s.status == "start", name="start")(go)
+        when_all(s.status == "review", name="review")(go)
+        when_all(s.status == "last", name="last")(end)
+    done = loop.run(r, nothing(spark), state)
+    assert done.state.df.isEmpty()
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "rule"))), lambda x: x["rule"]), " ")
+    return done.fired.groupBy("sid").agg(path.alias("path"))
+
+
+@query("SELECT o_orderkey AS sid, CAST(o_totalprice <= 150000 AS BIGINT) AS paid, CAST(o_totalprice > 150000 AS BIGINT) AS failed FROM orders WHERE o_orderstatus = 'P'")
+def exception_rule(spark, d):
+    """An action that raises leaves its error in the state, where the next pick finds it."""
+    df = read(spark, d, "orders")
+    posted = Messages(df.select(F.col("o_orderkey").alias("sid"), F.col("o_orderkey").cast("string").alias("mid"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(True).alias("is_event")))
+    state = states_of(df, "o_orderkey", paid=F.lit(0).cast("long"), failed=F.lit(0).cast("long"), exception=F.lit(None).cast("string"))
+
+    def pay(ctx):
+        if ctx.m.price > 150000:
+            raise ValueError("too much")
+        ctx.s.paid += 1
+
+    def note(ctx):
+        ctx.s.failed += 1
+        ctx.s.exception = None
+
+    with ruleset("pay") as r:
+        when_all(m.status == "P", pri(2), name="pay")(pay)
+        when_all(+s.exception, pri(1), name="note")(note)
+    done = loop.run(r, posted, state)
+    return done.state.df.where("paid + failed > 0").select("sid", "paid", "failed")
+
+
+@query("SELECT s_suppkey AS sid, CAST(s_nationkey % 3 + 1 AS BIGINT) AS pulses, CAST((s_nationkey % 3 + 1) * 5 AS BIGINT) AS last_time FROM supplier")
+def timer_chain(spark, d):
+    """Timers that their own action starts again, a number of times that the state knows."""
+    supplier = read(spark, d, "supplier")
+    state = states_of(supplier, "s_suppkey", pulses=F.lit(0).cast("long"), wanted=(F.col("s_nationkey") % 3 + 1).cast("long"), at=F.lit(0).cast("long"))
+
+    def begin(ctx):
+        ctx.start_timer("T", 5)
+
+    def pulse(ctx):
+        ctx.s.pulses += 1
+        ctx.s.at = ctx.tick__timeout.time
+        if ctx.s.pulses < ctx.s.wanted:
+            ctx.start_timer("T", 5)
+
+    messages = Messages(supplier.select(F.col("s_suppkey").alias("sid"), F.lit("go").alias("mid"), F.lit(0).cast("long").alias("seq"), F.lit("go").alias("t"), *(F.lit(None).cast(k).alias(n) for n, k in (("timer_name", "string"), ("base_time", "long"), ("time", "long")))))
+    with ruleset("pulses") as r:
+        when_all(m.t == "go", name="begin")(begin)
+        when_all(c.tick << timeout("T"), name="pulse")(pulse)
+    done = loop.run(r, messages, state, until=100)
+    return done.state.df.select("sid", "pulses", F.col("at").alias("last_time"))
+
+
 # charts
 
 
