@@ -594,6 +594,25 @@ def chart_pending(spark, d):
     return run_chart(events(spark, d), shop()).select("sid", "nth", "from_state", "to_state", "trigger", "mid")
 
 
+@query("SELECT a.user_id AS sid, 'alarm' AS to_state, min(greatest(a.event_id, b.event_id)) AS mid FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.value > a.value + 200 WHERE a.event_type = 'error' AND b.event_type = 'purchase' GROUP BY a.user_id")
+def chart_pairs(spark, d):
+    """A trigger of two patterns that are related: it fires when the second of them arrives."""
+    pair = when_all(c.first << (m.event_type == "error"), c.second << (m.event_type == "purchase") & (m.value > c.first.value + 200), name="pair").rule
+    moves = run_chart(events(spark, d), Chart("watch").state("open", Trigger("alarm", pair, name="pair")).state("alarm"))
+    return moves.select("sid", "to_state", "mid")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type = 'error'), t AS (SELECT user_id, event_id FROM e WHERE rn = 3),
+f AS (SELECT t.user_id, min(x.event_id) AS event_id FROM t JOIN events x ON x.user_id = t.user_id AND x.event_id > t.event_id AND ((x.event_type = 'purchase' AND x.value > 150) OR (x.event_type = 'signup' AND x.value > 100)) GROUP BY ALL)
+SELECT user_id AS sid, 'busy' AS to_state, event_id AS mid FROM t UNION ALL SELECT user_id, 'served', event_id FROM f""")
+def chart_counts(spark, d):
+    """A trigger that takes three messages, and one of any of two patterns."""
+    three = when_all(m.event_type == "error", count(3), name="three").rule
+    some = when_any((m.event_type == "purchase") & (m.value > 150), (m.event_type == "signup") & (m.value > 100), name="some").rule
+    moves = run_chart(events(spark, d), Chart("desk").state("open", Trigger("busy", three, name="three")).state("busy", Trigger("served", some, name="some")).state("served"), pending=False)
+    return moves.select("sid", "to_state", "mid")
+
+
 # events observed once, timers
 
 

@@ -106,14 +106,14 @@ def rule(name: str, x: dict, actions: dict[str, Callable] | None = None) -> Rule
 def ruleset(name: str, x: dict, actions: dict[str, Callable] | None = None) -> RuleSet | Chart:
     """A rule set, or a chart if the name says so."""
     if name.endswith(("$state", "$flow")):
-        return chart(name.partition("$")[0], x)
+        return chart(name.partition("$")[0], x, actions=actions)
     out = RuleSet(name)
     for n, r in x.items():
         out.add(rule(n, r, actions))
     return out
 
 
-def chart(name: str, x: dict, under: str = "") -> Chart:
+def chart(name: str, x: dict, under: str = "", actions: dict[str, Callable] | None = None) -> Chart:
     out = Chart(name)
 
     def add(states: dict, prefix: str) -> None:
@@ -128,10 +128,10 @@ def chart(name: str, x: dict, under: str = "") -> Chart:
                 if when is None:
                     made.append(Trigger(t.get("to", n), expression(t) if set(t) - {"to", "run", "pri"} else None, t.get("pri", 0), n))
                     continue
-                conditions = [expression(b) for e in when for b in e.values()]
-                if len(conditions) != 1:
-                    raise RuleError(f"{name}: trigger {n} relates several messages; match them first")
-                made.append(Trigger(t["to"], conditions[0], t.get("pri", 0), n))
+                body = rule(n, {k: v for k, v in t.items() if k not in ("to", "run")})
+                only = body.when.elements[0]
+                single = len(body.when.elements) == 1 and isinstance(only, Pattern) and not only.negated and not only.on_state and body.count is None and body.cap is None
+                made.append(Trigger(t["to"], only.condition if single else body, t.get("pri", 0), n, (actions or {}).get(t.get("run"))))
             out.state(f"{prefix}{s}", *made)
             if "$chart" in triggers:
                 add(triggers["$chart"], f"{prefix}{s}.")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from ruleloom.functions.columns import Scope, condition
 from ruleloom.operators.flow import Chart
 from ruleloom.operators.match import match
-from ruleloom.plans.ir import Node, Rule
+from ruleloom.plans.ir import Node, Rule, RuleError
 from ruleloom.sources.messages import Messages
 
 #: state of transformWithState needs this store
@@ -119,6 +119,8 @@ class Charts(StatefulProcessor):
 def chart(messages: Messages, c: Chart) -> DataFrame:
     """Transitions as the stream brings them: (sid, nth, from_state, to_state, trigger, mid)."""
     leaves, conditions = c.leaves(), []
+    if any(isinstance(t.when, Rule) for ts in leaves.values() for t in ts):
+        raise RuleError(f"{c.name}: a stream's triggers are conditions on one message")
     for ts in leaves.values():
         conditions += [t.when for t in ts if t.when is not None and not any(t.when is x for x in conditions)]
     table = {s: [(next((k for k, x in enumerate(conditions) if x is t.when), None), t.to, t.name) for t in ts] for s, ts in leaves.items()}

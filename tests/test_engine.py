@@ -10,7 +10,7 @@ from ruleloom.operators.actions import chained, effects_of
 from ruleloom.operators.agenda import agenda, batched, first_to_fire, firing_order
 from ruleloom.operators.chain import Retract, asserts, closure, fire
 from ruleloom.operators.events import consumed_once, lifo_pairs
-from ruleloom.operators.flow import Chart, Trigger, current_states, run_chart, run_flow
+from ruleloom.operators.flow import Chart, Trigger, current_states, effects_of_chart, run_chart, run_flow
 from ruleloom.operators.match import emptied, match, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, ruleset, s, timeout, when_all, when_any
 from ruleloom.plans.ir import RuleError
@@ -264,6 +264,52 @@ def test_charts(spark):
     assert {(r.sid, r.stage) for r in run_flow(x, chart).where("nth = 0").collect()} == {(k, "input") for k in "012"}
 
 
+def brute_chart(rows, table, start):
+    """Messages one by one; all that wait are looked at again after each step, the newest first."""
+    out = []
+    for sid in sorted({r[0] for r in rows}):
+        state, nth, waiting = start, 0, []
+        for r in sorted((r for r in rows if r[0] == sid), key=lambda r: r[2]):
+            waiting.append(r)
+            moved = True
+            while moved:
+                moved = False
+                for holds, to, name in table[state]:
+                    hit = next((w for w in reversed(waiting) if holds(w)), None)
+                    if hit:
+                        waiting.remove(hit)
+                        nth += 1
+                        out.append((sid, nth, state, to, name, hit[1]))
+                        state, moved = to, True
+                        break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_waiting_messages_against_brute_force(spark, seed):
+    rows = rows_of(150, seed, 5)
+    chart = Chart("x").state("a", Trigger("b", m.t == "a", name="one"), Trigger("c", (m.t == "b") & (m.v > 2), name="two")).state("b", Trigger("a", (m.t == "b") | (m.v == 1), name="back"), Trigger("b", m.t == "c", name="stay")).state("c", Trigger("b", m.v == 3, name="up"), Trigger("d", m.v == 0, name="end")).state("d")
+    chart.initial = lambda: "a"
+    is_ = lambda t: lambda r: r[3] == t
+    v = lambda n: lambda r: r[4] == n
+    table = {"a": [(is_("a"), "b", "one"), (lambda r: r[3] == "b" and (r[4] or 0) > 2, "c", "two")], "b": [(lambda r: r[3] == "b" or r[4] == 1, "a", "back"), (is_("c"), "b", "stay")], "c": [(v(3), "b", "up"), (v(0), "d", "end")], "d": []}
+    got = sorted(map(tuple, run_chart(messages(spark, rows), chart).select("sid", "nth", "from_state", "to_state", "trigger", "mid").collect()))
+    assert got == brute_chart(rows, table, "a") and got
+
+
+def test_triggers_of_several_patterns(spark):
+    x = messages(spark, [("0", "1", 1, "a", 1), ("0", "2", 2, "b", 2), ("0", "3", 3, "b", 1), ("0", "4", 4, "c", 0), ("0", "5", 5, "c", 0), ("0", "6", 6, "c", 0), ("1", "7", 7, "b", 4), ("1", "8", 8, "a", 4), ("1", "9", 9, "c", 0)])
+    pair = when_all(c.x << m.t == "a", c.y << (m.t == "b") & (m.v == c.x.v), name="pair").rule
+    seen = []
+    chart = Chart("p").state("s", Trigger("t", pair, name="pair")).state("t", Trigger("u", when_all(m.t == "c", count(2), name="two").rule, name="two")).state("u", Trigger("v", when_all(m.t == "c", cap(5), name="rest").rule, name="rest", run=lambda ctx: ctx.post({"from": ctx.m.mid}))).state("v")
+    moves = run_chart(x, chart)
+    got = sorted((r.sid, r.trigger, r.mid, sorted(r.mids)) for r in moves.collect())
+    assert got == [("0", "pair", "3", ["1", "3"]), ("0", "rest", "6", ["6"]), ("0", "two", "5", ["4", "5"]), ("1", "pair", "8", ["7", "8"])] and not seen
+    assert [r.payload for r in effects_of_chart(moves, x, chart).collect()] == ['{"from": "6"}']
+    j = definitions.ruleset("w$state", {"s": {"pair": {"to": "t", "all": [{"x": {"t": "a"}}, {"y": {"$and": [{"t": "b"}, {"v": {"x": "v"}}]}}]}}, "t": {"two": {"to": "u", "all": [{"m": {"t": "c"}}], "count": 2}}, "u": {"any": {"to": "v", "any": [{"p": {"t": "c"}}, {"q": {"t": "a"}}]}}, "v": {}})
+    assert sorted((r.sid, r.trigger, r.mid) for r in run_chart(x, j).collect()) == [("0", "any", "6"), ("0", "pair", "3"), ("0", "two", "5"), ("1", "pair", "8")]
+
+
 def test_nested_states_and_checks(spark):
     chart = Chart("worker").state("work", Trigger("canceled", m.t == "c", pri=1, name="cancel")).state("work.enter", Trigger("work.process", m.t == "a", name="enter")).state("work.process", Trigger("work.process", m.t == "b", name="go_on")).state("canceled")
     assert chart.initial() == "work.enter"
