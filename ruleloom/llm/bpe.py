@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm.common import kept, once, pieces, shaped, table, texts
 
 #: different fragments whose ids a Python worker remembers
-FRAGMENTS_KEPT = 250_000
+FRAGMENTS_KEPT = 500_000
 
 
 def byte_of_char() -> dict[str, int]:
