@@ -18,6 +18,7 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,11 +53,19 @@ TITLED = re.compile(r"\b(" + "|".join(sorted((t for v in TITLES.values() for t i
 INTRODUCED = re.compile(rf"(?i:\bmy name is|\bname ?:|\bsigned ?[,:]|\bsincerely ?,\s|\bich hei(?:ß|ss)e|\bje m['’]appelle|\bme llamo) ?({WORD})(?: ({WORD}))?")
 KNOWN = re.compile(r"\b(" + "|".join(sorted(set(GIVEN["n"]))) + rf") ({WORD})")
 GENDER = {t: g for g, v in TITLES.items() for t in v}
-IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:])")
+HEX = frozenset("0123456789abcdefABCDEF:")
 BORN = re.compile(r"(?i:\bborn(?: on)?|\bdate of birth|\bd\.?o\.?b\b\.?|\bgeboren am|\bnée? le|\bfecha de nacimiento)[\s:]{1,3}(\d{4}-\d\d-\d\d|\d{1,2}([./-])\d{1,2}\2(?:\d{4}|\d\d))(?!\d)")
 STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd Square".split()
 STREET = re.compile(r"(?<![\w.])\d{1,5} (?:[A-Z][a-z'’]+ ){1,3}(?:" + "|".join(STREETS) + r")\b|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz) \d{1,4}[a-z]?\b|(?<![\w.])\d{1,4},? (?:rue|avenue|boulevard) (?:de la |du |des |de )?[A-ZÉÈ][\w'’-]+|\b(?:Calle|Avenida) [A-ZÁÉÍÓÚ][\w'’-]+,? \d{1,4}\b")
 STAY = frozenset([*STREETS, "Calle", "Avenida"])
+#: texts that stand in every match of a pattern, and how far before and after them it may reach
+NEAR = (
+    (TITLED, [t for v in TITLES.values() for t in v], 24, 400),
+    (KNOWN, GIVEN["n"], 24, 400),
+    (INTRODUCED, ["name is", "Name is", "NAME IS", "ame:", "AME:", "ame :", "AME :", "igned", "IGNED", "incerely", "INCERELY", "ch hei", "CH HEI", "appelle", "APPELLE", "e llamo", "E LLAMO"], 24, 400),
+    (BORN, ["born", "Born", "BORN", "irth", "IRTH", "ob:", "OB:", "ob.", "OB.", "OB ", "ob ", ".b", ".B", "eboren am", "EBOREN AM", "né le", "Né le", "née le", "Née le", "acimiento", "ACIMIENTO"], 24, 40),
+    (STREET, [*(f" {x}" for x in STREETS), "straße", "strasse", "weg ", "platz ", "rue ", "avenue ", "boulevard ", "Calle ", "Avenida "], 120, 120),
+)
 
 
 def luhn(digits: str) -> int:
@@ -121,6 +130,36 @@ def numbers(pattern: re.Pattern, rank: Callable[[str, int, int, bool], int], tex
             a = m.end()
 
 
+@lru_cache(1)
+def anchors():
+    """One automaton of all texts in NEAR; the patterns that hold each by number."""
+    import ahocorasick
+
+    held: dict[str, list[int]] = {}
+    for k, (_, words, *_) in enumerate(NEAR):
+        for w in words:
+            held.setdefault(w, []).append(k)
+    auto = ahocorasick.Automaton()
+    for w, of in held.items():
+        auto.add_word(w, (len(w), tuple(of)))
+    auto.make_automaton()
+    return auto
+
+
+def near(text: str) -> Iterator[tuple[re.Pattern, re.Match]]:
+    """Matches of the patterns in NEAR, each looked for only about the texts that it must hold."""
+    done = [0] * len(NEAR)
+    for end, (size, of) in anchors().iter(text):
+        for k in of:
+            pattern, _, back, ahead = NEAR[k]
+            for m in pattern.finditer(text, max(done[k], end - size + 1 - back), min(len(text), end + 1 + ahead)):
+                if m.start() > end:
+                    break
+                if m.end() > end - size + 1:
+                    done[k] = m.end()
+                    yield pattern, m
+
+
 def proper(word: str) -> bool:
     return word[0].isupper() and not word.isupper()
 
@@ -186,25 +225,33 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             s = m[0].replace(" ", "")
             if 15 <= len(s) <= 34 and iban_rest(s) == 1:
                 found.append((m.start(), m.end(), "iban", s))
-    if text.count(":") > 1:
-        for m in IPV6.finditer(text):
-            if sum(map(bool, m[0].split(":"))) > 2 and (v := v6(m[0])):
-                found.append((m.start(), m.end(), "ipv6", v))
-    found += [(m.start(1), m.end(1), "born", m[1]) for m in BORN.finditer(text)]
-    found += [(m.start(), m.end(), "street", m[0]) for m in STREET.finditer(text)]
-    for m in TITLED.finditer(text):
-        if proper(m[2]):
-            two = m[3] and proper(m[3])
-            if two:
-                found.append((m.start(2), m.end(2), "given-" + gender_of(m[2], GENDER[m[1]]), m[2]))
-            k = 3 if two else 2
-            found.append((m.start(k), m.end(k), "surname", m[k]))
-    for pattern in (INTRODUCED, KNOWN):
-        for m in pattern.finditer(text):
-            if proper(m[1]) and (pattern is INTRODUCED or proper(m[2])):
-                found.append((m.start(1), m.end(1), "given-" + gender_of(m[1], "n"), m[1]))
-                if m[2] and proper(m[2]):
-                    found.append((m.start(2), m.end(2), "surname", m[2]))
+    at = text.find(":")
+    while at >= 0:
+        a, b = at, at + 1
+        while a and text[a - 1] in HEX:
+            a -= 1
+        while b < len(text) and text[b] in HEX:
+            b += 1
+        if 6 <= b - a <= 39 and not (a and (text[a - 1].isalnum() or text[a - 1] in "_.")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_")):
+            if sum(map(bool, text[a:b].split(":"))) > 2 and (v := v6(text[a:b])):
+                found.append((a, b, "ipv6", v))
+        at = text.find(":", b)
+    for pattern, m in near(text):
+        if pattern is BORN:
+            found.append((m.start(1), m.end(1), "born", m[1]))
+        elif pattern is STREET:
+            found.append((m.start(), m.end(), "street", m[0]))
+        elif pattern is TITLED:
+            if proper(m[2]):
+                two = m[3] and proper(m[3])
+                if two:
+                    found.append((m.start(2), m.end(2), "given-" + gender_of(m[2], GENDER[m[1]]), m[2]))
+                k = 3 if two else 2
+                found.append((m.start(k), m.end(k), "surname", m[k]))
+        elif proper(m[1]) and (pattern is INTRODUCED or proper(m[2])):
+            found.append((m.start(1), m.end(1), "given-" + gender_of(m[1], "n"), m[1]))
+            if m[2] and proper(m[2]):
+                found.append((m.start(2), m.end(2), "surname", m[2]))
     if len(found) < 2:
         return found
     found.sort(key=lambda e: (e[0], -e[1]))
