@@ -444,11 +444,11 @@ def geography(spark, d) -> Messages:
     """Facts (subject, predicate, object): nations in regions, customers in nations."""
     text = lambda *cols: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in cols))
     part = lambda df, a, b: df.select(a.alias("subject"), F.lit("in").alias("predicate"), b.alias("object"))
-    facts = part(read(spark, d, "nation"), text("n", F.col("n_nationkey")), text("r", F.col("n_regionkey"))).unionByName(part(read(spark, d, "customer").where("c_acctbal > 5000"), text("c", F.col("c_custkey")), text("n", F.col("c_nationkey")))).unionByName(part(read(spark, d, "region"), text("r", F.col("r_regionkey")), text("world")))
+    facts = part(read(spark, d, "nation"), text("n", F.col("n_nationkey")), text("r", F.col("n_regionkey"))).unionByName(part(read(spark, d, "customer"), text("c", F.col("c_custkey")), text("n", F.col("c_nationkey")))).unionByName(part(read(spark, d, "region"), text("r", F.col("r_regionkey")), text("world")))
     return Messages(facts.select(F.lit("0").alias("sid"), F.concat_ws("|", "subject", "predicate", "object").alias("mid"), F.lit(0).cast("long").alias("seq"), "subject", "predicate", "object"))
 
 
-@query("""WITH RECURSIVE base AS (SELECT 'n' || n_nationkey AS s, 'r' || n_regionkey AS o FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
+@query("""WITH RECURSIVE base AS (SELECT 'n' || n_nationkey AS s, 'r' || n_regionkey AS o FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
 t AS (SELECT s, o FROM base UNION SELECT t.s, base.o FROM t JOIN base ON t.o = base.s) SELECT s AS subject, o AS object FROM t""")
 def chain_closure(spark, d):
     rule = when_all(c.a << (m.predicate == "in"), c.b << (m.predicate == "in") & (m.subject == c.a.object), name="transitive").rule
@@ -469,11 +469,11 @@ def chain_strata(spark, d):
     return three.df.where("grade IS NOT NULL").select("sid", "grade").distinct()
 
 
-@query("SELECT o_custkey AS sid, CASE WHEN bool_or(o_orderstatus = 'F') AND bool_or(o_orderstatus = 'O') THEN 2 ELSE 1 END AS n_fired FROM (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 400000) GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F')")
+@query("SELECT o_custkey AS sid, CAST(count(*) FILTER (o_orderstatus IN ('F', 'O')) AS INT) AS n_fired FROM orders WHERE o_totalprice > 400000 GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F')")
 def chain_fire(spark, d):
-    facts = Messages(read(spark, d, "orders").where("o_totalprice > 400000").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_orderkey").alias("seq")).select(F.col("o_custkey").alias("sid"), F.concat_ws("-", "o_custkey", "o_orderstatus").alias("mid"), "seq", F.col("o_orderstatus").alias("status")))
-    begin = when_all(m.status == "F", name="begin").rule
-    go_on = when_all(c.start << (m.status == "begun"), c.open << (m.status == "O"), name="go_on").rule
+    facts = Messages(read(spark, d, "orders").select(F.col("o_custkey").alias("sid"), F.col("o_orderkey").cast("string").alias("mid"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")))
+    begin = when_all((m.status == "F") & (m.total > 400000), name="begin").rule
+    go_on = when_all(c.start << (m.status == "begun"), c.open << (m.status == "O") & (m.total > 400000), name="go_on").rule
     _, fired = fire(facts, [(begin, [asserts(status="begun")]), (go_on, [asserts(status="done")])])
     return fired.groupBy("sid").agg(F.count("*").cast("int").alias("n_fired"))
 
