@@ -34,7 +34,29 @@ def count_tokens(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")).cast("long")
 
 
-def format_chats(turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 128, tokens: str | None = None) -> DataFrame:
+#: bytes of a conversation's roles and texts up to which it is put together in one row
+ROW_BYTES = 4 << 20
+#: window starts that a fold appends to one array before it opens the next
+RUN = 512
+
+
+def window_starts(ends: str, room: Column) -> Column:
+    """Positions of the turns that open a window: a fold over the prefix sums (pos, before, tokens) of a conversation."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<int>>").alias("runs"), F.array(F.lit(0)).alias("run"))
+
+    def step(acc: Column, e: Column) -> Column:
+        full = F.size(acc["run"]) >= RUN
+        opened = F.struct(
+            e["before"].alias("at"),
+            F.when(full, F.concat(acc["runs"], F.array(acc["run"]))).otherwise(acc["runs"]).alias("runs"),
+            F.when(full, F.array(e["pos"])).otherwise(F.concat(acc["run"], F.array(e["pos"]))).alias("run"),
+        )
+        return F.when((e["pos"] > 0) & (e["before"] + e["tokens"] - acc["at"] > room), opened).otherwise(acc)
+
+    return F.aggregate(ends, zero, step, lambda acc: F.flatten(F.concat(acc["runs"], F.array(acc["run"]))))
+
+
+def format_chats(turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 128, tokens: str | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
     """Rows (conv_id, turn, role, text) to windows: conv_id, window, formatted, n_repeated, loss (spans), n_tokens.
 
     loss holds (start, length) in code points of `formatted`. tokens: a column with the number of tokens of each turn's
@@ -43,53 +65,110 @@ def format_chats(turns: DataFrame, budget: int = 512, history_turns: int = 2, hi
     and may exceed the budget: so may all later windows of a conversation whose system turn leaves no room.
     Turns stand by turn, then role and text (nulls first), so repeated rows and ties have one order and all stay; null
     role or text is empty; a null conv_id is a conversation as any other; other columns are ignored.
+
+    Texts are shuffled once, by conversation, and a conversation's windows are cut from one row. Conversations of more
+    than row_bytes are counted first and take another way: their texts meet by window, and only their prefix sums stand
+    in one row. Both ways give the same windows.
     """
     counted = F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else count_tokens(F.coalesce("text", F.lit("")))
     clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (counted + 4).alias("tokens"))
+    sizes = turns.groupBy("conv_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.coalesce(F.octet_length("role"), F.lit(0)) + 64).alias("size"))
+    large = sizes.where(F.col("size") > row_bytes).select(F.col("conv_id").alias("large"))
+    options = (budget, history_turns, history_tokens)
+    if large.isEmpty():
+        return _cut_in_rows(_placed(clean), *options)
+    large = written(large, "large")
+    same = F.col("conv_id").eqNullSafe(F.col("large"))
+    return _cut_in_rows(_placed(clean.join(large, same, "left_anti")), *options).unionByName(_cut_by_joins(written(_placed(clean.join(large, same, "left_semi")), "turns"), *options))
+
+
+def _placed(clean: DataFrame) -> DataFrame:
+    """Turns with their position, the tokens before them, and whether they are the system turn."""
     by_conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "tokens")
-    told = (
+    return (
         clean.withColumn("pos", F.row_number().over(by_conv) - 1)
         .withColumn("before", F.sum("tokens").over(by_conv.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
         .withColumn("system", (F.col("pos") == 0) & (F.col("role") == "system"))
     )
-    told = written(told, "turns")
-    # where a window starts: a fold over the prefix sums alone, no texts
-    room = F.greatest(F.lit(1), F.lit(budget - history_tokens) - F.col("system_tokens"))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).cast("long").alias("before"))
-    fold = F.aggregate(
-        "ends",
-        F.array(start),
-        lambda acc, e: F.when((e["pos"] > 0) & (e["before"] + e["tokens"] - F.element_at(acc, -1)["before"] > room), F.concat(acc, F.array(F.struct(e["pos"].alias("pos"), e["before"].alias("before"))))).otherwise(acc),
-    )
+
+
+def _said() -> tuple[Column, Column]:
+    """What opens a turn in the template, and its escaped text."""
+    return F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">")), escape(F.col("text"))
+
+
+def _room(budget: int, history_tokens: int) -> Column:
+    return F.greatest(F.lit(1), F.lit(budget - history_tokens) - F.col("system_tokens"))
+
+
+def _cut_in_rows(placed: DataFrame, budget: int, history_turns: int, history_tokens: int) -> DataFrame:
+    """Windows cut from the array of a conversation's turns, without another shuffle of texts."""
+    head, body = _said()
+    told = placed.select("conv_id", "pos", "before", "tokens", "system", (F.col("role") == "assistant").alias("target"), head.alias("head"), body.alias("body"))
+    turn = F.struct("pos", "before", "tokens", "system", "target", F.char_length("head").alias("head"), F.char_length("body").alias("length"), F.concat("head", "body", F.lit(END)).alias("said"))
+    whole = told.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).alias("system_tokens"))
+    whole = whole.withColumn("starts", window_starts("turns", _room(budget, history_tokens)))
+    turns = F.col("turns")
+
+    def spans(start: Column, window: Column) -> Column:
+        own = F.slice(turns, start + 1, F.coalesce(F.get("starts", window + 1), F.size(turns)) - start)
+        at = F.get(turns, start)["before"]
+        last = F.least(F.lit(history_turns), start)
+        recent = F.filter(F.slice(turns, start - last + 1, last), lambda t: t["system"] | (at - t["before"] <= history_tokens))
+        opening = F.filter(F.slice(turns, 1, F.when(last < start, 1).otherwise(0)), lambda t: t["system"])
+        return F.struct(F.concat(opening, recent).alias("again"), own.alias("own"))
+
+    def window_of(w: Column) -> Column:
+        chars = lambda t: F.char_length(t["said"])
+        total = lambda ts, f: F.aggregate(ts, F.lit(0).cast("long"), lambda acc, t: acc + f(t))
+        none = F.array().cast("array<struct<start:bigint,length:int>>")
+        zero = F.struct(total(w["again"], chars).alias("at"), none.alias("spans"))
+        loss = F.aggregate(
+            w["own"],
+            zero,
+            lambda acc, t: F.struct(
+                (acc["at"] + chars(t)).alias("at"),
+                F.when(t["target"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["head"]).alias("start"), t["length"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+        every = F.concat(w["again"], w["own"])
+        return F.struct(
+            F.array_join(F.transform(every, lambda t: t["said"]), "").alias("formatted"), F.size(w["again"]).cast("long").alias("n_repeated"), loss.alias("loss"), total(every, lambda t: t["tokens"]).alias("n_tokens")
+        )
+
+    made = F.transform(F.transform("starts", spans), window_of)
+    return whole.select("conv_id", F.posexplode(made).alias("window", "w")).select("conv_id", "window", "w.*")
+
+
+def _cut_by_joins(told: DataFrame, budget: int, history_turns: int, history_tokens: int) -> DataFrame:
+    """The same windows for conversations of any size: each window's turns meet by (conversation, window)."""
     starts = (
         told.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "before", "tokens"))).alias("ends"), F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).alias("system_tokens"))
-        .withColumn("starts", fold)
-        .select("conv_id", "system_tokens", F.posexplode("starts").alias("window", "at"))
-        .select("conv_id", "window", F.col("at.pos").alias("start"), F.col("at.before").alias("start_before"), F.col("system_tokens") > 0)
-        .toDF("conv_id", "window", "start", "start_before", "has_system")
+        .withColumn("starts", window_starts("ends", _room(budget, history_tokens)))
+        .select("conv_id", "system_tokens", "ends", F.posexplode("starts").alias("window", "start"))
+        .select("conv_id", "window", "start", F.get("ends", F.col("start"))["before"].alias("start_before"), (F.col("system_tokens") > 0).alias("has_system"))
     )
+    starts = written(starts, "starts")
     same = told["conv_id"].eqNullSafe
     first = starts.select(F.col("conv_id").alias("c"), F.col("start").alias("p"), F.col("window"))
     own = told.join(first, same(F.col("c")) & (F.col("pos") == F.col("p")), "left")
     own = own.withColumn("window", F.max("window").over(Window.partitionBy("conv_id").orderBy("pos"))).withColumn("repeated", F.lit(False))
-    again = starts.where("window > 0").select(
-        F.col("conv_id").alias("c"), "window", "start_before", F.explode(F.array_distinct(F.concat(F.when(F.col("has_system"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.sequence(F.greatest(F.lit(0), F.col("start") - history_turns), F.col("start") - 1)))).alias("p")
-    )
+    none = F.array().cast("array<int>")
+    history = F.sequence(F.greatest(F.lit(0), F.col("start") - history_turns), F.col("start") - 1) if history_turns > 0 else none
+    again = starts.where("window > 0").select(F.col("conv_id").alias("c"), "window", "start_before", F.explode(F.array_distinct(F.concat(F.when(F.col("has_system"), F.array(F.lit(0))).otherwise(none), history))).alias("p"))
     again = told.join(again, same(F.col("c")) & (F.col("pos") == F.col("p"))).where(F.col("system") | (F.col("start_before") - F.col("before") <= history_tokens)).withColumn("repeated", F.lit(True))
     cols = ["conv_id", "window", "pos", "role", "text", "tokens", "repeated"]
-    body, head = escape(F.col("text")), F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">"))
+    head, body = _said()
     said = own.select(*cols).unionByName(again.select(*cols)).select("conv_id", "window", "pos", "repeated", "tokens", F.concat(head, body, F.lit(END)).alias("said"), F.char_length(head).alias("head"), F.char_length(body).alias("length"), ((F.col("role") == "assistant") & ~F.col("repeated")).alias("target"))
     ahead = F.coalesce(F.sum(F.char_length("said")).over(Window.partitionBy("conv_id", "window").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     said = said.withColumn("start", ahead + F.col("head"))
-    return (
-        said.groupBy("conv_id", "window")
-        .agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "").alias("formatted"),
-            F.sum(F.col("repeated").cast("int")).alias("n_repeated"),
-            F.sort_array(F.collect_list(F.when(F.col("target"), F.struct("start", "length")))).alias("loss"),
-            F.sum("tokens").alias("n_tokens"),
-        )
+    return said.groupBy("conv_id", "window").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "").alias("formatted"),
+        F.sum(F.col("repeated").cast("int")).alias("n_repeated"),
+        F.sort_array(F.collect_list(F.when(F.col("target"), F.struct("start", "length")))).alias("loss"),
+        F.sum("tokens").alias("n_tokens"),
     )
 
 
@@ -104,7 +183,7 @@ def read_chats(windows: DataFrame) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '\\\\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
-    read = read_chats(written(format_chats(turns), "chats"))
+    read = read_chats(format_chats(turns))
     whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"), F.sum("chars").alias("formatted_chars"))
     turns_of = F.flatten(F.transform("w", lambda x: x["turns"]))
     loss = F.array_join(F.flatten(F.transform("w", lambda x: x["targets"])), "")

@@ -136,7 +136,7 @@ def brute_chats(rows):
     return convs
 
 
-@pytest.mark.parametrize("options", [{}, {"budget": 40, "history_turns": 3, "history_tokens": 16}, {"budget": 8, "history_turns": 0, "history_tokens": 0}])
+@pytest.mark.parametrize("options", [{}, {"budget": 40, "history_turns": 3, "history_tokens": 16}, {"budget": 8, "history_turns": 0, "history_tokens": 0}, {"budget": 40, "history_turns": 3, "history_tokens": 16, "row_bytes": 300}, {"budget": 30, "history_turns": 0, "row_bytes": 0}])
 def test_chats_read_back(spark, options):
     r = random.Random(1)
     parts = ["hello", "<turn user>", "</turn>", "\\", "\\\\", "\\l", "\n", "é😀", "### Assistant:", ">", " ", "</turn>\n"]
@@ -162,6 +162,22 @@ def test_chats_read_back(spark, options):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_both_ways_to_windows_agree(spark):
+    r = random.Random(4)
+    rows = [(c or None, t, "system" if t == 0 and c % 3 else r.choice(["user", "assistant"]), "w " * r.randint(0, 30)) for c in range(12) for t in range(r.randint(1, 40))]
+    rows.append((3, 50, "assistant", "x" * 10_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for options in ({"budget": 60, "history_tokens": 20}, {"budget": 60, "history_turns": 0, "history_tokens": 0}, {"budget": 100, "history_turns": 9, "history_tokens": 60}):
+        ways = [sorted(map(repr, chat.format_chats(df, row_bytes=n, **options).select("conv_id", "window", "formatted", "n_repeated", "loss", "n_tokens").collect())) for n in (1 << 20, 3_000, 0)]
+        assert ways[0] == ways[1] == ways[2] and len(ways[0]) > 50
+
+
+def test_window_starts_in_several_runs(spark):
+    n = 2 * chat.RUN + 10
+    df = spark.createDataFrame([(1, k, "user", "a b c") for k in range(n)], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(df, 8, 0, 0).count() == n
+
+
 def test_tokens_counted_by_the_caller(spark):
     rows = [(1, k, "system" if k == 0 else "user", f"t{k}", n) for k, n in enumerate([10, 100, 100, 100, None, 300])]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mine int")
