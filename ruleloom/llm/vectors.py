@@ -3,8 +3,9 @@
 A unit vector is padded and rotated at random; its code is the signs, and its correction factor f the inner product of
 the rotated vector with its code's direction. <code a, b> / f_a estimates the cosine without bias, with an error whose
 spread follows from the factor, so a confidence bound tells which pairs can reach the threshold; only these are computed
-exactly. The other side b is rounded at random to 4 bits a coordinate, as bit-planes, so an estimate is a few bit counts
-in the join's condition. Signs of further random directions, in bands, tell which pairs are estimated at all.
+exactly. The other side b is rounded at random to 4 bits a coordinate, as bit-planes, so an estimate is a few bit counts.
+Signs of further random directions, in bands, tell which pairs meet at all; the first word of both codes, whose differing
+bits have a binomial spread, then tells which of them are worth an estimate. Band rows carry no more than that word.
 
 Vectors that lie within half the threshold's angle of a leader form a ball: by the triangle inequality all its pairs
 link, and are counted, not listed. Balls take the place of vectors from there on. For two balls the exact angle of the
@@ -96,12 +97,32 @@ def estimate(words: int):
     return value, slack
 
 
-def coder(bits: int, bands: int) -> Callable:
-    """Valid vectors: uid, id, dim, vector (float64 bytes), code, band keys."""
+def band_keys(x: np.ndarray, bits: int, bands: int, block: int = 32) -> np.ndarray:
+    """Band keys of unit vectors, some bands at a time."""
+    dim = x.shape[1]
+    out = np.empty((len(x), bands), np.int64)
+    spread = directions(dim, bits * bands)
+    for k in range(0, bands, block):
+        n = min(block, bands - k)
+        signs = (x @ spread[:, k * bits : (k + n) * bits] > 0).reshape(len(x), n, bits)
+        out[:, k : k + n] = (signs << np.arange(bits)).sum(axis=2) + (np.arange(k, k + n) << 32) + (dim << 48)
+    return out
+
+
+def sketch_bound(threshold: float):
+    """Columns of a and b: whether so few bits of the first words differ that the angle may be the balls' reach."""
+    p = F.least(F.lit(1.0), (F.lit(math.acos(threshold)) + F.col("radius_a") + F.col("radius_b")) / math.pi)
+    differ = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
+    return differ <= 64 * p + SPREADS * F.sqrt(64 * p * (1 - p))
+
+
+def coder() -> Callable:
+    """Every row: uid, id; of valid vectors also dim, vector (float64 bytes) and code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("vector")
+            valid = np.zeros(batch.num_rows, bool)
             dims = np.array([0 if v is None else v for v in pc.list_value_length(column).to_pylist()])
             for dim in np.unique(dims[dims > 0]):
                 at = np.flatnonzero(dims == dim)
@@ -115,22 +136,26 @@ def coder(bits: int, bands: int) -> Callable:
                     continue
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 word, _ = codes(x)
-                signs = (x @ directions(int(dim), bits * bands) > 0).reshape(len(x), bands, bits)
-                keys = (signs << np.arange(bits)).sum(axis=2) + (np.arange(bands) << 32) + (int(dim) << 48)
+                valid[at] = True
                 rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid").take(rows), batch.column("id").take(rows), pa.array(np.full(len(at), dim, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(word[:, 0].copy()), pa.array(keys.tolist(), pa.list_(pa.int64()))],
-                    ["uid", "id", "dim", "vector", "code", "keys"],
+                    [batch.column("uid").take(rows), batch.column("id").take(rows), pa.array(np.full(len(at), dim, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(word[:, 0].copy())],
+                    ["uid", "id", "dim", "vector", "code"],
                 )
+            rest = batch.filter(pa.array(~valid))
+            if rest.num_rows:
+                nulls = [pa.nulls(rest.num_rows, t) for t in (pa.int32(), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([rest.column("uid"), rest.column("id"), *nulls], ["uid", "id", "dim", "vector", "code"])
 
     return run
 
 
-BALL = "uid long, id long, keys array<long>, ball long, dim int, size long, radius double, factor double, words array<long>, planes array<long>, low double, step double, total double, centre binary, uids array<long>, vectors binary, least long"
+BALL = "uid long, id long, ball long, dim int, size long, radius double, factor double, words array<long>, planes array<long>, low double, step double, total double, centre binary, uids array<long>, vectors binary, least long, keys array<long>"
 
 
-def ball_maker(threshold: float) -> Callable:
-    """Vectors sorted by code to balls, a batch at a time; a ball's own columns stand in its leader's row."""
+def ball_maker(threshold: float, bits: int, bands: int) -> Callable:
+    """Vectors sorted by code to balls, a batch at a time; a ball's own columns, and the different band keys of all its
+    members, stand in its leader's row."""
     near = math.cos(math.acos(threshold) / 2) + EPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +169,7 @@ def ball_maker(threshold: float) -> Callable:
             info: dict[int, tuple] = {}
             for a, b in zip(cuts, np.append(cuts[1:], n)):
                 x = np.frombuffer(b"".join(raw[a:b]), np.float64).reshape(b - a, -1)
+                keys = band_keys(x, bits, bands)
                 left = np.arange(b - a)
                 while len(left):
                     inside = x[left] @ x[left[0]] >= near
@@ -154,7 +180,7 @@ def ball_maker(threshold: float) -> Callable:
                     centre = centre / np.linalg.norm(centre) if len(mine) > 1 else centre
                     radius = float(np.arccos(np.clip((x[mine] @ centre).min(), -1, 1))) + EPS if len(mine) > 1 else 0.0
                     known = [ids[a + k] for k in mine if ids[a + k] is not None]
-                    info[a + left[0]] = (len(mine), radius, centre, uid[a + mine].tolist(), x[mine].tobytes(), min(known, default=None))
+                    info[a + left[0]] = (len(mine), radius, centre, uid[a + mine].tolist(), x[mine].tobytes(), min(known, default=None), np.unique(keys[mine]).tolist())
                     left = left[~inside]
             # the centres' codes, all of a length at once
             for dim in np.unique(dims[list(info)]) if info else ():
@@ -162,13 +188,13 @@ def ball_maker(threshold: float) -> Callable:
                 centres = np.stack([info[k][2] for k in at])
                 word, factor = codes(centres)
                 for k, f, w, *q in zip(at, factor.tolist(), word.tolist(), *(v.tolist() for v in rounded(centres))):
-                    n_, r, c, u, v, least = info[k]
-                    info[k] = (n_, r, f, w, *q, c.tobytes(), u, v, least)
-            more = [info.get(k, (None,) * 12) for k in range(n)]
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+                    n_, r, c, u, v, *own = info[k]
+                    info[k] = (n_, r, f, w, *q, c.tobytes(), u, v, *own)
+            more = [info.get(k, (None,) * 13) for k in range(n)]
+            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("id"), batch.column("keys"), pa.array(uid[leader]), batch.column("dim"), *(pa.array([m[k] for m in more], t) for k, t in enumerate(kinds))],
-                ["uid", "id", "keys", "ball", "dim", "size", "radius", "factor", "words", "planes", "low", "step", "total", "centre", "uids", "vectors", "least"],
+                [batch.column("uid"), batch.column("id"), pa.array(uid[leader]), batch.column("dim"), *(pa.array([m[k] for m in more], t) for k, t in enumerate(kinds))],
+                ["uid", "id", "ball", "dim", "size", "radius", "factor", "words", "planes", "low", "step", "total", "centre", "uids", "vectors", "least", "keys"],
             )
 
     return run
@@ -221,28 +247,27 @@ def vector_links(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     smallest id reachable (a null id reaches others but names nothing); kept says whether it is the row's own.
     """
     source = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
-    source = written(source.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    count = source.count()
+    coded = written(source.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(coder(), "uid long, id long, dim int, vector binary, code long"), "codes")
+    valid = coded.where("dim IS NOT NULL")
+    count, widest = valid.agg(F.count("*"), F.max("dim")).first()
     bits, bands = banding(count, threshold, missed)
-    coded = written(source.mapInArrow(coder(bits, bands), "uid long, id long, dim int, vector binary, code long, keys array<long>"), "codes")
     parts = max(1, -(-count // 20_000))
-    ordered = coded.repartitionByRange(parts, "dim", "code", "uid").sortWithinPartitions("dim", "code", "uid")
-    members = written(ordered.mapInArrow(ball_maker(threshold), BALL), "balls")
-    balls = members.where("size IS NOT NULL").drop("uid", "id", "keys")
-
-    held = members.select("ball", F.explode("keys").alias("key")).distinct()
-    held = written(held, "bands")
-    code, query = ["radius", "factor", "words"], ["radius", "planes", "low", "step", "total"]
-    side = lambda x, cols: held.join(balls.select("ball", *cols), "ball").select(F.col("ball").alias(x), "key", *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    widest = members.agg(F.max("dim").alias("d")).first()["d"] or 0
-    value, slack = estimate(max(WORDS, -(-widest // 64)))
+    ordered = valid.repartitionByRange(parts, "dim", "code", "uid").sortWithinPartitions("dim", "code", "uid")
+    members = written(ordered.mapInArrow(ball_maker(threshold, bits, bands), BALL), "balls")
+    balls = members.where("size IS NOT NULL").drop("uid", "id")
+
+    # the sides have the same columns in the same order, so that both read one shuffle of band rows
+    held = balls.select("ball", "radius", F.get("words", F.lit(0)).alias("sketch"), F.explode("keys").alias("key"))
+    side = lambda x: held.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("ball", "radius", "sketch")))
+    met = side("a").join(side("b"), "key").where((F.col("ball_a") < F.col("ball_b")) & sketch_bound(threshold))
+    met = written(met.select(F.col("ball_a").alias("a"), F.col("ball_b").alias("b")).distinct(), "met")
+    value, slack = estimate(max(WORDS, -(-(widest or 0) // 64)))
     reach = F.least(F.lit(math.pi), F.lit(math.acos(threshold)) + F.col("radius_a") + F.col("radius_b"))
-    near = side("a", code).join(side("b", query), "key").where((F.col("a") < F.col("b")) & (value + slack >= F.cos(reach))).select("a", "b").distinct()
-    near = written(near, "near")
-
-    centre = lambda x: balls.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "radius", "centre")))
-    judged = near.join(centre("a"), "a").join(centre("b"), "b").mapInArrow(judge(threshold), "a long, b long, size_a long, size_b long, sure boolean")
-    judged = written(judged, "judged")
+    code, query = ["size", "radius", "centre", "factor", "words"], ["size", "radius", "centre", "planes", "low", "step", "total"]
+    end = lambda x, cols: balls.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    near = met.join(end("a", code), "a").join(end("b", query), "b").where(value + slack >= F.cos(reach))
+    near = near.select("a", "b", "size_a", "size_b", "radius_a", "radius_b", "centre_a", "centre_b")
+    judged = written(near.mapInArrow(judge(threshold), "a long, b long, size_a long, size_b long, sure boolean"), "judged")
     sure = judged.where("sure")
     blob = lambda x: balls.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("uids", "vectors")))
     mixed = judged.where("NOT sure").select("a", "b").join(blob("a"), "a").join(blob("b"), "b").mapInArrow(multiplier(threshold), "a long, b long, uid long, n long")
@@ -257,7 +282,7 @@ def vector_links(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     placed = placed.join(least, "component").select("ball", "size", "ball_links", "component_id")
     found = members.select("uid", "ball").join(placed, "ball").join(by_uid, "uid", "left")
     found = found.select("uid", (F.col("size") - 1 + F.coalesce("ball_links", F.lit(0)) + F.coalesce("own_links", F.lit(0))).alias("n_links"), "component_id")
-    out = source.select("uid", "id").join(found, "uid", "left")
+    out = coded.select("uid", "id").join(found, "uid", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
