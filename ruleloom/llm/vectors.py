@@ -4,8 +4,8 @@ A unit vector is padded and rotated at random; its code is the signs, and its co
 the rotated vector with its code's direction. <code a, b> / f_a estimates the cosine without bias, with an error whose
 spread follows from the factor, so a confidence bound tells which pairs can reach the threshold; only these are computed
 exactly. The other side b is rounded at random to 4 bits a coordinate, as bit-planes, so an estimate is a few bit counts.
-Signs of further random directions, in bands, tell which pairs meet at all; the first word of both codes, whose differing
-bits have a binomial spread, then tells which of them are worth an estimate. Band rows carry no more than that word.
+Signs of further random directions, in bands, tell which pairs meet at all; the first words of both codes, whose
+differing bits have a binomial spread, then tell which of them are worth an estimate. Band rows carry no more than these.
 
 Vectors that lie within half the threshold's angle of a leader form a ball: by the triangle inequality all its pairs
 link, and are counted, not listed. Balls take the place of vectors from there on. For two balls the exact angle of the
@@ -33,6 +33,7 @@ MISSED = 0.002
 SPREADS = 4.0
 WORDS = 4  # of 64 bits in a code, at least
 PLANES = 4  # bits of a coordinate on the rounded side
+SKETCH = 2  # words of the code in a band row
 PREFIX = 12  # bits of the code that members of a ball share
 EPS = 1e-9
 
@@ -112,8 +113,9 @@ def band_keys(x: np.ndarray, bits: int, bands: int, block: int = 32) -> np.ndarr
 def sketch_bound(threshold: float):
     """Columns of a and b: whether so few bits of the first words differ that the angle may be the balls' reach."""
     p = F.least(F.lit(1.0), (F.lit(math.acos(threshold)) + F.col("radius_a") + F.col("radius_b")) / math.pi)
-    differ = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
-    return differ <= 64 * p + SPREADS * F.sqrt(64 * p * (1 - p))
+    differ = sum((F.bit_count(F.col(f"sketch{k}_a").bitwiseXOR(F.col(f"sketch{k}_b"))) for k in range(1, SKETCH)), F.bit_count(F.col("sketch0_a").bitwiseXOR(F.col("sketch0_b"))))
+    size = 64 * SKETCH
+    return differ <= size * p + SPREADS * F.sqrt(size * p * (1 - p))
 
 
 def coder() -> Callable:
@@ -257,16 +259,16 @@ def vector_links(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     balls = members.where("size IS NOT NULL").drop("uid", "id")
 
     # the sides have the same columns in the same order, so that both read one shuffle of band rows
-    held = balls.select("ball", "radius", F.get("words", F.lit(0)).alias("sketch"), F.explode("keys").alias("key"))
-    side = lambda x: held.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("ball", "radius", "sketch")))
+    held = balls.select("ball", "radius", *(F.get("words", F.lit(k)).alias(f"sketch{k}") for k in range(SKETCH)), F.explode("keys").alias("key"))
+    side = lambda x: held.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("ball", "radius", *(f"sketch{k}" for k in range(SKETCH)))))
     met = side("a").join(side("b"), "key").where((F.col("ball_a") < F.col("ball_b")) & sketch_bound(threshold))
     met = written(met.select(F.col("ball_a").alias("a"), F.col("ball_b").alias("b")).distinct(), "met")
     value, slack = estimate(max(WORDS, -(-(widest or 0) // 64)))
     reach = F.least(F.lit(math.pi), F.lit(math.acos(threshold)) + F.col("radius_a") + F.col("radius_b"))
-    code, query = ["size", "radius", "centre", "factor", "words"], ["size", "radius", "centre", "planes", "low", "step", "total"]
-    end = lambda x, cols: balls.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    near = met.join(end("a", code), "a").join(end("b", query), "b").where(value + slack >= F.cos(reach))
-    near = near.select("a", "b", "size_a", "size_b", "radius_a", "radius_b", "centre_a", "centre_b")
+    end = lambda x, *cols: balls.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    near = met.join(end("a", "radius", "factor", "words"), "a").join(end("b", "radius", "planes", "low", "step", "total"), "b").where(value + slack >= F.cos(reach))
+    near = written(near.select("a", "b"), "near")
+    near = near.join(end("a", "size", "radius", "centre"), "a").join(end("b", "size", "radius", "centre"), "b")
     judged = written(near.mapInArrow(judge(threshold), "a long, b long, size_a long, size_b long, sure boolean"), "judged")
     sure = judged.where("sure")
     blob = lambda x: balls.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("uids", "vectors")))
