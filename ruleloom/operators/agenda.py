@@ -13,15 +13,15 @@ from ruleloom.plans.ir import Rule
 from ruleloom.sources.messages import Messages
 
 
-def agenda(productions: list[Rule], source: Messages, state: Messages | None = None, keep: list[str] | None = None) -> DataFrame:
+def agenda(productions: list[Rule], source: Messages, state: Messages | None = None, keep: list[str] | None = None, deal: bool = True) -> DataFrame:
     """All matches of the productions: sid, rule, pri, rule_index, mids, seqs (by pattern, NULL where one is left out), at, match.
 
     `at` is the arrival that completed the match; `match` holds the aliases' structs. Productions whose patterns differ share
-    the columns, with NULL for aliases they do not have.
+    the columns, with NULL for aliases they do not have. deal: as in match(); loops that plan each round anew go without.
     """
     parts = []
     for k, rule in enumerate(productions):
-        found = match(rule, source, state, keep)
+        found = match(rule, source, state, keep, deal)
         names = [p.alias for p in positive(rule)]
         of = lambda c, kind: F.array(*(F.col(f"{flat(a)}.{c}").cast(kind) for a in names))
         row = found.select("sid", F.lit(rule.name).alias("rule"), F.lit(rule.pri).alias("pri"), F.lit(k).alias("rule_index"), of(source.mid, "string").alias("mids"), of(source.seq, "long").alias("seqs"), *(F.col(flat(a)) for a in names))

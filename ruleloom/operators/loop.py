@@ -66,7 +66,7 @@ class Loop:
     def waiting(self) -> DataFrame:
         messages, state = self.here()
         wide = [c for c in self.now.columns if c not in (messages.sid, messages.mid, messages.seq)]
-        out = agenda(self.productions, messages, state, keep=wide)
+        out = agenda(self.productions, messages, state, keep=wide, deal=False)
         if self.log is None:
             return out
         done = self.log.select(F.col("sid").alias("_sid"), F.col("rule").alias("_rule"), F.col("mids").alias("_mids"))

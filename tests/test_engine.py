@@ -334,3 +334,36 @@ def test_empty_tables(spark):
     assert match(rule, x).count() == 0 and first_to_fire(agenda([rule], x)).count() == 0 and lifo_pairs(x, m.t == "a", m.t == "b").count() == 0
     chart = Chart("x").state("a", Trigger("b", m.t == "a")).state("b")
     assert run_chart(x, chart).count() == 0 and closure(x, [(when_all(m.t == "a").rule, [asserts(t="b")])]).df.count() == 0
+
+
+def dealt_rules():
+    """Rules whose joins are dealt: products, equalities, groups, `any` of groups, none."""
+    a, b, k = m.t == "a", m.t == "b", m.t == "c"
+    return [
+        (when_all(c.x << a, c.y << b, c.z << k & (m.v > c.y.v)).rule, ["x", "y", "z"]),
+        (when_all(c.x << +m.v, c.y << (m.v == c.x.v), none_(k & (m.v > c.y.v))).rule, ["x", "y"]),
+        (when_any(c.p << all_(c.x << a, c.y << b), c.q << all_(c.x << b, c.y << k)).rule, ["p__x", "p__y", "q__x", "q__y"]),
+        (when_all(c.x << a, c.e << any_(c.p << b, c.q << (m.v == c.x.v))).rule, ["x", "e__p", "e__q"]),
+        (when_all(c.x << a, c.g << all_(c.p << (m.v > c.x.v), c.q << (m.v == c.p.v)), c.z << k & (m.v < c.q.v)).rule, ["x", "g__p", "g__q", "z"]),
+    ]
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 18])
+def test_dealt_joins_find_the_same(spark, monkeypatch, sent):
+    x = messages(spark, rows_of(40, 5, sids=2))
+    got = lambda rule, names: sorted((tuple(r) for r in match(rule, x).select("sid", *(F.col(f"{n}.mid").alias(n) for n in names)).collect()), key=str)
+    plain = [got(rule, names) for rule, names in dealt_rules()]
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 20)
+    monkeypatch.setattr("ruleloom.operators.match.SENT_ROWS", sent)
+    monkeypatch.setattr("ruleloom.operators.match.MOST_TASKS", 5)
+    assert [got(rule, names) for rule, names in dealt_rules()] == plain
+
+
+def test_no_task_makes_all_rows_of_a_context(spark, monkeypatch):
+    """A context's products are dealt to tasks however few bytes their inputs have."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 5000, raising=False)
+    x = messages(spark, [("0", f"m{k}", k, "abc"[k % 3], k) for k in range(120)])
+    of = lambda n, t: getattr(c, n) << m.t == t
+    for rule, n in ((when_all(of("x", "a"), of("y", "b"), of("z", "c")).rule, 64_000), (when_any(all_(of("x", "a"), of("y", "b")), of("z", "c")).rule, 1600 * 41 + 40)):
+        made = [r["count"] for r in match(rule, x).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(made) == n and max(made) < 15_000
