@@ -14,7 +14,7 @@ from ruleloom.operators.agenda import agenda, batched, batches_of, first_to_fire
 from ruleloom.operators.chain import asserts, closure, fire
 from ruleloom.operators.events import consumed_once, lifo_pairs
 from ruleloom.operators.flow import Chart, Trigger, run_chart, run_flow
-from ruleloom.operators.match import emptied, match, taken_by, unmatched
+from ruleloom.operators.match import counted, emptied, match, taken_by, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, ruleset, s, timeout, when_all, when_any
 from ruleloom.sources import definitions
 from ruleloom.sources.messages import Messages, changes, from_json, initial_states, latest_state, observed, pending_events, replayed, retracted
@@ -281,7 +281,7 @@ def group_edges(spark, d):
 def any_of_many(spark, d):
     """All combinations of four elements, counted: each is left out or is any of its messages."""
     parts = [(m.t == "supplier") & (m.bal >= 1000 * k) & (m.bal < 1000 * (k + 1)) for k in range(6, 10)]
-    return match(when_any(*parts).rule, by_nation(spark, d)).groupBy("sid").agg(F.count("*").alias("n"))
+    return counted(when_any(*parts).rule, by_nation(spark, d))
 
 
 @query(f"WITH n AS ({NATION}), f AS (SELECT sid, mid FROM n WHERE t = 'supplier' AND bal > 9000), a AS (SELECT sid, mid FROM n WHERE t = 'customer' AND bal > 9700), b AS (SELECT sid, mid FROM n WHERE t = 'customer' AND bal < -950), e AS (SELECT mid AS a, NULL AS b, sid FROM a UNION ALL SELECT NULL, mid, sid FROM b UNION ALL SELECT a.mid, b.mid, sid FROM a JOIN b USING (sid)) SELECT f.mid AS x_mid, e.a AS a_mid, e.b AS b_mid FROM f JOIN e USING (sid)")

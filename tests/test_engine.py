@@ -11,7 +11,7 @@ from ruleloom.operators.agenda import agenda, batched, first_to_fire, firing_ord
 from ruleloom.operators.chain import Retract, asserts, closure, fire
 from ruleloom.operators.events import consumed_once, lifo_pairs
 from ruleloom.operators.flow import Chart, Trigger, current_states, effects_of_chart, run_chart, run_flow
-from ruleloom.operators.match import emptied, match, unmatched
+from ruleloom.operators.match import counted, emptied, match, unmatched
 from ruleloom.plans.dsl import all_, any_, c, cap, count, distinct, item, m, none_, pri, ruleset, s, timeout, when_all, when_any
 from ruleloom.plans.ir import RuleError
 from ruleloom.sources import definitions
@@ -367,3 +367,22 @@ def test_no_task_makes_all_rows_of_a_context(spark, monkeypatch):
     for rule, n in ((when_all(of("x", "a"), of("y", "b"), of("z", "c")).rule, 64_000), (when_any(all_(of("x", "a"), of("y", "b")), of("z", "c")).rule, 1600 * 41 + 40)):
         made = [r["count"] for r in match(rule, x).groupBy(F.spark_partition_id()).count().collect()]
         assert sum(made) == n and max(made) < 15_000
+
+
+def test_counted_as_listed(spark):
+    """Overlapping patterns, repeated and missing identities, contexts without matches."""
+    r = random.Random(7)
+    x = messages(spark, [(r.choice(["0", "1", None]), r.choice([None, *(f"m{k}" for k in range(5))]), k, r.choice("abc"), r.choice([None, *range(5)])) for k in range(24)] + [("2", "m0", 30, "a", 1)])
+    one, two, three = c.x << m.t == "a", c.y << (m.v > 1), c.z << (m.t == "b") & (m.v < 4)
+    for kind in (when_all, when_any):
+        for elements in ([one], [one, two], [one, two, three], [one, two, three, distinct(False)], [one, c.y << (m.v > c.x.v)]):
+            rule = kind(*elements).rule
+            listed = match(rule, x).groupBy("sid").agg(F.count("*").alias("n"))
+            assert sorted(map(tuple, counted(rule, x).collect()), key=str) == sorted(map(tuple, listed.collect()), key=str)
+
+
+def test_counted_beyond_listing(spark):
+    """16 million million combinations, of which none is made."""
+    x = Messages(spark.range(8000).selectExpr("'0' AS sid", "CAST(id AS string) AS mid", "id AS seq", "id % 4 AS v"))
+    rule = when_any(*(m.v == k for k in range(4))).rule
+    assert [tuple(r) for r in counted(rule, x).collect()] == [("0", 2001**4 - 1)]
