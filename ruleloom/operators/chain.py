@@ -10,14 +10,18 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.functions.columns import Scope, operand
+from ruleloom.functions.columns import Scope, condition, operand
 from ruleloom.operators.agenda import agenda, first_to_fire
-from ruleloom.operators.match import Matcher, flat, positive
-from ruleloom.plans.ir import Prop, Rule, RuleError, Value, constant, values
+from ruleloom.operators.match import Matcher, flat, positive, split
+from ruleloom.plans.ir import Prop, Rule, RuleError, Value, constant, patterns, values
 from ruleloom.sources.messages import Messages, retracted
 from ruleloom.sources.store import written
 
 
+#: Rounds whose tables are read one by one before they are written as one.
+TABLES_READ = 32
+
+
 @dataclass(frozen=True)
 class Assert:
     """A fact that a match asserts: values by property, which may refer to the match's messages."""
@@ -109,26 +113,37 @@ def fire(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int |
     """Facts and firings (sid, rule, mids, nth) when each context fires one match at a time, by priority and recency.
 
     Effects show before the next pick, and a match fires once. Every step is one round for all contexts together, so
-    the rounds follow the longest chain of firings of one context.
+    the rounds follow the longest chain of firings of one context. A context in which nothing fires is done, for its facts
+    change no more: a round reads and writes the facts of the contexts that fired in the round before, and of the first
+    facts only those that some pattern could take.
     """
     productions = [r for r, _ in program]
-    now = written(facts.df, "facts")
-    top = now.agg(F.max(facts.seq).alias("n")).first()["n"] or 0
-    fired: DataFrame | None = None
+    base = written(facts.df, "facts")
+    top = base.agg(F.max(facts.seq).alias("n")).first()["n"] or 0
+    idle = F.lit(False) if facts.body else ~usable(productions, facts)
+    now, idle = base.where(~idle), base.where(idle)
+    done: list[DataFrame] = []
+    fired: list[DataFrame] = []
+    lost: list[DataFrame] = []
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     for n in count(1):
         if most is not None and n > most:
             raise RuntimeError(f"matches still fire after {most} rounds")
         here = replace(facts, df=now)
         wide = [c for c in now.columns if c not in (facts.sid, facts.mid, facts.seq)]
-        waiting = agenda(productions, here, keep=wide)
-        if fired is not None:
-            done = fired.select(F.col("sid").alias("_sid"), F.col("rule").alias("_rule"), F.col("mids").alias("_mids"))
-            waiting = waiting.join(done, (F.col("sid") == F.col("_sid")) & (F.col("rule") == F.col("_rule")) & F.col("mids").eqNullSafe(F.col("_mids")), "left_anti")
+        waiting = agenda(productions, here, keep=wide, deal=False)
+        if fired:
+            before = reduce(DataFrame.unionByName, fired).select(F.col("sid").alias("_sid"), F.col("rule").alias("_rule"), F.col("mids").alias("_mids"))
+            waiting = waiting.join(before, same("sid", "_sid") & (F.col("rule") == F.col("_rule")) & same("mids", "_mids"), "left_anti")
         picked = written(first_to_fire(waiting).withColumn("nth", F.lit(n)), "picked")
         if picked.isEmpty():
-            return here, fired if fired is not None else picked.select("sid", "rule", "mids", "nth")
-        log = picked.select("sid", "rule", "mids", "nth")
-        fired = log if fired is None else fired.unionByName(log)
+            if lost:  # an identity may also be that of facts which no pattern takes
+                idle = retracted(replace(facts, df=idle), reduce(DataFrame.unionByName, lost)).df
+            return replace(facts, df=reduce(DataFrame.unionByName, [idle, *done, now])), reduce(DataFrame.unionByName, fired) if fired else picked.select("sid", "rule", "mids", "nth")
+        fired.append(picked.select("sid", "rule", "mids", "nth"))
+        going = picked.select(F.col("sid").alias("_sid"))
+        done.append(now.join(going, same(facts.sid, "_sid"), "left_anti"))
+        now = now.join(going, same(facts.sid, "_sid"), "left_semi")
         new, gone = [], []
         for rule, effects in program:
             mine = picked.where(F.col("rule") == rule.name).select("sid", "match.*")
@@ -137,9 +152,23 @@ def fire(facts: Messages, program: list[tuple[Rule, list[Effect]]], most: int |
                 new.append(got)
             gone += [mine.select(F.col("sid").alias(facts.sid), F.col(f"{flat(e.alias)}.{facts.mid}").alias(facts.mid)) for e in effects if isinstance(e, Retract)]
         if gone:
-            now = retracted(replace(facts, df=now), reduce(DataFrame.unionByName, gone)).df
+            lost.append(reduce(DataFrame.unionByName, gone))
+            now = retracted(replace(facts, df=now), lost[-1]).df
         if new:
             more = reduce(DataFrame.unionByName, new).dropDuplicates([facts.sid, facts.mid]).withColumn(facts.seq, F.lit(top + n).cast(now.schema[facts.seq].dataType))
-            known = now.select(F.col(facts.sid).alias("_sid"), F.col(facts.mid).alias("_mid"))
-            now = now.unionByName(more.join(known, (F.col(facts.sid) == F.col("_sid")) & (F.col(facts.mid) == F.col("_mid")), "left_anti"))
-        now, fired = written(now, "facts"), written(fired, "fired")
+            known = now.where(F.col(facts.mid).startswith("$")).select(F.col(facts.sid).alias("_sid"), F.col(facts.mid).alias("_mid"))  # derived facts are named so
+            now = now.unionByName(more.join(known, same(facts.sid, "_sid") & same(facts.mid, "_mid"), "left_anti"))
+        now = written(now, "facts")
+        if len(done) > TABLES_READ:
+            done = [written(reduce(DataFrame.unionByName, done), "done")]
+        if len(fired) > TABLES_READ:
+            fired = [written(reduce(DataFrame.unionByName, fired), "fired")]
+        if len(lost) > TABLES_READ:
+            lost = [written(reduce(DataFrame.unionByName, lost), "lost")]
+
+
+def usable(productions: list[Rule], facts: Messages) -> Column:
+    """Whether a fact fulfils what some pattern asks of it alone, or bears a name like that of a derived fact, which it would be."""
+    scope = Scope((facts.schema, facts.getter()), {})
+    alone = [reduce(lambda a, b: a & b, (condition(n, scope) for n in split(p.condition)[0]), F.lit(True)) for r in productions for p in patterns(r.when) if not p.on_state]
+    return F.coalesce(reduce(lambda a, b: a | b, alone), F.lit(False)) | F.coalesce(F.col(facts.mid).cast("string").startswith("$"), F.lit(False))

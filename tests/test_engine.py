@@ -386,3 +386,19 @@ def test_counted_beyond_listing(spark):
     x = Messages(spark.range(8000).selectExpr("'0' AS sid", "CAST(id AS string) AS mid", "id AS seq", "id % 4 AS v"))
     rule = when_any(*(m.v == k for k in range(4))).rule
     assert [tuple(r) for r in counted(rule, x).collect()] == [("0", 2001**4 - 1)]
+
+
+@pytest.mark.parametrize("read", [1, 32])
+def test_firing_reads_only_contexts_that_go_on(spark, monkeypatch, read):
+    """Facts of contexts that are done, and those that no pattern takes, are kept but not written in each round."""
+    from ruleloom.operators import chain
+
+    monkeypatch.setattr(chain, "TABLES_READ", read, raising=False)
+    sizes, written = [], chain.written
+    monkeypatch.setattr(chain, "written", lambda df, label: (out := written(df, label), label == "facts" and sizes.append(out.count()))[0])
+    rows = [(str(k), f"m{k}", k, "other" if k else "start", 5) for k in range(50)] + [("0", "m0", 60, "other", 9), ("0", "m60", 61, "other", 9)]
+    program = [(when_all((m.t == "start") & (m.v > 0), name="down").rule, [asserts(t="start", v=c.m.v - 1), Retract("m")])]
+    now, fired = fire(messages(spark, rows), program)
+    assert sorted((r.sid, r.nth) for r in fired.collect()) == [("0", k) for k in range(1, 6)]
+    assert sorted((r.sid, r.t, r.v) for r in now.df.collect()) == sorted([("0", "start", 0), ("0", "other", 9), *((str(k), "other", 5) for k in range(1, 50))])
+    assert sizes == [52, 1, 1, 1, 1, 1]
