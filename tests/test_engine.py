@@ -402,3 +402,18 @@ def test_firing_reads_only_contexts_that_go_on(spark, monkeypatch, read):
     assert sorted((r.sid, r.nth) for r in fired.collect()) == [("0", k) for k in range(1, 6)]
     assert sorted((r.sid, r.t, r.v) for r in now.df.collect()) == sorted([("0", "start", 0), ("0", "other", 9), *((str(k), "other", 5) for k in range(1, 50))])
     assert sizes == [52, 1, 1, 1, 1, 1]
+
+
+def spread_of(spark, monkeypatch, rule, task) -> list[int]:
+    """Rows of each task for 120 messages of one context, if a task may make this many."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", task, raising=False)
+    x = messages(spark, [("0", f"m{k}", k, "abc"[k % 3], k) for k in range(120)])
+    return [r["count"] for r in match(rule, x).groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_group_with_edges_is_dealt(spark, monkeypatch):
+    rule = when_all(c.x << (m.t == "a") & (m.v > 90), c.g << all_(c.p << (m.t == "b") & (m.v > c.x.v), c.q << (m.t == "c") & (m.v > c.p.v)), c.z << (m.t == "a") & (m.v < c.q.v)).rule
+    v = [range(k, 120, 3) for k in range(3)]
+    n = sum(z < q and z != x for x in v[0] if x > 90 for p in v[1] if p > x for q in v[2] if q > p for z in v[0])
+    made = spread_of(spark, monkeypatch, rule, 500)
+    assert sum(made) == n and max(made) < n / 3
