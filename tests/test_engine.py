@@ -417,3 +417,9 @@ def test_group_with_edges_is_dealt(spark, monkeypatch):
     n = sum(z < q and z != x for x in v[0] if x > 90 for p in v[1] if p > x for q in v[2] if q > p for z in v[0])
     made = spread_of(spark, monkeypatch, rule, 500)
     assert sum(made) == n and max(made) < n / 3
+
+
+def test_group_of_products_is_dealt(spark, monkeypatch):
+    rule = when_all(c.g << all_(c.x << m.t == "a", c.y << (m.t == "b") & (m.v > c.x.v)), c.z << m.t == "c").rule
+    made = spread_of(spark, monkeypatch, rule, 3000)
+    assert sum(made) == 820 * 40 and max(made) < 10_000
