@@ -423,3 +423,9 @@ def test_group_of_products_is_dealt(spark, monkeypatch):
     rule = when_all(c.g << all_(c.x << m.t == "a", c.y << (m.t == "b") & (m.v > c.x.v)), c.z << m.t == "c").rule
     made = spread_of(spark, monkeypatch, rule, 3000)
     assert sum(made) == 820 * 40 and max(made) < 10_000
+
+
+def test_any_within_all_is_dealt(spark, monkeypatch):
+    rule = when_all(c.x << m.t == "a", c.e << any_(c.p << m.t == "b", c.q << m.t == "c")).rule
+    made = spread_of(spark, monkeypatch, rule, 5000)
+    assert sum(made) == 40 * (80 + 1600) and max(made) < 20_000
