@@ -429,3 +429,9 @@ def test_any_within_all_is_dealt(spark, monkeypatch):
     rule = when_all(c.x << m.t == "a", c.e << any_(c.p << m.t == "b", c.q << m.t == "c")).rule
     made = spread_of(spark, monkeypatch, rule, 5000)
     assert sum(made) == 40 * (80 + 1600) and max(made) < 20_000
+
+
+def test_any_of_two_is_dealt(spark, monkeypatch):
+    rule = when_any(c.x << m.t == "a", c.y << m.t == "b").rule
+    made = spread_of(spark, monkeypatch, rule, 200)
+    assert sum(made) == 41 * 41 - 1 and max(made) < 800
