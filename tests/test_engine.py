@@ -435,3 +435,12 @@ def test_any_of_two_is_dealt(spark, monkeypatch):
     rule = when_any(c.x << m.t == "a", c.y << m.t == "b").rule
     made = spread_of(spark, monkeypatch, rule, 200)
     assert sum(made) == 41 * 41 - 1 and max(made) < 800
+
+
+def test_a_context_has_tasks_of_its_own(spark, monkeypatch):
+    """What a task makes repeats messages of few contexts, of which its files need few bytes."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 5000)
+    x = messages(spark, [(str(s), f"m{s}_{k}", k, "abc"[k % 3], k) for s in range(4) for k in range(90)])
+    rule = when_all(c.g << all_(c.x << m.t == "a", c.y << (m.t == "b")), c.z << m.t == "c").rule
+    made = match(rule, x).groupBy(F.spark_partition_id()).agg(F.count("*"), F.count_distinct("sid")).collect()
+    assert sum(r[1] for r in made) == 4 * 30**3 and max(r[1] for r in made) < 10_000 and all(r[2] == 1 for r in made)
