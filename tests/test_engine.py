@@ -444,3 +444,15 @@ def test_a_context_has_tasks_of_its_own(spark, monkeypatch):
     rule = when_all(c.g << all_(c.x << m.t == "a", c.y << (m.t == "b")), c.z << m.t == "c").rule
     made = match(rule, x).groupBy(F.spark_partition_id()).agg(F.count("*"), F.count_distinct("sid")).collect()
     assert sum(r[1] for r in made) == 4 * 30**3 and max(r[1] for r in made) < 10_000 and all(r[2] == 1 for r in made)
+
+
+def test_many_frames_are_not_moved(spark, monkeypatch):
+    """Frames beyond a bound stay in the tasks that made them, which are many enough."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 500)
+    monkeypatch.setattr("ruleloom.operators.match.MOVED_ROWS", 1000, raising=False)
+    x = messages(spark, [("0", f"m{k}", k, "abcd"[k % 4], k) for k in range(80)])
+    rule = when_all(c.x << m.t == "a", c.y << (m.t == "b"), c.z << (m.t == "c") & (m.v > c.y.v), c.u << m.t == "d").rule
+    found = match(rule, x)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 20 * 210 * 20 and max(made) < 3000 and len(made) > 40
