@@ -160,11 +160,12 @@ class Matcher:
             return frames.join(rows, on, how)
         mids = [F.col(f"{flat(q.alias)}.{self.messages(q).mid}") for q in known]
         if sent <= SENT_ROWS:
+            met = {flat(q.alias) for q in known} | set(rows.columns)
+            more = any(not q.negated and not q.on_state and flat(q.alias) not in met for q in self.all)
             if not (self.fine and held > MOVED_ROWS):
-                met = {flat(q.alias) for q in known} | set(rows.columns)
-                self.fine = made > MOVED_ROWS and any(not q.negated and not q.on_state and flat(q.alias) not in met for q in self.all)
+                self.fine = made > MOVED_ROWS and more
                 frames = self.dealt(frames, pairs, ours, mids, made, held)
-            return frames.join(F.broadcast(rows), on, how)
+            return frames.join(F.broadcast(rows), on & self.one_by_one(rows, mids) if self.fine and more and how != "left_anti" else on, how)
         self.fine = False
         needed = pairs.select(*keys, F.least(F.ceil(F.col("_l") * F.col("_r") / TASK_ROWS), F.col("_l"), F.lit(MOST_TASKS)).cast("int").alias("_parts")).where("_parts > 1")
         parts = frames.sparkSession.createDataFrame(needed.collect(), needed.schema)
@@ -179,6 +180,13 @@ class Matcher:
         all_ = cut(rows, theirs, F.explode(F.sequence(F.lit(0), n - 1)), "_of")
         return one.join(all_, on & (F.col("_part") == F.col("_of")), how).drop("_part", "_of")
 
+    def one_by_one(self, rows: DataFrame, mids: list[Column]) -> Column:
+        """A condition that always holds, for a join whose frames the next join takes in the same task. Joins that are compiled
+        as one keep all that a frame makes in all of them in memory, the product of their rows; an expression that is not
+        compiled parts them, and the frames of this join come one by one."""
+        theirs = [F.col(f"{flat(q.alias)}.{self.messages(q).mid}") for q in self.all if flat(q.alias) in rows.columns]
+        return F.exists(F.array(F.xxhash64(*(mids or ["sid"]), *theirs)), lambda _: F.lit(True))  # of both sides, so that it stays in the join
+
     def dealt(self, frames: DataFrame, pairs: DataFrame, cols: tuple, mids: list[Column], made: float, held: float) -> DataFrame:
         """frames dealt to tasks. Those of a key go to tasks of their own, as far as it fills any: what a task makes then
         repeats few messages in one order, which its files keep in a fraction of the bytes. If later joins will not move

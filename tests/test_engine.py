@@ -456,3 +456,17 @@ def test_many_frames_are_not_moved(spark, monkeypatch):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
     made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(made) == 20 * 210 * 20 and max(made) < 3000 and len(made) > 40
+
+
+def test_frames_of_joins_in_one_task_come_one_by_one(spark, monkeypatch):
+    """Joins compiled as one would hold the product of what a frame makes in all of them."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 500)
+    monkeypatch.setattr("ruleloom.operators.match.MOVED_ROWS", 1000)
+    x = messages(spark, [("0", f"m{k}", k, "abcd"[k % 4], k) for k in range(120)])
+    row = when_all(c.x << m.t == "a", c.y << (m.t == "b"), c.z << (m.t == "c") & (m.v > c.y.v), c.u << m.t == "d").rule
+    some = when_all(c.x << m.t == "a", c.z << m.t == "b", c.e << any_(c.y << m.t == "c", c.u << m.t == "d")).rule
+    for rule, n in ((row, 30 * 465 * 30), (some, 30 * 30 * (31 * 31 - 1))):
+        found = match(rule, x)
+        assert len(found.collect()) == n
+        joins = [at for at in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "BroadcastHashJoin" in at]
+        assert len(joins) > 1 and "*(" in joins[0] and not any("*(" in at for at in joins[1:-1] or joins[1:])
