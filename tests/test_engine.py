@@ -470,3 +470,20 @@ def test_frames_of_joins_in_one_task_come_one_by_one(spark, monkeypatch):
         assert len(found.collect()) == n
         joins = [at for at in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "BroadcastHashJoin" in at]
         assert len(joins) > 1 and "*(" in joins[0] and not any("*(" in at for at in joins[1:-1] or joins[1:])
+
+
+def test_frames_dealt_finely_are_counted_in_fewer_tasks(spark, monkeypatch):
+    """Dealing is for the rows of the last join; a count of the frames before it is no work for as many tasks."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 500)
+    monkeypatch.setattr("ruleloom.operators.match.MOVED_ROWS", 1000)
+    monkeypatch.setattr("ruleloom.operators.match.COUNT_TASKS", 3, raising=False)
+    x = messages(spark, [("0", f"m{k}", k, "abcd"[k % 4], k) for k in range(120)])
+    rule = when_all(c.x << m.t == "a", c.y << (m.t == "b"), c.z << (m.t == "c") & (m.v > c.y.v), c.u << m.t == "d").rule
+    spark.sparkContext.setJobGroup("planned", "")
+    found = match(rule, x)
+    spark.sparkContext.setJobGroup("run", "")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("planned") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert tasks and max(tasks) < 40
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 30 * 465 * 30 and len(made) > 40
