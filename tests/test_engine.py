@@ -487,3 +487,36 @@ def test_frames_dealt_finely_are_counted_in_fewer_tasks(spark, monkeypatch):
     assert tasks and max(tasks) < 40
     made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(made) == 30 * 465 * 30 and len(made) > 40
+
+
+def test_groups_of_an_any_are_not_repeated(spark, monkeypatch):
+    """A group's matches meet those of another as frames and single messages; none are copied for each task."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 500)
+    monkeypatch.setattr("ruleloom.operators.match.SENT_ROWS", 100)
+    x = messages(spark, [("0", f"m{k}", k, "abcd"[k % 4], k) for k in range(80)])
+    rule = when_any(c.p << all_(c.x << m.t == "a", c.y << m.t == "b"), c.q << all_(c.x << m.t == "c", c.y << (m.t == "d") & (m.v > c.x.v), none_((m.t == "a") & (m.v > c.y.v)))).rule
+    found = match(rule, x)
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    n = sum(y > x and y > 76 for x in range(2, 80, 4) for y in range(3, 80, 4))
+    rows = found.select(*(F.col(f"{g}__{k}.mid").alias(f"{g}{k}") for g in "pq" for k in "xy")).collect()
+    assert n and len(rows) == len(set(rows)) == 401 * (n + 1) - 1
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(made) < 2500
+
+
+def test_rows_are_repeated_for_few_parts(spark, monkeypatch):
+    """Parts of all keys together are as many as tasks may be, so that rows are not copied more often."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 10)
+    monkeypatch.setattr("ruleloom.operators.match.SENT_ROWS", 0)
+    monkeypatch.setattr("ruleloom.operators.match.MOST_TASKS", 20)
+    x = messages(spark, [(str(s), f"m{s}_{k}", k, "ab"[k % 2], k) for s in range(10) for k in range(60)])
+    found = match(when_all(c.x << m.t == "a", c.y << m.t == "b").rule, x)
+    sc = spark.sparkContext
+    bus, store, none = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore(), (None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    bus.waitUntilEmpty()
+    before = store.stageList(*none).head().stageId()
+    assert len(found.collect()) == 10 * 30 * 30
+    bus.waitUntilEmpty()
+    stages = store.stageList(*none)
+    ran = [st for st in (stages.apply(k) for k in range(stages.size())) if st.stageId() > before]
+    assert 0 < sum(st.shuffleWriteRecords() for st in ran) < 2000
