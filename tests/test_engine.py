@@ -520,3 +520,24 @@ def test_rows_are_repeated_for_few_parts(spark, monkeypatch):
     stages = store.stageList(*none)
     ran = [st for st in (stages.apply(k) for k in range(stages.size())) if st.stageId() > before]
     assert 0 < sum(st.shuffleWriteRecords() for st in ran) < 2000
+
+
+def test_frames_whose_number_is_known_are_not_listed(spark, monkeypatch):
+    """Where only equalities relate the messages, the pairs of one join are the frames of the next."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 500)
+    monkeypatch.setattr("ruleloom.operators.match.MOVED_ROWS", 1000)
+    x = messages(spark, [("0", f"m{k}", k, "abcd"[k % 4], k % 7) for k in range(120)])
+    a, b, c_, d = (m.t == t for t in "abcd")
+    edges = when_all(c.x << a, c.y << b, c.z << c_ & (m.v == c.y.v), c.u << d & (m.v > c.z.v)).rule
+    some = when_any(c.p << all_(c.x << a, c.y << b), c.q << all_(c.x << c_, c.y << d)).rule
+    v = [[k % 7 for k in range(at, 120, 4)] for at in range(4)]
+    monkeypatch.setattr("ruleloom.operators.match.COUNT_TASKS", 10_000)
+    tracker = spark.sparkContext.statusTracker()
+    for name, rule, n in (("edges", edges, 30 * sum(z == y and u > z for y in v[1] for z in v[2] for u in v[3])), ("some", some, 901 * 901 - 1)):
+        spark.sparkContext.setJobGroup(name, "")
+        found = match(rule, x)
+        spark.sparkContext.setJobGroup("run", "")
+        tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+        assert tasks and max(tasks) < 100
+        made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(made) == n and max(made) < n / 5
