@@ -541,3 +541,20 @@ def test_frames_whose_number_is_known_are_not_listed(spark, monkeypatch):
         assert tasks and max(tasks) < 100
         made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(made) == n and max(made) < n / 5
+
+
+def test_group_of_equals_is_not_listed_before_its_product(spark, monkeypatch):
+    """A group's pairs by an equality, then a pattern that meets all of them: planned without a task for the pairs."""
+    monkeypatch.setattr("ruleloom.operators.match.TASK_ROWS", 500)
+    monkeypatch.setattr("ruleloom.operators.match.MOVED_ROWS", 1000)
+    monkeypatch.setattr("ruleloom.operators.match.COUNT_TASKS", 10_000)
+    x = messages(spark, [("0", f"m{k}", k, "abc"[k % 3], k % 5) for k in range(360)])
+    rule = when_all(c.g << all_(c.x << m.t == "a", c.y << (m.t == "b") & (m.v == c.x.v)), c.z << m.t == "c").rule
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pairs", "")
+    found = match(rule, x)
+    spark.sparkContext.setJobGroup("run", "")
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("pairs") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert tasks and max(tasks) < 20
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 120 * 24 * 120 and len(made) == 30 and max(made) < 2 * 120 * 24 * 120 / 30
